@@ -9,6 +9,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import workers_import
+
 #: Columns of the documents table; pipeline stages but the last return these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows in one Arrow batch handed to Python. Texts average a few kB, so a batch stays at a few MB
@@ -46,7 +48,8 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of this session's Python stages."""
+    """Bound the Arrow batches of this session's Python stages, and let workers import the package."""
+    workers_import(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 

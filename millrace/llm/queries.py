@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, simhash
+from . import langid, media, mixing, packing, pii, repair, simhash, toxicity, warc, winnowing
 from .common import read_table
 
 BYTE_TOKENIZER, WORD_TOKENIZER = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -17,6 +18,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonyms(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_found", "kinds")
 
 
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = repair.tokenised(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    return read.select("doc_id", "start", "n_tokens", "ids_crc32", "part", "shard")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
@@ -25,6 +31,16 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.compared(read_table(spark, sf_dir, "documents"))
+    spelled = {c: winnowing.spelled(F.col(c)).alias(c) for c in ("fingerprint", "edited_fingerprint")}
+    return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *spelled.values(), "near_edited", "near_next")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read_table(spark, sf_dir, "documents"))
 
@@ -34,12 +50,27 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.stored_features(read_table(spark, sf_dir, "documents"))
+    return found.withColumn("feature", F.lower(F.hex("hash"))).drop("hash")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.archived(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_repair": op2_repair,
     "op3_mixing": op3_mixing,
     "op4_simhash": op4_simhash,
+    "op5_winnowing": op5_winnowing,
+    "op6_toxicity": op6_toxicity,
     "op7_langid": op7_langid,
     "op8_packing": op8_packing,
+    "op9_media": op9_media,
+    "op10_warc": op10_warc,
 }
 
 #: These learn, draw, hash or tokenise, which DuckDB's SQL has no equal for; tests/llm has plain versions.
