@@ -33,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = simhash.near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"))
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     turn = F.row_number().over(Window.partitionBy("_key").orderBy("text", "source", "lang", "n_chars"))
-    return docs.join(stay, "_key", "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*DOCUMENT_COLUMNS)
+    return docs.join(stay.hint("merge"), "_key", "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*DOCUMENT_COLUMNS)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     else:
         docs = docs.withColumn("_turn", turn)
     chosen = mixing.mix(docs, keys=("_key", "_turn")).where("copies > 0").select(F.col("_key").alias("_k"), F.col("_turn").alias("_t"), "copies")
-    both = docs.join(materialise(chosen, "copies"), (F.col("_key") == F.col("_k")) & (F.col("_turn") >= F.col("_t")) & (F.col("_turn") <= F.col("_t")))
+    both = docs.join(materialise(chosen, "copies").hint("merge"), (F.col("_key") == F.col("_k")) & (F.col("_turn") >= F.col("_t")) & (F.col("_turn") <= F.col("_t")))
     return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*DOCUMENT_COLUMNS)
 
 
