@@ -46,11 +46,12 @@ def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """pages (page_id, url, html) with digest (hexadecimal SHA-1), record_type and refers_to."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    keys = materialise(rows.where(F.octet_length("html") >= least).select("page_id", "digest"), "digests")
+    rows = rows.withColumn("_page", F.coalesce("page_id", F.lit(-(1 << 63))))  # so that one deal of the pages serves the join and the window
+    keys = materialise(rows.where(F.octet_length("html") >= least).select("_page", "page_id", "digest"), "digests")
     first = keys.groupBy("digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "_first")
-    copies = keys.distinct().join(first, "digest").select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "_first", F.lit(True).alias("_copy"))
-    turn = F.row_number().over(Window.partitionBy("page_id", "digest").orderBy("url"))
-    both = rows.join(copies, F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("digest") == F.col("_d")), "left").withColumn("_turn", turn)
+    copies = keys.select("_page", "digest").distinct().join(first, "digest").withColumn("_copy", F.lit(True))
+    turn = F.row_number().over(Window.partitionBy("_page", "digest").orderBy("url"))
+    both = rows.join(copies.hint("merge"), ["_page", "digest"], "left").withColumn("_turn", turn)
     again = F.coalesce("_copy", F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("_turn") == 1))
     return both.select(
         "page_id", "url", F.col("_turn").alias("turn"), F.octet_length("html").cast("long").alias("n_bytes"), F.when(~again, F.col("html")).alias("html"), "digest",
