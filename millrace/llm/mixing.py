@@ -74,7 +74,8 @@ def targets(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: floa
     left = F.sum(F.col("source_size").cast("double")).over(everything) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))
     weight_left = F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     rows = rows.withColumn("_level", left / weight_left)
-    level = F.min(F.when(F.col("_level") <= F.col("_ratio"), F.struct("_ratio", "_level"))).over(everything)["_level"]
+    # of the sources that are not stopped the first has the right level; it only falls after that
+    level = F.max(F.when(F.col("_level") <= F.col("_ratio"), F.col("_level"))).over(everything)
     return rows.withColumn("target", F.least(F.col("_limit"), F.coalesce(level * F.col("weight"), F.col("_limit")))).drop("_limit", "_ratio", "_level")
 
 
