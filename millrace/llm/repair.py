@@ -25,14 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, quantile_bounds, range_part, scratch
+from .common import arrow_rows, materialise, quantile_bounds, range_part, scratch
 
 SHARD_TOKENS, ROUNDS, LEAST = 1 << 19, 4, 12
 #: Rows of one part of the id range, about: a task's share.
 PART_ROWS = 8_000
+#: Parts whose sums are broadcast; 16 MB.
+SENT_PARTS = 1_000_000
 
 _SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_starts array<long>, base int, rules binary, lengths binary, width int, symbols binary"
 
@@ -61,18 +63,21 @@ def _replace(s: np.ndarray, base: int, room: int, least: int) -> tuple[np.ndarra
             chosen.append(key)
     if not chosen:
         return s, none
-    chosen_keys = np.sort(np.array(chosen, kind))
-    is_left, is_right = np.zeros(top, bool), np.zeros(top, bool)
-    is_left[list(lefts)] = is_right[list(rights)] = True
-    at = np.flatnonzero(is_left[s[:-1]] & is_right[s[1:]])
-    rule = np.minimum(np.searchsorted(chosen_keys, keys[at]), len(chosen_keys) - 1)
-    hit = chosen_keys[rule] == keys[at]
-    at, rule = at[hit], rule[hit]
+    # rows and columns of a table of rules by left and right symbol; row and column 0 stand for no pair
+    row, column = np.zeros(top, "int32"), np.zeros(top, "int32")
+    row[sorted(lefts)] = np.arange(1, len(lefts) + 1)
+    column[sorted(rights)] = np.arange(1, len(rights) + 1)
+    ordered = np.sort(np.array(chosen, kind))
+    pairs = np.stack([ordered >> np.array(shift, kind), ordered & np.array(mask, kind)], 1).astype(s.dtype)
+    table = np.zeros((len(lefts) + 1, len(rights) + 1), "int32")
+    table[row[pairs[:, 0]], column[pairs[:, 1]]] = np.arange(1, len(pairs) + 1)
+    rule = table.ravel()[row[s[:-1]] * (len(rights) + 1) + column[s[1:]]]
+    at = np.flatnonzero(rule)
     out = s.copy()
-    out[at] = base + rule
+    out[at] = base + rule[at] - 1
     keep = np.ones(len(s), bool)
     keep[at + 1] = False
-    return out[keep], np.stack([chosen_keys >> np.array(shift, kind), chosen_keys & np.array(mask, kind)], 1).astype(s.dtype)
+    return out[keep], pairs
 
 
 def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -202,16 +207,18 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
     dealt.mapInPandas(run, _SHARD).write.parquet(path)
 
 
-def shards(spark, path: str) -> DataFrame:  # noqa: ANN001
-    """The shards with ``start`` counted over all parts; the only global sort is of one row a part."""
+def shards(spark: SparkSession, path: str) -> DataFrame:
+    """The shards with ``start`` counted over all parts; the only global sort is of one row a part. The sums are
+    sent to the shards if they are few enough, else joined."""
     rows = spark.read.schema(_SHARD).parquet(path)
     parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("part", before.alias("_before"))
-    return rows.join(parts, "part").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
+    parts = materialise(parts.select("part", before.alias("_before")), "parts")
+    sent = F.broadcast(parts) if parts.count() <= SENT_PARTS else parts
+    return rows.join(sent, "part").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
 
 
-def read(spark, path: str, with_ids: bool = False) -> DataFrame:  # noqa: ANN001
+def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
     """Per document of the files: doc_id, start, n_tokens, ids_crc32, part, shard and, if asked for, the
     ids."""
 

@@ -1,21 +1,25 @@
 """Token ids from a public tokenizer file, with a bounded memo of words.
 
-The pre-tokenizers of both vocabularies never join what a single space between two other
-characters separates, so a text is cut there and each piece encoded on its own; pieces repeat, and a
-memo answers the repeats. What the memo lacks goes to the tokenizers library.
+The pre-tokenizers of both vocabularies always begin a new piece at a space that is followed by anything but
+white space, so a text is cut there and each piece encoded on its own; pieces repeat, and a memo answers the
+repeats. What the memo lacks goes to the tokenizers library.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from struct import pack
 
 #: Pieces a worker remembers before it starts afresh; some 200 MB.
 MEMO_PIECES = 800_000
-_WORD = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]?)\Z")
-_CUT = re.compile(r"(?<! )(?= [^ ])")
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+_CUT = re.compile(r"(?= \S)")
+
+
+def _pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    return pack(f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -26,8 +30,12 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+class _Odd(Exception):
+    """A space is followed by white space, or by nothing."""
+
+
 class Encoder(dict):
-    """piece -> its ids as little-endian unsigned 32-bit integers.
+    """word -> the ids of a space and the word, as little-endian unsigned 32-bit integers.
 
     ``lower`` tells that the vocabulary is lower-case and drops white space.
     """
@@ -38,41 +46,49 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.lower = self._ids("A") == self._ids("a") and not self._ids(" ")
+        self.marks = {m: _pack(self._ids(m)) for m in ".,"}
+        self.space = "" if self.lower else self.letters[32]
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _one(self, word: str) -> list[int]:
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+    def _one(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
+        if not word or word[0].isspace():
+            raise _Odd
         if len(self) >= MEMO_PIECES:
             self.clear()
-        found = _WORD.match(piece)
-        if found is None:
-            ids = self._ids(piece)
+        body, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
+        if not _LETTERS(body):
+            packed = _pack(self._ids(" " + word))
+        elif mark:
+            packed = self[body] + self.marks[mark]
         else:
-            space, word, mark = found.groups()
-            ids = self._one(word.lower() if self.lower else space + word)
-            ids += self._one(mark) if mark else []
-        packed = np.array(ids, "<u4").tobytes()
-        if len(piece) <= 40:
-            self[piece] = packed
+            packed = _pack([t.id for t in self.tokenize(self.space + self._one(body.lower() if self.lower else body))])
+        if len(word) <= 40:
+            self[word] = packed
         return packed
 
+    def _piece(self, piece: str) -> bytes:
+        return _pack(self._ids(piece))
+
     def packed(self, text: str | None, end: int | None = 0) -> bytes:
         """The ids of ``text`` (null: empty), then ``end``."""
+        tail = b"" if end is None else _pack([end])
         if not text:
-            pieces = []
-        elif "  " in text:
-            pieces = _CUT.split(text)
-        else:
-            pieces = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _CUT.split(text)
-        tail = b"" if end is None else np.array([end], "<u4").tobytes()
-        return b"".join(map(self.__getitem__, pieces)) + tail
+            return tail
+        first, *words = text.split(" ")
+        try:
+            return self._piece(first) + b"".join(map(self.__getitem__, words)) + tail
+        except _Odd:
+            first, *words = _CUT.split(text)
+            simple = [self[w[1:]] if len(w) > 1 and not any(map(str.isspace, w[1:])) else self._piece(w) for w in words]
+            return self._piece(first) + b"".join(simple) + tail
 
 
 _ENCODERS: dict[str, Encoder] = {}
