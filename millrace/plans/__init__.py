@@ -1,6 +1,6 @@
 """Registered queries of the document and invoice operators, and their SQL."""
 
-from . import cleaning, invoices, operations
+from . import cleaning, invoices, layouts, operations
 
-QUERIES = cleaning.QUERIES | invoices.QUERIES | operations.QUERIES
-ORACLES = cleaning.ORACLES | invoices.ORACLES | operations.ORACLES
+QUERIES = cleaning.QUERIES | invoices.QUERIES | operations.QUERIES | layouts.QUERIES
+ORACLES = cleaning.ORACLES | invoices.ORACLES | operations.ORACLES | layouts.ORACLES
