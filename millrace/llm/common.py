@@ -16,6 +16,8 @@ DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Rows in one Arrow batch handed to Python. Texts average a few kB, so a batch stays at a few MB
 #: and at most this many of the longest texts are in a worker at once.
 ARROW_ROWS = 256
+#: Parts of an id range at most: their bounds are constants of the plan. Beyond it parts grow, and are sorted on disk.
+MOST_PARTS = 8192
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,7 +69,8 @@ def chosen(share: Column | float, *keys: Column, salt: str) -> Column:
 
 def quantile_bounds(df: DataFrame, key: str, parts: int) -> list:
     """At most ``parts - 1`` ascending values of ``key`` that cut the rows into parts of about equal
-    count. One scan of that column alone; what comes back is bounded by ``parts``."""
+    count. One scan of that column alone; what comes back is bounded by ``MOST_PARTS``."""
+    parts = min(parts, MOST_PARTS)
     if parts <= 1:
         return []
     shares = [i / parts for i in range(1, parts)]

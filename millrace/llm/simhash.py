@@ -3,7 +3,8 @@
 A document's fingerprint is the majority bit, at each of 64 places, of the XXH64 hashes of its word
 shingles. Equal fingerprints are one class; only classes are compared. Two fingerprints that differ
 in at most ``radius`` bits agree in at least one of ``radius + 1`` blocks of bits, so each (block,
-value) is a shard with its own BK-tree, and every link is found in some shard. A tree's children are
+value) is a shard with its own BK-tree, and every link is found in some shard. Many fingerprints are cut into more
+blocks, of which two or more agree, so that shards stay small at any size. A tree's children are
 keyed by their integer distance to the parent, and a search follows only the edges from d - radius to
 d + radius, where d is its distance to the node. A tree lives in the task that holds its shard (trees
 of all shards of a batch are searched together), so none is sent anywhere.
@@ -21,6 +22,7 @@ never names a class unless all of the class are null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,6 +35,8 @@ from .components import components
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Pairs of a search and a node that are handled at once; some 200 MB.
 FRONTIER = 2_000_000
+#: Fingerprints that a shard should have at most, were they evenly spread.
+SHARD = 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
@@ -165,19 +169,35 @@ def group_components(group: np.ndarray, values: np.ndarray, radius: int = RADIUS
     return labels
 
 
-def _blocks(fp: Column, radius: int) -> Column:
-    """The (block, value) shards of a fingerprint, each as one long."""
-    edges = [64 * i // (radius + 1) for i in range(radius + 2)]
+def _shards(fp: Column, radius: int, agree: int) -> Column:
+    """The shards of a fingerprint, each as one long: the values of every choice of ``agree`` of ``radius + agree``
+    blocks of bits. Fingerprints within the radius agree in at least one choice."""
+    n = radius + agree
+    edges = [64 * i // n for i in range(n + 1)]
+    choices = list(combinations(range(n), agree))
     keys = []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        value = F.shiftrightunsigned(fp, lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
-        keys.append(value * (radius + 1) + i)
+    for i, choice in enumerate(choices):
+        value = F.lit(0).cast("long")
+        for block in choice:
+            width = edges[block + 1] - edges[block]
+            value = F.shiftleft(value, width).bitwiseOR(F.shiftrightunsigned(fp, edges[block]).bitwiseAND(F.lit((1 << width) - 1)))
+        keys.append(value * len(choices) + i)
     return F.array(*keys)
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+def blocks_to_agree(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:
+    """So many blocks that ``n`` evenly spread fingerprints make shards of at most ``shard``; more blocks mean more shards
+    for each fingerprint, and as complete a search."""
+    agree = 1
+    while agree < 4 and n >> (64 * agree // (radius + agree)) > shard:
+        agree += 1
+    return agree
+
+
+def links(fps: DataFrame, radius: int = RADIUS, agree: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) whose components are those of all pairs within the
     radius."""
+    agree = agree or blocks_to_agree(fps.count(), radius)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def solve(shard: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
@@ -203,7 +223,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield solve(rows["shard"].to_numpy(), rows["fp"].to_numpy())
 
     arrow_rows(fps.sparkSession, 20_000)
-    sharded = fps.select("fp", F.explode(_blocks(F.col("fp"), radius)).alias("shard"))
+    sharded = fps.select("fp", F.explode(_shards(F.col("fp"), radius, agree)).alias("shard"))
     return sharded.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "a long, b long")
 
 

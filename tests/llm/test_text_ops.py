@@ -118,6 +118,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_any_number_of_agreeing_blocks_finds_all_links(spark):
+    rng = np.random.default_rng(3)
+    v = rng.integers(-(2**63), 2**63 - 1, 12)[rng.integers(0, 12, 300)]
+    for _ in range(5):
+        v = v ^ (np.int64(1) << rng.integers(0, 64, 300))
+    v = np.unique(v)
+    near = np.bitwise_count(v[:, None].view("u8") ^ v[None, :].view("u8")) <= 4
+    want = simhash.joined(np.arange(len(v)), *np.where(near))
+    fps = spark.createDataFrame([(int(x),) for x in v], "fp long")
+    at = {int(x): i for i, x in enumerate(v)}
+    for agree in (1, 2, 3, 4):
+        pairs = simhash.links(fps, 4, agree).collect()
+        a, b = (np.array([at[p[k]] for p in pairs], "int64") for k in (0, 1))
+        assert (simhash.joined(np.arange(len(v)), a, b) == want).all()
+    assert [simhash.blocks_to_agree(n) for n in (10, 8 * 10**6, 10**9, 10**11)] == [1, 1, 2, 3]
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 3, 10, 100, 73_049):
         some = range(min(size, 1500))
