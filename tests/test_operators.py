@@ -164,3 +164,67 @@ def test_last_edit_wins(spark):
     cells = spark.createDataFrame([("o", "S", 1, 1, "a"), ("o", "S", 1, 2, "b")], "output string, sheet string, row int, column int, value string")
     edits = spark.createDataFrame([("O", "s", 1, 1, "x", 1), ("o", "s", 1, 1, None, 2)], "output string, sheet string, row int, column int, value string, edit_id int")
     assert {r.column: (r.value, r.edited) for r in jobs.apply_review(cells, edits).collect()} == {1: (None, True), 2: ("b", False)}
+
+
+def test_alternatives_and_votes(spark):
+    from millrace.operators import columns
+
+    readings = spark.createDataFrame([(1, "a", 5.0), (1, "a", 9.0), (1, "b", 7.0), (1, "c", 7.0), (1, "d", 1.0)], "p int, text string, conf double")
+    got = columns.alternatives(readings, ["p"]).first().alternatives
+    assert [(a.text, a.conf) for a in got] == [("a", 9.0), ("b", 7.0), ("c", 7.0)]
+    cells = spark.createDataFrame([(1, 0, 0, "$5"), (1, 0, 1, "AED 5"), (1, 1, 0, "x")], "d int, r int, c int, text string")
+    assert columns.currency_vote(cells, ["d"]).first().currency == "USD"
+
+
+def test_restored_decimals(spark):
+    from millrace.operators import columns
+
+    cells = spark.createDataFrame([(1, i, 0, t) for i, t in enumerate(("1.50", "2.25", "3.10", "499", "7"))], "d int, r int, c int, text string")
+    assert {r.text: r.restored for r in columns.restore_decimals(cells, ["d"]).collect()} == {"1.50": "1.50", "2.25": "2.25", "3.10": "3.10", "499": "4.99", "7": "7"}
+
+
+def test_field_pairs(spark):
+    from millrace.operators import fields
+
+    rows = spark.createDataFrame([(["Name: Bo", "Tel: 5"],), (["Total", "7"],), (["only"],), (["5", "6"],)], "cells array<string>")
+    got = [[(p.label, p.value) for p in r.f] for r in rows.select(fields.field_pairs(F.col("cells")).alias("f")).collect()]
+    assert got == [[("Name", "Bo"), ("Tel", "5")], [("Total", "7")], [], []]
+    table = sheet(spark, [["Name", "City", "Zone"], ["Bo", "Oslo", "3"], ["x", "1"]])
+    assert {(r.label, r.value) for r in fields.label_rows(table, ["source"]).collect()} == {("Name", "Bo"), ("City", "Oslo"), ("Zone", "3")}
+
+
+def test_best_candidate_is_filled(spark):
+    from millrace.operators import fields
+
+    rows = spark.createDataFrame([(1, 2, {"a": "x", "b": ""}), (1, 1, {"a": "y", "b": "z"})], "d int, rank int, fields map<string,string>")
+    assert fields.best_candidate(rows, ["d"]).first().fields == {"a": "x", "b": "z"}
+    merged = spark.range(1).select(fields.overlay(F.create_map(F.lit("a"), F.lit("1"), F.lit("e"), F.lit("2")), F.create_map(F.lit("a"), F.lit("9"), F.lit("e"), F.lit("8"), F.lit("n"), F.lit("7")), ("e",)).alias("m")).first().m
+    assert merged == {"a": "9", "e": "2", "n": "7"}
+
+
+def test_layout_pieces(spark):
+    from millrace.operators import layout
+
+    sections = spark.createDataFrame([(1, 0, "text", "ACME"), (1, 1, "table", ""), (2, 0, "text", "two\nlines")], "p int, section int, kind string, text string")
+    assert [(r.p, r.masthead) for r in layout.masthead(sections, ["p"]).collect()] == [(1, "ACME")]
+    lines = spark.createDataFrame([(1, i, h) for i, h in enumerate((10.0, 10.0, 50.0, 10.0, 11.0, 9.0))], "p int, line int, height double")
+    run = layout.uniform_rows(lines, ["p"]).first()
+    assert (run.first_line, run.n_lines) == (3, 3)
+    rules = spark.createDataFrame([(1, 0, 50.0, 0.0, 100.0), (1, 1, 22.0, 0.0, 100.0), (1, 2, 60.0, 0.0, 10.0)], "p int, rule_idx int, x double, y0 double, y1 double")
+    block = spark.createDataFrame([(1, 0.0, 100.0, 0.0, 100.0)], "p int, x0 double, x1 double, y0 double, y1 double")
+    words = spark.createDataFrame([(1, 10.0, 40.0, 10.0, 20.0)], "p int, x0 double, x1 double, y0 double, y1 double")
+    assert [r.rule_idx for r in layout.clear_rules(rules, block, words, ["p"]).collect()] == [0]
+    rows = spark.createDataFrame([(["Item", "Qty"],), (["Item", "5"],), (["one"],)], "cells array<string>")
+    assert [r.h for r in rows.select(layout.layout_header(F.col("cells")).alias("h")).collect()] == [True, False, False]
+
+
+def test_accounts(spark):
+    from millrace.operators import accounts
+
+    plans = spark.createDataFrame([("a", True, 1, 5.0), ("b", False, 0, 9.0)], "slug string, active boolean, sort_order int, price double")
+    users = spark.createDataFrame([(1, "a"), (2, "b"), (3, "zz")], "user_id int, plan_slug string")
+    assert {r.user_id: r.price for r in accounts.with_plan(users, plans).collect()} == {1: 5.0, 2: None, 3: None}
+    assert accounts.known_plan(users, plans).count() == 2 and [p.slug for p in accounts.active_plans(plans).collect()] == ["a"]
+    assert accounts.seed_plans(plans.limit(0), plans).count() == 2 and accounts.seed_plans(plans, plans).count() == 2
+    codes = spark.createDataFrame([("Request timed out",), ("503 Unavailable",), ("boom",)], "m string").select(accounts.failure_code(F.col("m")).alias("c")).collect()
+    assert [r.c for r in codes] == ["timeout", "unavailable", "failed"]

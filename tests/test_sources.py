@@ -60,3 +60,22 @@ def test_sinks(spark, tmp_path):
     assert sinks.data_sheet(invoices).first().supplier == "x"
     titles = spark.createDataFrame([(1, 0, "A/B"), (1, 1, "a b"), (1, 2, None)], "d int, position int, name string")
     assert [r.title for r in sinks.sheet_titles(titles, ["d"]).orderBy("position").collect()] == ["A B", "a b_2", "Sheet"]
+
+
+def test_providers(spark):
+    from millrace.sources import provider
+
+    def down(_):
+        raise provider.Unavailable("no route")
+
+    def reads(content):
+        if content == b"bad":
+            raise ValueError("unreadable")
+        return [("text", content.decode())]
+
+    images = spark.createDataFrame([("p1", b"hello"), ("p2", b"bad")], "path string, content binary")
+    got = {r.path: r for r in provider.read_pages(images, [("first", down), ("second", reads)]).collect()}
+    assert got["p1"].provider == "second" and got["p1"].blocks[0].content == "hello" and got["p1"].fallback_reason == "first: no route"
+    assert got["p2"].error == "ValueError: unreadable" and got["p2"].blocks == []
+    answers = spark.createDataFrame([(1, '{"parsing_res_list": [{"block_label": "table", "block_content": "x"}]}'), (2, '{"blocks": [{"type": "text", "text": "y"}]}')], "id int, j string")
+    assert {(r.id, r.label, r.content) for r in provider.blocks_of(answers, "id", "j").collect()} == {(1, "table", "x"), (2, "text", "y")}
