@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,32 +28,61 @@ def split_cells(words: DataFrame, by: list[str], gap: float) -> DataFrame:
     return words.withColumn("_new", F.when(F.col("x0") - before > gap, 1).otherwise(0)).withColumn("cell", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")).drop("_new")
 
 
-def _grouped(rows: DataFrame, by: list[str], fold: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """An ordered fold of each page; a page is small, so a group is."""
+def fold_pages(rows: DataFrame, by: list[str], order: list[str], needed: list[str], fold: Callable[..., tuple[Sequence[int], Sequence]], out: str) -> DataFrame:
+    """An ordered fold of each page. ``fold`` gets the lists of the ``needed`` columns of a page, sorted by ``order``, and gives
+    the numbers of the rows to keep and their values of the new column ``out`` (name and type).
+
+    Pages come sorted, many in an Arrow batch, so a page costs no more than its rows; the last page of a batch waits for
+    the next.
+    """
     workers_import(rows.sparkSession)
-    return rows.groupBy(*by).applyInPandas(fold, schema)
+    name = out.split()[0]
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), out])
+
+    def pages(held: pd.DataFrame, last: bool) -> tuple[pd.DataFrame, pd.DataFrame]:
+        codes = [pd.factorize(held[k], use_na_sentinel=False)[0] for k in by]
+        starts = [0, *(np.flatnonzero(np.any([np.diff(c) != 0 for c in codes], axis=0)) + 1).tolist()]
+        ends = [*starts[1:], len(held)]
+        lists = [held[c].tolist() for c in needed]
+        index, values = [], []
+        for a, b in zip(starts, ends, strict=True) if last else zip(starts[:-1], ends[:-1], strict=True):
+            keep, made = fold(*(x[a:b] for x in lists))
+            index += [a + i for i in keep]
+            values += made
+        return held.iloc[index].assign(**{name: values}), held.iloc[starts[-1] :]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            done, held = pages(held, False)
+            held = held.reset_index(drop=True)
+            if len(done):
+                yield done
+        if held is not None:
+            yield pages(held, True)[0]
+
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 def words_to_lines(words: DataFrame, by: list[str]) -> DataFrame:
     """words (by, word_idx, y0, y1 and others) with ``line``. In the order of their middles a word joins the
     latest line whose last word's middle is within half the smaller height."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema), "line int"])
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(_m=(page["y0"] + page["y1"]) / 2).sort_values(["_m", "word_idx"], kind="stable")
+    def fold(y0: list[float], y1: list[float]) -> tuple[Sequence[int], list[int]]:
         lasts: list[tuple[float, float]] = []
         lines = []
-        for mid, height in zip(page["_m"], page["y1"] - page["y0"], strict=True):
-            line = next((i for i in range(len(lasts) - 1, -1, -1) if abs(mid - lasts[i][0]) <= min(height, lasts[i][1]) / 2), None)
-            if line is None:
-                line = len(lasts)
-                lasts.append((mid, height))
-            else:
-                lasts[line] = (mid, height)
+        for a, b in zip(y0, y1, strict=True):
+            mid, height = (a + b) / 2, b - a
+            line = next((i for i in range(len(lasts) - 1, -1, -1) if abs(mid - lasts[i][0]) <= min(height, lasts[i][1]) / 2), len(lasts))
+            lasts[line : line + 1] = [(mid, height)]
             lines.append(line)
-        return page.drop(columns="_m").assign(line=lines)
+        return range(len(lines)), lines
 
-    return _grouped(words, by, fold, schema)
+    middle = words.withColumn("_m", (F.col("y0") + F.col("y1")) / 2)
+    return fold_pages(middle, by, ["_m", "word_idx"], ["y0", "y1"], fold, "line int").drop("_m")
 
 
 def words_to_cells(words: DataFrame, cells: DataFrame, by: list[str], slack: float = 3.0) -> DataFrame:
@@ -96,21 +126,21 @@ def value_below(labels: DataFrame, words: DataFrame, by: list[str], most: float
 def suppress(words: DataFrame, by: list[str], most: float = 0.55) -> DataFrame:
     """Non-maximum suppression: in order of confidence a word stays unless it overlaps one that stays by more than
     ``most`` of the smaller box; the one that stays keeps its text as an alternative."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema), "alternatives array<string>"])
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple] = []
+    def fold(x0: list, x1: list, y0: list, y1: list, text: list) -> tuple[list[int], list[list[str]]]:
+        kept: list[int] = []
         others: list[list[str]] = []
-        for row in page.sort_values(["conf", "word_idx"], ascending=[False, True]).itertuples(index=False):
-            area = max((row.x1 - row.x0) * (row.y1 - row.y0), 1e-9)
-            for i, k in enumerate(kept):
-                shared = max(0, min(row.x1, k.x1) - max(row.x0, k.x0)) * max(0, min(row.y1, k.y1) - max(row.y0, k.y0))
-                if shared / min(area, max((k.x1 - k.x0) * (k.y1 - k.y0), 1e-9)) > most:
-                    others[i].append(row.text)
+        area = [max((b - a) * (d - c), 1e-9) for a, b, c, d in zip(x0, x1, y0, y1, strict=True)]
+        for i in range(len(text)):
+            for at, k in enumerate(kept):
+                shared = max(0, min(x1[i], x1[k]) - max(x0[i], x0[k])) * max(0, min(y1[i], y1[k]) - max(y0[i], y0[k]))
+                if shared / min(area[i], area[k]) > most:
+                    others[at].append(text[i])
                     break
             else:
-                kept.append(row)
+                kept.append(i)
                 others.append([])
-        return pd.DataFrame(kept, columns=page.columns).assign(alternatives=others).sort_values(["y0", "x0"])
+        return kept, others
 
-    return _grouped(words, by, fold, schema)
+    ordered = words.withColumn("_c", -F.col("conf"))
+    return fold_pages(ordered, by, ["_c", "word_idx"], ["x0", "x1", "y0", "y1", "text"], fold, "alternatives array<string>").drop("_c")

@@ -2,31 +2,31 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from statistics import median
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numeric_cell
-from ..session import workers_import
-from .geometry import _grouped
+from .geometry import fold_pages
 
 
 def centroid_lines(words: DataFrame, by: list[str], share: float = 0.55) -> DataFrame:
     """words (by, word_idx, y0, y1 and others) with ``line``: in the order of their middles a word joins the current line
     while its middle is within ``share`` of the median height of the mean of the line's middles."""
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema), "line int"])
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(_m=(page["y0"] + page["y1"]) / 2).sort_values(["_m", "word_idx"], kind="stable")
-        slack, total, n, line, lines = float((page["y1"] - page["y0"]).median()) * share, 0.0, 0, -1, []
-        for mid in page["_m"]:
+    def fold(y0: list[float], y1: list[float]) -> tuple[range, list[int]]:
+        slack, total, n, line, lines = median(b - a for a, b in zip(y0, y1, strict=True)) * share, 0.0, 0, -1, []
+        for a, b in zip(y0, y1, strict=True):
+            mid = (a + b) / 2
             if n == 0 or abs(mid - total / n) > slack:
                 line, total, n = line + 1, 0.0, 0
             total, n = total + mid, n + 1
             lines.append(line)
-        return page.drop(columns="_m").assign(line=lines)
+        return range(len(lines)), lines
 
-    return _grouped(words, by, fold, schema)
+    middle = words.withColumn("_m", (F.col("y0") + F.col("y1")) / 2)
+    return fold_pages(middle, by, ["_m", "word_idx"], ["y0", "y1"], fold, "line int").drop("_m")
 
 
 def overlaps(boxes: DataFrame, by: list[str], share: float = 0.3) -> DataFrame:
@@ -79,28 +79,25 @@ def masthead(sections: DataFrame, by: list[str]) -> DataFrame:
 def serial_chain(words: DataFrame, by: list[str], least_gap: float = 8.0) -> DataFrame:
     """words (by, word_idx, value: long, y0, conf): those of the longest chain down the page that counts up by one, the surest
     of equally long ones."""
-    workers_import(words.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in words.schema)
 
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y0", "word_idx"], kind="stable").reset_index(drop=True)
+    def fold(value: list[int], y0: list[float], conf: list[float]) -> tuple[list[int], list[int]]:
         best: list[tuple[int, float, int]] = []  # length, confidence, the row before
         ends: dict[int, list[int]] = {}
-        for i, row in enumerate(page.itertuples(index=False)):
-            chain = (1, row.conf, -1)
-            for j in ends.get(row.value - 1, ()):
-                if row.y0 - page["y0"][j] >= least_gap:
-                    chain = max(chain, (best[j][0] + 1, best[j][1] + row.conf, j))
+        for i, (v, y, c) in enumerate(zip(value, y0, conf, strict=True)):
+            chain = (1, c, -1)
+            for j in ends.get(v - 1, ()):
+                if y - y0[j] >= least_gap:
+                    chain = max(chain, (best[j][0] + 1, best[j][1] + c, j))
             best.append(chain)
-            ends.setdefault(row.value, []).append(i)
-        at = max(range(len(best)), key=lambda i: best[i][:2], default=-1)
+            ends.setdefault(v, []).append(i)
+        at = max(range(len(best)), key=lambda i: best[i][:2])
         kept = []
         while at >= 0:
             kept.append(at)
             at = best[at][2]
-        return page.iloc[sorted(kept)]
+        return kept[::-1], list(range(len(kept)))
 
-    return words.groupBy(*by).applyInPandas(fold, schema)
+    return fold_pages(words, by, ["y0", "word_idx"], ["value", "y0", "conf"], fold, "place int")
 
 
 def uniform_rows(lines: DataFrame, by: list[str]) -> DataFrame:
