@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import documents, html, master, reconcile, repair, rows
+from ..operators import assembly, documents, html, master, reconcile, repair, rows
 from .tables import table
 
 
@@ -169,6 +169,25 @@ def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("l_orderkey", "r", "c", "text", "spanned", "header")
 
 
+def _invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An invoice per order: a section, its items, of which some prices lost their last digit, and totals."""
+    li = _lines(spark, sf_dir).where("l_orderkey % 5 = 1")
+    price = F.col("l_partkey") % 9000 + 10007
+    read = F.when((F.col("l_partkey") % 4 == 0), F.floor(price / 10)).otherwise(price)
+    total = (price * F.col("l_quantity")).cast("double")
+    cell = lambda c: F.concat(F.lit("<td>"), c)
+    row = F.concat(F.lit("<tr>"), cell(F.concat(F.lit("goods of lot "), F.col("l_partkey").cast("string"))), cell(F.col("l_quantity").cast("int").cast("string")), cell(F.format_string("%d.00", read)), cell(F.format_string("%.2f", total)))
+    body = li.groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", row.alias("row")))), lambda x: x["row"]), "").alias("body"), F.sum(total).alias("sum"))
+    head = F.lit('<table><tr><th>Description<th>Qty<th>Unit price<th>Amount<tr><td colspan="4">Goods of the first kind')
+    foot = F.concat(F.lit('<tr><td colspan="3">Subtotal<td>'), F.format_string("%.2f", "sum"), F.lit('<tr><td colspan="3">VAT<td>10.00<tr><td colspan="3">Grand total<td>'), F.format_string("%.2f", F.col("sum") + 10), F.lit("</table>"))
+    return body.select(F.col("l_orderkey").alias("doc_id"), F.concat(head, "body", foot).alias("html"))
+
+
+def extract_invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = assembly.extract(_invoice_pages(spark, sf_dir))
+    return found.items.join(found.checks.select("doc_id", "items_ok", "totals_ok"), "doc_id").select("doc_id", "item_no", "section", "description", F.col("fixed_qty").alias("qty"), F.col("fixed_unit_price").alias("unit_price"), F.col("fixed_line_total").alias("line_total"), "items_ok", "totals_ok")
+
+
 def html_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.header_band(html.table_cells(_html_tables(spark, sf_dir), ["l_orderkey"]), ["l_orderkey"])
 
@@ -210,7 +229,7 @@ QUERIES = {
     "line_agreement": line_agreement, "quantity_repair": quantity_repair, "repair_items": repair_items, "tax_columns": tax_columns, "order_reconciliation": order_reconciliation,
     "resolve_totals": resolve_totals, "totals_from_lines": totals_from_lines, "fill_totals": fill_totals, "row_kinds": row_kinds, "classify_docs": classify_docs,
     "document_signals": document_signals, "labelled_fields": labelled_fields, "party_blocks": party_blocks, "master_exact": master_exact, "fuzzy_master": fuzzy_master,
-    "ground_numbers": ground_numbers, "html_cells": html_cells, "html_headings": html_headings, "html_rows": html_rows, "page_text": page_text, "merge_pages": merge_pages,
+    "ground_numbers": ground_numbers, "html_cells": html_cells, "extract_invoices": extract_invoices, "html_headings": html_headings, "html_rows": html_rows, "page_text": page_text, "merge_pages": merge_pages,
     "section_fill": section_fill, "sequence_repair": sequence_repair,
 }
 
@@ -274,6 +293,9 @@ ORACLES = {
         UNION ALL SELECT l_orderkey, n, 0, 'A&B ' || CAST(l_orderkey AS VARCHAR), n > 1, false FROM l UNION ALL SELECT l_orderkey, n, 1, CAST(l_partkey AS VARCHAR), false, false FROM l
         UNION ALL SELECT l_orderkey, n, 2, printf('%.2f', l_extendedprice), false, false FROM l
         UNION ALL SELECT l_orderkey, k + 1, i, (['Total', '', '1.00'])[i + 1], i = 1, false FROM s, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
+    "extract_invoices": f"""
+        SELECT l_orderkey AS doc_id, CAST({_N} AS INTEGER) AS item_no, 'Goods of the first kind' AS section, 'goods of lot ' || CAST(l_partkey AS VARCHAR) AS description, l_quantity AS qty,
+               CAST(l_partkey % 9000 + 10007 AS DOUBLE) AS unit_price, CAST(l_partkey % 9000 + 10007 AS DOUBLE) * l_quantity AS line_total, true AS items_ok, true AS totals_ok FROM lineitem WHERE l_orderkey % 5 = 1""",
     "html_headings": """
         WITH s AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0)
         SELECT l_orderkey, i AS c, (['Order', 'Part', 'Amount'])[i + 1] AS heading, 1 AS band FROM s, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
