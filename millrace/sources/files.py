@@ -125,6 +125,44 @@ def sheets(found: DataFrame) -> DataFrame:
     return found.where(F.col("suffix").isin(*TABULAR)).select("path", "suffix", "content").mapInPandas(run, SHEET)
 
 
+def _office_lines(content: bytes, suffix: str) -> Iterator[tuple[str, list[str]]]:
+    """(kind, cells) of the paragraphs and table rows of a .docx, or of the text of a .pptx's slides, in order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        if suffix == "docx":
+            w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+            said = lambda e: "".join(t.text or "" for t in e.iter(f"{w}t"))
+            for e in ElementTree.fromstring(z.read("word/document.xml")).find(f"{w}body"):
+                if e.tag == f"{w}p" and said(e).strip():
+                    yield "text", [said(e)]
+                elif e.tag == f"{w}tbl":
+                    yield from (("table", [said(c) for c in r.iter(f"{w}tc")]) for r in e.iter(f"{w}tr"))
+        else:
+            a = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+            slides = sorted((n for n in z.namelist() if re.fullmatch(r"ppt/slides/slide\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n)[0]))
+            for name in slides:
+                for p in ElementTree.fromstring(z.read(name)).iter(f"{a}p"):
+                    line = "".join(t.text or "" for t in p.iter(f"{a}t"))
+                    if line.strip():
+                        yield "text", [line]
+
+
+def office(found: DataFrame) -> DataFrame:
+    """Paragraphs and table rows of .docx and .pptx files: source, kind, row_idx, cells; an unreadable file gives one row of kind
+    'error'. The old binary formats have no reader here."""
+    workers_import(found.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, suffix, content in zip(batch["path"], batch["suffix"], batch["content"], strict=True):
+                try:
+                    rows = [(path, kind, i, cells) for i, (kind, cells) in enumerate(_office_lines(content, suffix))]
+                except Exception as e:  # noqa: BLE001  one bad file must not end the batch; it is reported as a row
+                    rows = [(path, "error", -1, [f"{type(e).__name__}: {e}"])]
+                yield pd.DataFrame(rows, columns=["source", "kind", "row_idx", "cells"])
+
+    return found.where(F.col("suffix").isin("docx", "pptx")).select("path", "suffix", "content").mapInPandas(run, "source string, kind string, row_idx long, cells array<string>")
+
+
 def csv_lines(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     """Rows of CSV files without line breaks in cells, split over tasks: source, value, cells."""
     lines = spark.read.text(path).withColumn("source", F.col("_metadata.file_path"))

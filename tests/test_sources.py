@@ -79,3 +79,21 @@ def test_providers(spark):
     assert got["p2"].error == "ValueError: unreadable" and got["p2"].blocks == []
     answers = spark.createDataFrame([(1, '{"parsing_res_list": [{"block_label": "table", "block_content": "x"}]}'), (2, '{"blocks": [{"type": "text", "text": "y"}]}')], "id int, j string")
     assert {(r.id, r.label, r.content) for r in provider.blocks_of(answers, "id", "j").collect()} == {(1, "table", "x"), (2, "text", "y")}
+
+
+def test_office_files(spark, tmp_path):
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Dear </w:t></w:r><w:r><w:t>all</w:t></w:r></w:p><w:p/><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
+    with zipfile.ZipFile(tmp_path / "b.pptx", "w") as z:
+        z.writestr("ppt/slides/slide1.xml", '<p:sld xmlns:p="p" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:r><a:t>Title</a:t></a:r></a:p></p:sld>')
+    (tmp_path / "c.docx").write_bytes(b"junk")
+    got = sorted((r.kind, r.cells) for r in files.office(files.files(spark, str(tmp_path))).collect() if r.kind != "error")
+    assert got == [("table", ["a", "b"]), ("text", ["Dear all"]), ("text", ["Title"])]
+
+
+def test_blocks_on_a_sheet(spark):
+    from millrace.operators import assembly
+
+    blocks = spark.createDataFrame([(1, 0, [["a"], ["b", "c", "d"]]), (1, 1, [["e"]])], "doc_id int, block_idx int, rows array<array<string>>")
+    assert [(r.row, r.cells) for r in assembly.sheet_rows(blocks).orderBy("row").collect()] == [(0, ["a", "", ""]), (1, ["b", "c", "d"]), (3, ["e", "", ""])]
