@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numeric_cell
-from .geometry import fold_pages
+from ..functions.text import is_noise
+from ..session import materialise
+from .geometry import column_edges, fold_pages, nearest_column, split_cells, words_to_lines
 
 
 def centroid_lines(words: DataFrame, by: list[str], share: float = 0.55) -> DataFrame:
@@ -152,3 +154,32 @@ def clear_rules(rules: DataFrame, blocks: DataFrame, words: DataFrame, by: list[
     for b in by:
         same = same & (F.col(b) == F.col(f"w_{b}"))
     return inside.select(*rules.columns).distinct().join(w, same, "left_anti")
+
+
+def tables_of_words(words: DataFrame, by: list[str], gap: float = 1.5) -> tuple[DataFrame, DataFrame]:
+    """words (by, word_idx, text, conf, x0, x1, y0, y1) -> cells (by, block, line, column_idx, text, conf) and regions (by,
+    block, kind, n_lines, n_columns, header_line, y0, y1).
+
+    Noise goes; words make lines, lines are cut into boxes at gaps of ``gap`` median heights, lines whose boxes stand below
+    each other make blocks, and the white space of a block parts its columns. A cell is as sure as its least sure word. Lines
+    are the only step in Python; boxes are written to the shared folder, as all that follows reads them.
+    """
+    seen = words.where(~is_noise(F.col("text"), F.col("conf")))
+    heights = seen.groupBy(*by).agg((F.median(F.col("y1") - F.col("y0")) * gap).alias("_gap"))
+    lined = words_to_lines(seen, by).join(heights, by)
+    scaled = lined.select("*", (F.col("x0") / F.col("_gap")).alias("_x0"), (F.col("x1") / F.col("_gap")).alias("_x1"))
+    unit = split_cells(scaled.select(*by, "line", "word_idx", F.col("_x0").alias("x0"), F.col("_x1").alias("x1")), [*by, "line"], 1.0).select(*by, "word_idx", "cell")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
+    boxes = lined.join(unit, [*by, "word_idx"]).groupBy(*by, "line", "cell").agg(joined.alias("text"), F.min("conf").alias("conf"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
+    boxes = materialise(boxes.withColumn("box_idx", F.col("line") * 1000 + F.col("cell")), "boxes")
+    lines = boxes.groupBy(*by, "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    placed = boxes.join(group_blocks(lines, boxes, by).select(*by, "line", "block"), [*by, "line"])
+    own = [*by, "block"]
+    columns = column_edges(placed, own).select(*own, "column_idx", ((F.col("x0") + F.col("x1")) / 2).alias("x"))
+    cells = nearest_column(placed.withColumn("word_idx", F.col("box_idx")), columns, own).groupBy(*own, "line", "column_idx").agg(joined.alias("text"), F.min("conf").alias("conf"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    rows = cells.groupBy(*own, "line").agg(F.transform(F.array_sort(F.collect_list(F.struct("column_idx", "text"))), lambda c: c["text"]).alias("t"))
+    heads = rows.groupBy(*own).agg(F.min("line").alias("_first"), F.min_by(layout_header(F.col("t")), "line").alias("_head"), F.count(F.lit(1)).alias("_rows"))
+    sizes = cells.groupBy(*own).agg(F.countDistinct("line").alias("n_lines"), F.countDistinct("column_idx").alias("n_columns"), F.count_if((F.col("column_idx") == 1) & numeric_cell(F.col("text")).isNotNull()).alias("_figures"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    regions = sizes.join(heads, own)
+    header = F.when(F.col("_head") & (F.col("_rows") > 1), F.col("_first"))
+    return cells.drop("y0", "y1"), regions.select(*own, block_kind(F.col("n_columns"), F.col("_figures")).alias("kind"), "n_lines", "n_columns", header.alias("header_line"), "y0", "y1")

@@ -125,6 +125,14 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.group_blocks(lines.withColumn("y0", F.col("y0") + drop).withColumn("y1", F.col("y1") + drop), boxes, ["l_orderkey"]).select("l_orderkey", "line", "block")
 
 
+def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of orders' pages, a speck of dust on each, as tables."""
+    w = _words(spark, sf_dir).select("l_orderkey", "word_idx", "text", F.lit(90.0).alias("conf"), "x0", "x1", "y0", "y1")
+    dust = w.where("word_idx % 7 = 0").select("l_orderkey", (F.col("word_idx") + 100000).alias("word_idx"), F.lit(".").alias("text"), F.lit(5.0).alias("conf"), F.col("x1").alias("x0"), (F.col("x1") + 40).alias("x1"), "y0", "y1")
+    cells, _ = layout.tables_of_words(w.union(dust), ["l_orderkey"])
+    return cells.where("line < 1000").select("l_orderkey", "block", "line", "column_idx", "text", "conf")
+
+
 def region_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     region = lambda i, kind, t, y: F.struct(F.lit(i).alias("region"), F.lit(kind).alias("kind"), t.alias("text"), F.lit(float(y)).alias("y0"), F.lit(float(y + 10)).alias("y1"), F.lit(10.0).alias("line_height"))
@@ -195,7 +203,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "currency_vote": currency_vote, "decimal_places": decimal_places, "isolated_glyphs": isolated_glyphs, "semantic_headings": semantic_headings, "number_columns": number_columns,
     "invoice_fields": invoice_fields, "canonical_fields": canonical_fields, "item_values": item_values, "items_reliable": items_reliable, "validation_gates": validation_gates,
-    "grid_kinds": grid_kinds, "form_fields": form_fields, "label_values": label_values, "line_blocks": line_blocks, "region_titles": region_titles, "ruled_cells": ruled_cells,
+    "grid_kinds": grid_kinds, "form_fields": form_fields, "label_values": label_values, "line_blocks": line_blocks, "layout_tables": layout_tables, "region_titles": region_titles, "ruled_cells": ruled_cells,
     "centroid_lines": centroid_lines, "serial_chains": serial_chains, "reading_alternatives": reading_alternatives, "cell_confidence": cell_confidence, "header_columns": header_columns,
     "account_changes": account_changes, "lead_states": lead_states, "model_scores": model_scores,
 }
@@ -236,6 +244,10 @@ ORACLES = {
         UNION ALL SELECT doc_id, 'phone', '+15550100200' FROM d WHERE phoned""",
     "label_values": "SELECT o_orderkey AS page, 0 AS line, 'Order No' AS label, CAST(o_orderkey AS VARCHAR) || ' of' AS value FROM orders UNION ALL SELECT o_orderkey, 0, 'Order Status', o_orderstatus FROM orders",
     "line_blocks": f"WITH {_W} SELECT DISTINCT l_orderkey, n - 1 AS line, CAST(floor((n - 1) / 4) AS INTEGER) AS block FROM w",
+    "layout_tables": f"""
+        WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 6 = 0)
+        SELECT l_orderkey, 0 AS block, n - 1 AS line, i AS column_idx, CASE i WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE CAST(l_linenumber AS VARCHAR) END AS text, CAST(90.0 AS DOUBLE) AS conf
+        FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
     "region_titles": """
         SELECT o_orderkey AS page, i AS region, CASE WHEN i = 2 THEN 'Items of ' || CAST(o_orderkey AS VARCHAR) END AS title FROM orders, (SELECT CAST(unnest([0, 2, 3, 4]) AS INTEGER) AS i)""",
     "ruled_cells": "SELECT l_orderkey, 3 * (count(*) - 1) AS cells FROM lineitem GROUP BY 1 HAVING count(*) > 1",
