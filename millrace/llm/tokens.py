@@ -11,15 +11,17 @@ import os
 import re
 from struct import pack
 
-#: Pieces a worker remembers before it starts afresh; some 200 MB.
-MEMO_PIECES = 800_000
-_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
+#: Words of the newer and of the older half of a worker's memo; some 200 MB in all. When the newer half is full it becomes
+#: the older one, from which words that are met again are taken over.
+MEMO_PIECES = 550_000
+#: Pieces that both pre-tokenizers make: runs of letters, runs of marks (no apostrophe), a line's end.
+_PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?%&*#$()\"/=+-]+|\n").findall
 _CUT = re.compile(r"(?= \S)")
 
 
 def _pack(ids: list[int]) -> bytes:
     """Little-endian unsigned 32-bit integers."""
-    return pack(f"<{len(ids)}I", *ids)
+    return pack(_FORMATS[len(ids)] if len(ids) < len(_FORMATS) else f"<{len(ids)}I", *ids)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -30,6 +32,9 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
 
 
+_FORMATS = [f"<{n}I" for n in range(64)]
+
+
 class _Odd(Exception):
     """A space is followed by white space, or by nothing."""
 
@@ -46,34 +51,57 @@ class Encoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.older: dict[str, bytes] = {}
         self.tokenize = self.tokenizer.model.tokenize
         self.letters = _byte_letters()
         self.lower = self._ids("A") == self._ids("a") and not self._ids(" ")
-        self.marks = {m: _pack(self._ids(m)) for m in ".,"}
         self.space = "" if self.lower else self.letters[32]
+        self.inner: dict[str, bytes] = {}  # pieces that no space stands before
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _one(self, word: str) -> str:
-        return word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+    def _bare(self, part: str) -> bytes:
+        """The ids of one piece as the pre-tokenizer makes it: letters, marks, or a line's end, perhaps after a space."""
+        if self.lower:
+            part = part.strip().lower()
+            if not part:
+                return b""
+        mapped = part.replace(" ", self.letters[32]).replace("\n", self.letters[10])
+        if not part.isascii():
+            mapped = part.encode().decode("latin-1").translate(self.letters)
+        return _pack([t.id for t in self.tokenize(mapped)])
+
+    def _inside(self, part: str) -> bytes:
+        if len(self.inner) >= MEMO_PIECES // 4:
+            self.inner.clear()
+        packed = self.inner[part] = self._bare(part)
+        return packed
 
     def __missing__(self, word: str) -> bytes:
-        if not word or word[0].isspace():
-            raise _Odd
+        packed = self.older.get(word)
+        if packed is None:
+            if word.isascii() and word.isalpha():
+                packed = _pack([t.id for t in self.tokenize(self.space + (word.lower() if self.lower else word))])
+            elif not word or word[0].isspace():
+                raise _Odd
+            else:
+                packed = self._mixed(word)
         if len(self) >= MEMO_PIECES:
+            self.older = dict(self)
             self.clear()
-        body, mark = (word[:-1], word[-1]) if word[-1] in ".," else (word, "")
-        if not _LETTERS(body):
-            packed = _pack(self._ids(" " + word))
-        elif mark:
-            packed = self[body] + self.marks[mark]
-        else:
-            packed = _pack([t.id for t in self.tokenize(self.space + self._one(body.lower() if self.lower else body))])
         if len(word) <= 40:
             self[word] = packed
         return packed
 
+    def _mixed(self, word: str) -> bytes:
+        parts = _PARTS(word)
+        if sum(map(len, parts)) != len(word) or "\n\n" in word:
+            return _pack(self._ids(" " + word))
+        if len(parts) == 1:
+            return self._bare(" " + word)
+        return self[parts[0]] + b"".join([self.inner.get(p) or self._inside(p) for p in parts[1:]])
+
     def _piece(self, piece: str) -> bytes:
         return _pack(self._ids(piece))
 
