@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, scratch, workers_import
 
-__all__ = ["DOCUMENT_COLUMNS", "arrow_rows", "chosen", "held_out", "materialise", "quantile_bounds", "range_part", "read_table", "scratch"]
+__all__ = ["DOCUMENT_COLUMNS", "arrow_rows", "chosen", "held_out", "ids_as_long", "ids_as_text", "materialise", "quantile_bounds", "range_part", "read_table", "scratch"]
 
 #: Columns of the documents table; pipeline stages but the last return these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -30,6 +30,16 @@ def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def ids_as_text(df: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
+    """``key`` as text, and ``columns``: pandas would turn whole numbers beside nulls into doubles."""
+    return df.select(F.col(key).cast("long").cast("string").alias(key), *columns)
+
+
+def ids_as_long(df: DataFrame, *keys: str) -> DataFrame:
+    """The ids (``doc_id`` if none are named) as whole numbers again."""
+    return df.withColumns({k: F.col(k).cast("long") for k in keys or ("doc_id",)})
+
+
 def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     """True where crc32 of the id, as text, modulo ``folds`` is ``fold``; false for a null id."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, chosen, held_out
+from .common import arrow_rows, chosen, held_out, ids_as_long, ids_as_text
 
 UNKNOWN = "und"
 #: Labelled documents of each language that a model is fitted on, about.
@@ -196,10 +196,10 @@ def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
             batch = batch[batch["text"].map(has_letter)]
             totals = [counts(t) for t in batch["text"]]
             at = [np.flatnonzero(t) for t in totals]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "lang": batch["lang"], "at": [a.astype("<u2").tobytes() for a in at], "n": [t[a].astype("<f4").tobytes() for t, a in zip(totals, at, strict=True)]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": [a.astype("<u2").tobytes() for a in at], "n": [t[a].astype("<f4").tobytes() for t, a in zip(totals, at, strict=True)]})
 
     arrow_rows(labelled.sparkSession)
-    sample = rows.select(F.col("doc_id").cast("long"), "text", "lang").mapInPandas(count, "doc_id long, lang string, at binary, n binary").toPandas()
+    sample = ids_as_text(rows, "text", "lang").mapInPandas(count, "doc_id string, lang string, at binary, n binary").toPandas()
     sample = sample.sort_values(["lang", "doc_id", "n"]).reset_index(drop=True)
     x = np.zeros((len(sample), PLACES), "float32")
     for i, (at, n) in enumerate(zip(sample["at"], sample["n"], strict=True)):
@@ -223,7 +223,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
     """doc_id, the columns of ``keep``, lang_pred and score of every whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the places and the pairs of languages
     fields = [docs.schema[c] for c in keep if c not in ("doc_id", "text")]
-    schema = ", ".join(["doc_id long", "text string" if "text" in keep else "", *[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "lang_pred string", "score double"])
+    schema = ", ".join(["doc_id string", "text string" if "text" in keep else "", *[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "lang_pred string", "score double"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = sent.value
@@ -233,7 +233,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFr
             yield out.assign(lang_pred=[a for a, _ in found], score=[b for _, b in found])
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text", *[f.name for f in fields]).mapInPandas(run, schema.replace(", ,", ","))
+    return ids_as_long(ids_as_text(docs, "text", *[f.name for f in fields]).mapInPandas(run, schema.replace(", ,", ",")))
 
 
 def identify(docs: DataFrame, folds: int = 3, fold: int = 1, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -20,9 +20,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import arrow_rows, ids_as_long, ids_as_text, materialise
 
 WIDTH, LEVEL = 64, 6
 #: The PNG signature.
@@ -135,10 +134,10 @@ def store(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             made = [padded(t, width) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [n for n, _ in made], "media": [write_png(p, width) for _, p in made]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [n for n, _ in made], "media": [write_png(p, width) for _, p in made]})
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return ids_as_long(ids_as_text(docs, "text").mapInPandas(run, "doc_id string, n_bytes long, media binary"))
 
 
 def features(media: DataFrame) -> DataFrame:
@@ -153,11 +152,11 @@ def features(media: DataFrame) -> DataFrame:
                 payload = samples.tobytes()
                 rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples)))
             out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "hash"])
-            yield pd.concat([batch[["doc_id", "n_bytes"]].astype({"doc_id": "Int64"}).reset_index(drop=True), out], axis=1)
+            yield pd.concat([batch[["doc_id", "n_bytes"]].reset_index(drop=True), out], axis=1)
 
     arrow_rows(media.sparkSession)
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary"
-    return media.select("doc_id", "n_bytes", "media").mapInPandas(run, schema)
+    schema = "doc_id string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, hash binary"
+    return ids_as_long(ids_as_text(media, "n_bytes", "media").mapInPandas(run, schema))
 
 
 def stored_features(docs: DataFrame) -> DataFrame:

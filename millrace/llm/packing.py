@@ -28,13 +28,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import arrow_rows, ids_as_long, ids_as_text, materialise
 
 CAPACITY = 2048
 #: Pieces per salt: the most rows that one window group holds.
 ROWS_PER_SALT = 500_000
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
+_PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
@@ -51,10 +51,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids:
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(encode, _PIECES)
+    return ids_as_long(ids_as_text(docs, "text").mapInPandas(encode, _PIECES))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:

@@ -27,9 +27,8 @@ from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import arrow_rows
+from .common import arrow_rows, ids_as_long, ids_as_text
 
 ROUNDS = 10
 #: Key of the registered queries; a real run gives its own.
@@ -241,7 +240,7 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY, keep: tuple[str, ...] = ()) ->
     """doc_id, text (with pseudonyms), n_found, kinds (JSON counts by kind), spans (in the given text),
     and the columns of ``keep``."""
     fields = [docs.schema[c] for c in keep if c not in ("doc_id", "text")]
-    schema = ", ".join(["doc_id long", "text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_found int", "kinds string", "spans array<struct<start:int,end:int,kind:string>>"])
+    schema = ", ".join(["doc_id string", "text string", *[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_found int", "kinds string", "spans array<struct<start:int,end:int,kind:string>>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -254,4 +253,4 @@ def pseudonyms(docs: DataFrame, key: bytes = KEY, keep: tuple[str, ...] = ()) ->
             )
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text", *[f.name for f in fields]).mapInPandas(run, schema)
+    return ids_as_long(ids_as_text(docs, "text", *[f.name for f in fields]).mapInPandas(run, schema))

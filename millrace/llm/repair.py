@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, quantile_bounds, range_part, scratch
+from .common import arrow_rows, ids_as_long, materialise, quantile_bounds, range_part, scratch
 
 SHARD_TOKENS, ROUNDS, LEAST = 1 << 19, 4, 12
 #: Rows of one part of the id range, about: a task's share.
@@ -36,7 +36,7 @@ PART_ROWS = 8_000
 #: Parts whose sums are broadcast; 16 MB.
 SENT_PARTS = 1_000_000
 
-_SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<long>, doc_starts array<long>, base int, rules binary, lengths binary, width int, symbols binary"
+_SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<string>, doc_starts array<long>, base int, rules binary, lengths binary, width int, symbols binary"
 
 
 def _replace(s: np.ndarray, base: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -175,7 +175,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
         known = encoder(tokenizer)
         part, shard, start, size = None, 0, 0, 0
         ids: list[bytes] = []
-        owners: list[int | None] = []
+        owners: list[str | None] = []
 
         def close() -> pd.DataFrame:
             flat = np.frombuffer(b"".join(ids), "<u4")
@@ -188,7 +188,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
             }])
 
         for batch in batches:
-            for own, doc_id, text in zip(batch["part"].tolist(), batch["doc_id"].astype("Int64").tolist(), batch["text"].tolist(), strict=True):
+            for own, doc_id, text in zip(batch["part"].tolist(), batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
                 if ids and (own != part or size >= shard_tokens):
                     yield close()
                     shard, start, size, ids, owners = shard + 1, start + size, 0, [], []
@@ -196,7 +196,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
                     part, shard, start = own, 0, 0
                 packed = known.packed(text)
                 ids.append(packed)
-                owners.append(None if doc_id is pd.NA else doc_id)
+                owners.append(doc_id)
                 size += len(packed) // 4
         if ids:
             yield close()
@@ -204,7 +204,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
     arrow_rows(spark)
     dealt = rows.withColumn("part", range_part(F.col("doc_id"), bounds))
     dealt = dealt.repartitionById(len(bounds) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "text")
-    dealt.mapInPandas(run, _SHARD).write.parquet(path)
+    dealt.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(run, _SHARD).write.parquet(path)
 
 
 def shards(spark: SparkSession, path: str) -> DataFrame:
@@ -230,13 +230,13 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 cuts = [*np.asarray(row.doc_starts).tolist(), row.n_tokens]
                 pieces = [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
                 out = {
-                    "doc_id": pd.array(list(row.doc_ids), "Int64"), "start": np.array(cuts[:-1]) + row.start, "n_tokens": np.diff(cuts),
+                    "doc_id": list(row.doc_ids), "start": np.array(cuts[:-1]) + row.start, "n_tokens": np.diff(cuts),
                     "ids_crc32": [zlib.crc32(x) for x in pieces], "part": row.part, "shard": row.shard,
                 }
                 yield pd.DataFrame(out | ({"ids": pieces} if with_ids else {}))
 
     arrow_rows(spark, 4)
-    return shards(spark, path).mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long, part int, shard int" + ", ids binary" * with_ids)
+    return ids_as_long(shards(spark, path).mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long, part int, shard int" + ", ids binary" * with_ids))
 
 
 def tokenised(docs: DataFrame, tokenizer: str) -> DataFrame:

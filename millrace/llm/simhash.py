@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise
+from .common import arrow_rows, ids_as_long, ids_as_text, materialise
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
@@ -69,10 +69,10 @@ def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataF
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": np.array([fingerprint(t, words, seed) for t in batch["text"]], "int64")})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([fingerprint(t, words, seed) for t in batch["text"]], "int64")})
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return ids_as_long(ids_as_text(docs, "text").mapInPandas(run, "doc_id string, fp long"))
 
 
 class Forest:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, chosen, held_out
+from .common import arrow_rows, chosen, held_out, ids_as_long, ids_as_text
 
 #: Places of hashed features; most documents of either kind that a scorer is fitted on, about.
 PLACES, POSITIVES, UNLABELLED = 1 << 18, 4_000, 8_000
@@ -173,10 +173,10 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = Scorer(*sent.value)
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": [known(t) for t in batch["text"]]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [known(t) for t in batch["text"]]})
 
     arrow_rows(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return ids_as_long(ids_as_text(docs, "text").mapInPandas(run, "doc_id string, score double"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:

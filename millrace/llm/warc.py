@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, materialise, scratch
+from .common import arrow_rows, ids_as_long, materialise, scratch
 
 LEAST, DATE = 1000, "2000-01-01T00:00:00Z"
 #: Bytes of records after which an archive is closed, and bytes read at a time.
@@ -122,7 +122,8 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
             yield close()
 
     arrow_rows(records.sparkSession)
-    return materialise(records.mapInPandas(run, "path string, n_records long, n_bytes long"), "archives")
+    as_text = {k: F.col(k).cast("string") for k in ("page_id", "refers_to")}
+    return materialise(records.withColumns(as_text).mapInPandas(run, "path string, n_records long, n_bytes long"), "archives")
 
 
 def _inflated(source) -> Iterator[bytes]:  # noqa: ANN001
@@ -195,7 +196,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
 
 
 def parse(member: bytes) -> dict:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and url of one gzip member."""
+    """page_id (as text), payload_bytes, payload_digest, record_type, refers_to and url of one gzip member."""
     headers, block, _ = next(records(iter([zlib.decompress(member, _GZIP)])))
     http, _, payload = block.partition(b"\r\n\r\n")
     revisit = headers["warc-type"] == "revisit"
@@ -206,8 +207,7 @@ def parse(member: bytes) -> dict:
         n = len(payload)
         if hashlib.sha1(payload).hexdigest() != stated:
             raise ValueError("a payload does not have its digest")
-    number = lambda name: int(headers[name]) if name in headers else None
-    return {"page_id": number("x-page"), "payload_bytes": n, "payload_digest": stated, "record_type": headers["warc-type"], "refers_to": number("x-refers-to-page"), "url": headers.get("warc-target-uri")}
+    return {"page_id": headers.get("x-page"), "payload_bytes": n, "payload_digest": stated, "record_type": headers["warc-type"], "refers_to": headers.get("x-refers-to-page"), "url": headers.get("warc-target-uri")}
 
 
 def read(archives: DataFrame) -> DataFrame:
@@ -224,11 +224,11 @@ def read(archives: DataFrame) -> DataFrame:
                         for offset, length in places[at : at + 1000]:
                             source.seek(int(offset))
                             rows.append(parse(source.read(int(length))))
-                        yield pd.DataFrame(rows).astype({"page_id": "Int64", "refers_to": "Int64"})
+                        yield pd.DataFrame(rows)
 
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
+    schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
     arrow_rows(archives.sparkSession, 1)
-    return archives.select("archive", "sidecar").repartition(max(1, archives.count())).mapInPandas(run, schema)
+    return ids_as_long(archives.select("archive", "sidecar").repartition(max(1, archives.count())).mapInPandas(run, schema), "page_id", "refers_to")
 
 
 def archived(pages: DataFrame) -> DataFrame:

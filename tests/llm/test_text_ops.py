@@ -252,3 +252,18 @@ def test_toxicity_edges(spark):
     assert len(got) == len(ODD) + 1 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.toxicity(docs(spark, []), marks).count() == 0
     assert all(abs(r.score - toxicity.PRIOR_UNKNOWN) < 1e-9 for r in toxicity.toxicity(docs(spark, ["a", "b"]), marks.where("toxic = 0")).collect())
+
+
+def test_large_ids_beside_nulls(spark, tmp_path):
+    from millrace.llm import media, warc
+
+    big = 1 << 62
+    rows = spark.createDataFrame([(big + 1, "a b c d e"), (None, "x"), (big + 3, "token y")], "doc_id long, text string")
+    model = langid.Model({"own:en": ["en"]}, [], np.zeros((langid.PLACES + 1, 0), "float32"))
+    scorer = toxicity.Scorer(np.zeros(toxicity.PLACES, "float32"), 0.0)
+    repair.write(rows, public_tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "s"))
+    packed = packing.pieces(rows, public_tokenizers.path("word_bpe_49k.json"))
+    for out in (simhash.fingerprints(rows), pii.pseudonyms(rows), packed, media.features(media.store(rows)), langid.predict(rows, model), toxicity.score(rows, scorer), repair.read(spark, str(tmp_path / "s"))):
+        assert out.schema["doc_id"].dataType.typeName() == "long" and {r.doc_id for r in out.collect()} == {None, big + 1, big + 3}
+    pages = spark.createDataFrame([(big + 1, "u", "z" * 1200), (big + 3, "u", "z" * 1200), (None, "u", "s")], "page_id long, url string, html string")
+    assert {(r.page_id, r.refers_to) for r in warc.archived(pages).collect()} == {(big + 1, big + 3), (big + 3, None), (None, None)}
