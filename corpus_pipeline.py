@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, packing, pii, simhash
+from millrace.llm import langid, mixing, packing, pii, similar
 from millrace.llm.common import DOCUMENT_COLUMNS, held_out, materialise, read_table
 
 
@@ -27,10 +27,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays (of its repeated rows,
-    one)."""
+    """Of each group of documents that links of similarity 0.8 or more join, the one with the smallest
+    doc_id stays (of its repeated rows, one)."""
     docs = docs.select(*DOCUMENT_COLUMNS, _key().alias("_key"))
-    found = simhash.near_duplicates(docs.select(F.col("_key").alias("doc_id"), "text"))
+    found = similar.near_copies(docs.select(F.col("_key").alias("doc_id"), "text"))
     stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     turn = F.row_number().over(Window.partitionBy("_key").orderBy("text", "source", "lang", "n_chars"))
     return docs.join(stay.hint("merge"), "_key", "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*DOCUMENT_COLUMNS)

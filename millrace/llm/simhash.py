@@ -41,14 +41,14 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
-    """The 64 majority bits of one text, as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, words: int = WORDS, seed: int = SEED) -> np.ndarray:
+    """XXH64 of every word shingle of one text, repeats included."""
     from xxhash import xxh64_intdigest
 
     body = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).translate(_SPACE)
     parts = [w for w in body.split(b" ") if w]
     if not parts:
-        return 0
+        return np.empty(0, "<u8")
     line = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), "int64", len(parts)) + 1) - 1
     first, last = np.concatenate([[0], ends[:-1] + 1]), ends
@@ -56,12 +56,20 @@ def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
         first, last = first[: len(parts) - words + 1], last[words - 1 :]
     else:
         first, last = first[:1], last[-1:]
-    total, n = np.zeros(64, "int64"), len(first)
-    for at in range(0, n, 1 << 16):  # very long texts in parts
-        a, b = first[at : at + (1 << 16)].tolist(), last[at : at + (1 << 16)].tolist()
-        hashes = np.array([xxh64_intdigest(line[i:j], seed) for i, j in zip(a, b, strict=True)], "<u8")
-        total += np.unpackbits(hashes.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
-    return int(np.packbits(total * 2 > n, bitorder="little").view("<i8")[0])
+    return np.fromiter((xxh64_intdigest(line[i:j], seed) for i, j in zip(first.tolist(), last.tolist(), strict=True)), "<u8", len(first))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 majority bits of hashes, as a signed 64-bit integer; zero of none."""
+    total = np.zeros(64, "int64")
+    for at in range(0, len(hashes), 1 << 16):  # very long texts in parts
+        total += np.unpackbits(hashes[at : at + (1 << 16)].view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype="int64")
+    return int(np.packbits(total * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def fingerprint(text: str | None, words: int = WORDS, seed: int = SEED) -> int:
+    """The 64 majority bits of one text, as a signed 64-bit integer."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:

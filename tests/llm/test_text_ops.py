@@ -9,10 +9,11 @@ import pytest
 
 pytest.importorskip("millrace.llm")
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from millrace.llm import langid, packing, pii, repair, simhash, toxicity
+from millrace.llm import langid, packing, pii, repair, simhash, similar, toxicity
 from millrace.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, start long, fp long"
@@ -135,6 +136,34 @@ def test_any_number_of_agreeing_blocks_finds_all_links(spark):
     assert [simhash.blocks_to_agree(n) for n in (10, 8 * 10**6, 10**9, 10**11)] == [1, 1, 2, 3]
 
 
+def test_near_copies_equal_brute_force(spark):
+    import corpus_pipeline as cp
+
+    rng = random.Random(5)
+    texts = [t for t in ODD if t]
+    for _ in range(15):
+        base = [rng.choice("abcdefghijklmnop") * rng.randint(1, 4) for _ in range(rng.randint(6, 200))]
+        for k in range(8):  # from the same words up to similarities well below 0.8
+            w = list(base)
+            for _ in range(k * len(base) // 100 + k % 2):
+                w[rng.randrange(len(w))] = "zz"
+            texts.append(" ".join(w).upper() if k == 2 else " ".join(w))
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root, wide = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if both * 5 >= either * 4:
+                wide += (simhash.fingerprint(texts[i]) ^ simhash.fingerprint(texts[j])).bit_count() > 4
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert wide > 20 and len(set(root)) > 40
+    got = {r.doc_id: r.component_id for r in similar.near_copies(docs(spark, texts)).collect()}
+    assert got == dict(enumerate(root))
+    d = docs(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
+    assert sorted(r.doc_id for r in cp.near_duplicates(spark, d, "").collect()) == sorted(set(root))
+
+
 def test_feistel_is_a_permutation():
     for size in (1, 2, 3, 10, 100, 73_049):
         some = range(min(size, 1500))
