@@ -5,7 +5,8 @@ integer in the range of its format, permuted there by a Feistel network with cyc
 written back in its own layout with its check digits made anew. The permutation depends on the key,
 the kind and the format only, so equal values become equal pseudonyms in every document, different
 values of a format stay different, and the holder of the key can invert it. Digits that fail their
-validation are left as they are.
+validation are left as they are, but for +1 telephone numbers outside the numbering plan: these are
+permuted among themselves.
 
 Kinds: e-mail addresses, IPv4 addresses, payment cards (Luhn), IBANs (modulo 97), North American and
 international telephone numbers, US social security numbers, calendar dates, and secrets given to
@@ -156,6 +157,9 @@ def _phone(s: str, key: bytes) -> str | None:
         value = permute((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, "nanp", key)
         rest, line = divmod(value, 10_000)
         return _relay(s, f"{lead}{rest // 800 + 200}{rest % 800 + 200}{line:04d}")
+    if lead and s.startswith("+"):  # outside the numbering plan: permuted among those that are
+        outside = lambda v: not (v // 10**9 > 1 and v // 10**6 % 10 > 1)
+        return _relay(s, f"{lead}{permute(int(own), 10**10, 'outside nanp', key, outside):010d}")
     if not s.startswith("+") or not 9 <= len(d) <= 15 or d[0] in "01":
         return None
     n = len(d) - 2
@@ -220,8 +224,8 @@ def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, list[t
             kind, found, new = m.lastgroup if m.lastgroup != "sep" else "day", m[0], None
             while new is None and found:
                 new = _BY_KIND[kind](found, key)
-                cut = max(found.rfind(" "), found.rfind("-")) if kind == "card" else -1
-                if new is None:  # a card may be followed by other numbers
+                cut = max(found.rfind(" "), found.rfind("-")) if kind == "card" else found.rfind(" ") if kind == "iban" else -1
+                if new is None:  # a card may be followed by other numbers, an IBAN by capital words
                     found = found[:cut] if cut >= 13 else ""
             if new:
                 finds.append((m.start(), m.start() + len(found), kind, new))

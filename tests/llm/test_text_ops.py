@@ -186,6 +186,23 @@ def test_pseudonyms_keep_the_format(text):
     assert [k for *_, k in pii.pseudonymise(out)[1]] == [k for *_, k in found]
 
 
+def test_numbers_outside_the_plan_and_ibans_before_words():
+    seen = set()
+    for n in range(100):
+        text = f"+1 (1{n:02d}) 555-2028"
+        out, found = pii.pseudonymise(f"call {text}.")
+        assert [k for *_, k in found] == ["phone"] and text not in out and re.fullmatch(r"call \+1 \(\d{3}\) \d{3}-\d{4}\.", out)
+        assert out[9] in "01" or out[14] in "01"  # its own class, so that no other number has its pseudonym
+        seen.add(out)
+    assert len(seen) == 100
+    assert pii.pseudonymise("+1 (743) 155-3824")[1] and not pii.pseudonymise("(171) 555-2028")[1]
+    for iban in ("ES91 2100 0418 4502 0005 1332", "AT61 1904 3002 3457 3201", "PL61109010140000071219812874"):
+        want = pii.pseudonymise(iban)[0]
+        assert want != iban
+        for word in (" BIC", " CODE", " CODE BIC", " 100 EUR"):
+            assert pii.pseudonymise(iban + word)[0] == want + word
+
+
 def test_invalid_numbers_stay():
     for text in [None, "", "4111 1111 1111 1112", "999.1.1.1", "2024-13-01", "31/02/2020", "000-12-1234", "GB00WEST12345698765432", "v1.2.3.4.5", "no digits here", "1234"]:
         assert pii.pseudonymise(text) == (text, [])
