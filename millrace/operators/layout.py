@@ -171,7 +171,7 @@ def tables_of_words(words: DataFrame, by: list[str], gap: float = 1.5) -> tuple[
     unit = split_cells(scaled.select(*by, "line", "word_idx", F.col("_x0").alias("x0"), F.col("_x1").alias("x1")), [*by, "line"], 1.0).select(*by, "word_idx", "cell")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
     boxes = lined.join(unit, [*by, "word_idx"]).groupBy(*by, "line", "cell").agg(joined.alias("text"), F.min("conf").alias("conf"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
-    boxes = materialise(boxes.withColumn("box_idx", F.col("line") * 1000 + F.col("cell")), "boxes")
+    boxes = materialise(boxes.withColumn("box_idx", F.shiftleft(F.col("line").cast("long"), 32) + F.col("cell")), "boxes")
     lines = boxes.groupBy(*by, "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     placed = boxes.join(group_blocks(lines, boxes, by).select(*by, "line", "block"), [*by, "line"])
     own = [*by, "block"]

@@ -130,7 +130,7 @@ def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _words(spark, sf_dir).select("l_orderkey", "word_idx", "text", F.lit(90.0).alias("conf"), "x0", "x1", "y0", "y1")
     dust = w.where("word_idx % 7 = 0").select("l_orderkey", (F.col("word_idx") + 100000).alias("word_idx"), F.lit(".").alias("text"), F.lit(5.0).alias("conf"), F.col("x1").alias("x0"), (F.col("x1") + 40).alias("x1"), "y0", "y1")
     cells, _ = layout.tables_of_words(w.union(dust), ["l_orderkey"])
-    return cells.where("line < 1000").select("l_orderkey", "block", "line", "column_idx", "text", "conf")
+    return cells.select("l_orderkey", "block", "line", "column_idx", "text", "conf")
 
 
 def region_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,3 +228,21 @@ def test_accounts(spark):
     assert accounts.seed_plans(plans.limit(0), plans).count() == 2 and accounts.seed_plans(plans, plans).count() == 2
     codes = spark.createDataFrame([("Request timed out",), ("503 Unavailable",), ("boom",)], "m string").select(accounts.failure_code(F.col("m")).alias("c")).collect()
     assert [r.c for r in codes] == ["timeout", "unavailable", "failed"]
+
+
+def test_layout_tables_of_many_lines(spark, tmp_path):
+    from millrace.plans import layouts
+
+    rows = spark.range(1, 1004).selectExpr("6L AS l_orderkey", "CAST(id AS INT) AS l_linenumber", "id AS l_partkey", "id + 5000 AS l_suppkey", "1.0D AS l_extendedprice", "DATE'2024-01-01' AS l_shipdate")
+    rows.write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = layouts.layout_tables(spark, str(tmp_path)).collect()
+    assert len({r.line for r in got}) == 1003 and len(got) == 3009
+    assert sorted(r.text for r in got if r.column_idx == 1) == sorted(str(i + 5000) for i in range(1, 1004))
+
+
+def test_layout_tables_of_many_cells_in_a_line(spark):
+    from millrace.operators import layout
+
+    words = spark.range(0, 2004).selectExpr("1 AS page", "CAST(id AS INT) AS word_idx", "concat('w', id) AS text", "90.0D AS conf", "(id % 1002) * 100.0D AS x0", "(id % 1002) * 100.0D + 20 AS x1", "floor(id / 1002) * 20.0D AS y0", "floor(id / 1002) * 20.0D + 12 AS y1")
+    cells, _ = layout.tables_of_words(words, ["page"])
+    assert {(r.line, r.column_idx): r.text for r in cells.collect()} == {(i // 1002, i % 1002): f"w{i}" for i in range(2004)}
