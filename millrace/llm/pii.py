@@ -4,16 +4,21 @@ A value that passes its validation (a check digit, a calendar, a numbering plan)
 integer in the range of its format, permuted there by a Feistel network with cycle walking, and
 written back in its own layout with its check digits made anew. The permutation depends on the key,
 the kind and the format only, so equal values become equal pseudonyms in every document, different
-values of a format stay different, and the holder of the key can invert it. Digits that fail their
-validation are left as they are, but for +1 telephone numbers outside the numbering plan: these are
-permuted among themselves.
+values of a format stay different, and the holder of the key can invert it. A date is one value in all
+layouts, an e-mail address in all spellings of its case. Digits that fail their validation are left as
+they are, but for +1 telephone numbers outside the numbering plan: these are permuted among themselves.
+
+A value of more than ``SEGMENT`` characters is permuted in segments, each under the segments before it and,
+in a second sweep, those after it, so time grows with its length and it is still a permutation.
 
 Kinds: e-mail addresses, IPv4 addresses, payment cards (Luhn), IBANs (modulo 97), North American and
 international telephone numbers, US social security numbers, calendar dates, and secrets given to
-names such as ``token`` or ``password``.
+names such as ``token`` or ``password``. Digits are those of ASCII.
 
 Defined results: a null text stays null with no finds; an empty text stays empty; every find in a long
-text is replaced; repeated rows get equal texts; an empty table gives no rows; a null doc_id is kept.
+text is replaced, however long it is, in time that grows with the text; repeated rows get equal texts; an
+empty table gives no rows; a null doc_id is kept; of finds that overlap the first, then the longest, counts;
+other columns are ignored, also those named like results, unless ``keep`` names them.
 """
 
 from __future__ import annotations
@@ -35,18 +40,27 @@ ROUNDS = 10
 #: Key of the registered queries; a real run gives its own.
 KEY = b"millrace pseudonyms"
 
-_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}")
+#: Characters of a value that are permuted as one number.
+SEGMENT = 48
+
+#: What may stand before and after the @ of an address; searched from the @ outwards.
+_AFTER_AT = re.compile(r"(?:[A-Za-z0-9-]++\.)+[A-Za-z]{2,}")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key|auth)\b[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_/+-]{12,})")
 _NUMERIC = re.compile(
-    r"(?P<ip>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d))"
-    r"|(?P<iso>(?<!\d)\d{4}-\d{2}-\d{2}(?!\d))"
-    r"|(?P<day>(?<![\d./-])\d{1,2}(?P<sep>[./-])\d{1,2}(?P=sep)\d{4}(?!\d))"
-    r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|\+\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?!\d))"
-    r"|(?P<card>(?<![\d.-])\d(?:[ -]?\d){12,18}(?![\d]|-\d))"
-    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+    r"(?P<ip>(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9]))"
+    r"|(?P<iso>(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9]))"
+    r"|(?P<day>(?<![0-9./-])[0-9]{1,2}(?P<sep>[./-])[0-9]{1,2}(?P=sep)[0-9]{4}(?![0-9]))"
+    r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
+    r"|(?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![0-9]))"
+    r"|(?P<card>(?<![0-9.-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9]|-[0-9]))"
+    r"|(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 )
-_RUN = re.compile(r"\+?\(?[A-Z]*\d+")
+#: Luhn's doubled digits, and the numbers that letters of an IBAN stand for.
+_DOUBLED = bytes((2 * d - 9 * (d > 4)) if 0 <= (d := c - 48) <= 9 else 0 for c in range(256))
+_VALUES = {ord(c): str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+_NOT_DIGIT = {c: None for c in range(128) if not 48 <= c <= 57}
+_RUN = re.compile(r"\+?\(?[A-Z]*[0-9]+")
 _DIGIT = re.compile(r"[0-9]")
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -55,15 +69,12 @@ def permute(value: int, size: int, tweak: str, key: bytes, fits: Callable[[int],
     """The image of ``value`` under a keyed permutation of range(size), or of those in it that fit."""
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, width = (1 << half) - 1, (half + 7) // 8
-    head = hashlib.blake2b(f"{tweak}|{size}".encode(), key=key[:64], digest_size=16).digest()
+    head = hashlib.blake2b(tweak.encode() + b"|" + size.to_bytes((size.bit_length() + 7) // 8, "little"), key=key[:64], digest_size=16).digest()
 
     def noise(turn: int, x: int) -> int:
         seed = head + bytes([turn]) + x.to_bytes(width, "little")
-        out, block = b"", 0
-        while len(out) < width:
-            out += hashlib.blake2b(seed + bytes([block]), digest_size=min(64, max(8, width))).digest()
-            block += 1
-        return int.from_bytes(out[:width], "little") & mask
+        blocks = [hashlib.blake2b(seed + block.to_bytes(4, "little"), digest_size=min(64, max(8, width))).digest() for block in range(-(-width // 64))]
+        return int.from_bytes(b"".join(blocks)[:width], "little") & mask
 
     while True:
         left, right = value >> half, value & mask
@@ -77,8 +88,7 @@ def permute(value: int, size: int, tweak: str, key: bytes, fits: Callable[[int],
             return value
 
 
-def respell(text: str, tweak: str, key: bytes, hexadecimal: bool = False, inverse: bool = False) -> str:
-    """Letters and digits permuted together, each within its own alphabet; the rest stays."""
+def _respell_segment(text: str, tweak: str, key: bytes, hexadecimal: bool, inverse: bool) -> str:
     sets = [_HEX if hexadecimal else next((a for a in (_LOWER, _UPPER, _DIGITS) if c in a), "") for c in text]
     size, value = 1, 0
     for c, a in zip(text, sets, strict=True):
@@ -96,6 +106,25 @@ def respell(text: str, tweak: str, key: bytes, hexadecimal: bool = False, invers
     return "".join(reversed(out))
 
 
+def _sweep(segments: list[str], back: bool, tweak: str, key: bytes, hexadecimal: bool, inverse: bool) -> list[str]:
+    """Each segment permuted under the given texts of those that come before it in this sweep."""
+    out, given = list(segments), hashlib.blake2b(b"back" if back else b"forth", digest_size=16)
+    for i in reversed(range(len(segments))) if back else range(len(segments)):
+        out[i] = _respell_segment(segments[i], f"{tweak}|{given.hexdigest()}", key, hexadecimal, inverse)
+        given.update((out[i] if inverse else segments[i]).encode() + b"|")
+    return out
+
+
+def respell(text: str, tweak: str, key: bytes, hexadecimal: bool = False, inverse: bool = False) -> str:
+    """Letters and digits permuted together, each within its own alphabet; the rest stays."""
+    if len(text) <= SEGMENT:
+        return _respell_segment(text, tweak, key, hexadecimal, inverse)
+    parts = [text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT)]
+    for back in (True, False) if inverse else (False, True):
+        parts = _sweep(parts, back, tweak, key, hexadecimal, inverse)
+    return "".join(parts)
+
+
 def _relay(layout: str, digits: str) -> str:
     """``layout`` with its digits replaced in order."""
     it = iter(digits)
@@ -104,20 +133,35 @@ def _relay(layout: str, digits: str) -> str:
 
 def luhn(digits: str) -> int:
     """Sum of Luhn's test, 0 modulo 10 for a valid number."""
-    total = 0
-    for i, c in enumerate(reversed(digits)):
-        d = int(c) * (1 + i % 2)
-        total += d - 9 * (d > 9)
-    return total
+    back = digits.encode()[::-1]
+    return sum(back[::2]) - 48 * len(back[::2]) + sum(back[1::2].translate(_DOUBLED))
 
 
 def iban_rest(iban: str) -> int:
-    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+    return int((iban[4:] + iban[:4]).translate(_VALUES)) % 97
 
 
-def _email(s: str, key: bytes) -> str | None:
+def _email(s: str, key: bytes) -> str:
+    """The address without its case is permuted; upper-case letters stay upper-case in their places."""
     host, _, top = s.rpartition(".")
-    return f"{respell(host, 'email', key)}.{top}"
+    new = respell(host.lower(), "email", key)
+    return f"{''.join(n.upper() if c.isupper() else n for c, n in zip(host, new, strict=True))}.{top}"
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Where e-mail addresses begin and end."""
+    end = 0
+    at = text.find("@")
+    while at >= 0:
+        begin = at
+        while begin > end and text[begin - 1] in _LOCAL:
+            begin -= 1
+        if begin < at and (m := _AFTER_AT.match(text, at + 1)):
+            end = m.end()
+            yield begin, end
+        else:
+            end = at + 1  # what stands before this @ is part of no other address
+        at = text.find("@", end)
 
 
 def _ip(s: str, key: bytes) -> str | None:
@@ -132,8 +176,8 @@ def _ip(s: str, key: bytes) -> str | None:
 
 
 def _card(s: str, key: bytes) -> str | None:
-    d = re.sub(r"\D", "", s)
-    if len(d) < 13 or luhn(d) % 10 or len(set(d)) == 1:
+    d = s.translate(_NOT_DIGIT)
+    if len(d) < 13 or luhn(d) % 10 or d.count(d[0]) == len(d):
         return None
     n = len(d) - 2
     body = d[0] + str(permute(int(d[1:-1]), 10**n, f"card{d[0]}", key)).zfill(n)
@@ -150,7 +194,7 @@ def _iban(s: str, key: bytes) -> str | None:
 
 
 def _phone(s: str, key: bytes) -> str | None:
-    d = re.sub(r"\D", "", s)
+    d = s.translate(_NOT_DIGIT)
     lead, own = (d[:-10], d[-10:]) if len(d) == 10 or len(d) == 11 and d[0] == "1" else ("", "")
     if own and own[0] in "23456789" and own[3] in "23456789":
         area, exchange, line = int(own[:3]) - 200, int(own[3:6]) - 200, int(own[6:])
@@ -175,16 +219,16 @@ def _ssn(s: str, key: bytes) -> str | None:
     return _relay(s, f"{permute(value, 900_000_000, 'ssn', key, fits):09d}") if value < 900_000_000 and fits(value) else None
 
 
-def _date(year: int, month: int, day: int, key: bytes, fits: Callable[[date], bool] = lambda d: True) -> date | None:
+def _date(year: int, month: int, day: int, key: bytes) -> date | None:
     """Permuted among the days of 1900 to 2099, or among those of the other years from 1000 on."""
     if not (1000 <= year and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]):
         return None
     lo, hi = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal()
     own = date(year, month, day).toordinal()
     if lo <= own < hi:
-        return date.fromordinal(lo + permute(own - lo, hi - lo, "date", key, lambda v: fits(date.fromordinal(lo + v))))
+        return date.fromordinal(lo + permute(own - lo, hi - lo, "date", key))
     start, end = date(1000, 1, 1).toordinal(), date.max.toordinal() + 1
-    return date.fromordinal(start + permute(own - start, end - start, "far date", key, lambda v: not lo <= start + v < hi and fits(date.fromordinal(start + v))))
+    return date.fromordinal(start + permute(own - start, end - start, "far date", key, lambda v: not lo <= start + v < hi))
 
 
 def _iso(s: str, key: bytes) -> str | None:
@@ -193,15 +237,15 @@ def _iso(s: str, key: bytes) -> str | None:
 
 
 def _day(s: str, key: bytes) -> str | None:
-    """Day first where that is a date, else month first."""
+    """Day first where that is a date, else month first. A pseudonym that would be read otherwise when written
+    month first is written day first."""
     first, sep, second, year = re.match(r"(\d+)(\D)(\d+)\D(\d+)", s).groups()
-    bare = any(len(x) == 1 for x in (first, second))
-    write = lambda n: str(n) if bare else f"{n:02d}"
-    plain = lambda d: not bare or d.day < 10 or d.month < 10  # noqa: E731  so that the layout still shows
-    if d := _date(int(year), int(second), int(first), key, plain):
-        return f"{write(d.day)}{sep}{write(d.month)}{sep}{d.year}"
-    if d := _date(int(year), int(first), int(second), key, lambda d: d.day > 12 and plain(d)):
-        return f"{write(d.month)}{sep}{write(d.day)}{sep}{d.year}"
+    width = 1 if any(len(x) == 1 for x in (first, second)) else 2
+    write = lambda d, a, b: f"{a:0{width}d}{sep}{b:0{width}d}{sep}{d.year}"
+    if d := _date(int(year), int(second), int(first), key):
+        return write(d, d.day, d.month)
+    if d := _date(int(year), int(first), int(second), key):
+        return write(d, d.month, d.day) if d.day > 12 else write(d, d.day, d.month)
     return None
 
 
@@ -214,7 +258,7 @@ def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, list[t
         return text, []
     finds: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        finds += [(m.start(), m.end(), "email", new) for m in _EMAIL.finditer(text) if (new := _email(m[0], key))]
+        finds += [(a, b, "email", _email(text[a:b], key)) for a, b in emails(text)]
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
             finds.append((*m.span(1), "secret", respell(m[1], "secret", key, bool(re.fullmatch("[0-9a-f]+", m[1])))))
