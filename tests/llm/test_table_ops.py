@@ -3,15 +3,18 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 
 pytest.importorskip("millrace.llm")
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from millrace.llm import media, mixing, warc, winnowing
+from millrace.llm import media, mixing, pii, warc, winnowing
 
 from .test_text_ops import ODD, docs
 
@@ -204,8 +207,6 @@ def test_archive_files(spark, tmp_path):
 def test_pipeline(spark):
     import corpus_pipeline as cp
 
-    from .test_text_ops import plain_fingerprint
-
     extra = [(9000, None, "en", "s", 0), (9001, "123 456", "en", "s", 7), (9002, "only this text stands here alone", None, None, 32), (9002, "only this text stands here alone", None, None, 32)]
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").union(spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long"))
     kept = [d]
@@ -216,17 +217,42 @@ def test_pipeline(spark):
         kept.append(out.cache())
     before, lang, near, private, mixed, packed = ([r.asDict() for r in k.collect()] for k in kept)
     assert sorted(r["doc_id"] for r in lang) == sorted(r["doc_id"] for r in before if r["text"] and re.search(r"[^\W\d_]", r["text"]))
-    fps = {r["doc_id"]: plain_fingerprint(r["text"]) for r in lang}
-    ids = sorted(fps)
+    def shingles(text):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+        return {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = {r["doc_id"]: shingles(r["text"]) for r in lang}
+    ids = sorted(sets)
     root = {i: i for i in ids}
     for i in ids:
         for j in ids:
-            if j < i and (fps[i] ^ fps[j]).bit_count() <= 4 and root[i] != root[j]:
+            if j < i and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and root[i] != root[j]:
                 a, b = sorted((root[i], root[j]))
                 root = {k: a if v == b else v for k, v in root.items()}
     assert sorted(r["doc_id"] for r in near) == sorted(set(root.values()))
-    assert sorted(r["doc_id"] for r in private) == sorted(r["doc_id"] for r in near)
-    assert {r["doc_id"] for r in mixed} <= {r["doc_id"] for r in private} and len(mixed) > 0
-    assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in mixed}
+    key = lambda r: r["doc_id"]
+    new = {r["doc_id"]: pii.pseudonymise(r["text"]) for r in near}
+    for r, old in zip(sorted(private, key=key), sorted(near, key=key), strict=True):
+        text, found = new[r["doc_id"]]
+        assert r == old | {"text": text, "n_chars": len(text) if found else old["n_chars"]}
+    assert any(found for _, found in new.values())
+    own, size = {r["doc_id"]: r for r in private}, lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t))
+    times = Counter(r["doc_id"] for r in mixed)
+    assert all(r == own[r["doc_id"]] for r in mixed) and max(times.values()) <= 3
+    names = sorted({r["source"] for r in private if r["source"] is not None}) + [None]
+    per = [[size(r["text"]) for r in private if r["source"] == s] for s in names]
+    for s, sizes, target in zip(names, per, water([sum(p) for p in per], [1.0 + i % 3 for i in range(len(names))], 3.0), strict=True):
+        taken = sum(n * size(own[i]["text"]) for i, n in times.items() if own[i]["source"] == s)
+        assert abs(taken - target) <= 2 * max(sizes)
+    encode, bins, cut = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).encode, {}, Counter()
+    want = {i: np.array([*encode(own[i]["text"], add_special_tokens=False).ids, 0], "<u4") for i in times}
+    for r in packed:
+        assert r["ids_crc32"] == zlib.crc32(want[r["doc_id"]][r["start"] : r["start"] + r["length"]].tobytes())
+        cut[r["doc_id"], r["piece"], r["start"], r["length"]] += 1
+        bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert cut == Counter({(i, k, at, min(2048, len(ids) - at)): times[i] for i, ids in want.items() for k, at in enumerate(range(0, len(ids), 2048))})
+    for items in bins.values():
+        items.sort()
+        assert [at for at, _ in items] == np.cumsum([0, *[n for _, n in items]])[:-1].tolist() and sum(items[-1]) <= 2048
     for stage in cp.STAGES[:4]:
         assert stage[1](spark, d.limit(0), "").count() == 0

@@ -160,6 +160,8 @@ def test_near_copies_equal_brute_force(spark):
     assert wide > 20 and len(set(root)) > 40
     got = {r.doc_id: r.component_id for r in similar.near_copies(docs(spark, texts)).collect()}
     assert got == dict(enumerate(root))
+    small = {r.doc_id: r.component_id for r in similar.near_copies(docs(spark, texts), part_bytes=4000).collect()}  # buckets in many parts
+    assert small == got
     d = docs(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
     assert sorted(r.doc_id for r in cp.near_duplicates(spark, d, "").collect()) == sorted(set(root))
 
