@@ -6,9 +6,10 @@ neighbouring symbols are replaced by new symbols, again and again, and what is s
 the expansion length of each rule, and the remaining symbols. The running sums of the expansion
 lengths tell which symbols cover any stretch of ids, so one document is decoded without the rest.
 
-A round of the grammar replaces many pairs at once, those whose left symbols and right symbols have
-nothing in common (their occurrences cannot overlap), most frequent first. ``ROUNDS`` and
-``LEAST`` bound the effort, never the content: whatever symbols remain are stored as they are.
+A round of the grammar replaces many pairs at once: of those that are frequent in that round the more frequent one wins
+where two overlap, and of a run of one symbol every other pair counts. Rounds go on, with ever less
+frequent pairs, until no pair occurs twice. So there are as many rules as the ids need, and a passage
+that is repeated becomes few symbols however long it is. Symbols are stored in two, three or four bytes.
 
 The files are Parquet, a row for each shard, so that Spark's committer makes them whole and any store
 can hold them. Parts of the id range are dealt to tasks by bounds from one scan of the ids.
@@ -30,7 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, ids_as_long, materialise, quantile_bounds, range_part, scratch
 
-SHARD_TOKENS, ROUNDS, LEAST = 1 << 19, 4, 12
+SHARD_TOKENS = 1 << 19
+#: In the first round the pairs are replaced that occur at least a SHARE-th as often as the most frequent one, and in each
+#: further one those that occur at least half as often as in the round before.
+SHARE = 3
 #: Rows of one part of the id range, about: a task's share.
 PART_ROWS = 8_000
 #: Parts whose sums are broadcast; 16 MB.
@@ -39,81 +43,117 @@ SENT_PARTS = 1_000_000
 _SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<string>, doc_starts array<long>, base int, rules binary, lengths binary, width int, symbols binary"
 
 
-def _replace(s: np.ndarray, base: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """One round: the symbols after it, and its rules (pairs)."""
-    none = np.empty((0, 2), s.dtype)
-    if len(s) < 2 or room < 1:
-        return s, none
-    top = int(s.max()) + 1
-    kind, shift = ("uint32", 16) if top <= 1 << 16 else ("uint64", 32)
-    keys = s[:-1].astype(kind) << np.array(shift, kind) | s[1:].astype(kind)
-    order = np.sort(keys)
-    edge = np.flatnonzero(np.concatenate([[True], order[1:] != order[:-1]]))
-    many = np.diff(np.concatenate([edge, [len(order)]]))
-    often = many >= least
-    pairs, many = order[edge[often]], many[often]
-    pairs = pairs[np.argsort(-many, kind="stable")][: 4 * room]
-    lefts, rights, chosen = set(), set(), []
-    mask = (1 << shift) - 1
-    for key in pairs.tolist():
-        a, b = key >> shift, key & mask
-        if a != b and a not in rights and b not in lefts and len(chosen) < room:
-            lefts.add(a)
-            rights.add(b)
-            chosen.append(key)
-    if not chosen:
-        return s, none
-    # rows and columns of a table of rules by left and right symbol; row and column 0 stand for no pair
-    row, column = np.zeros(top, "int32"), np.zeros(top, "int32")
-    row[sorted(lefts)] = np.arange(1, len(lefts) + 1)
-    column[sorted(rights)] = np.arange(1, len(rights) + 1)
-    ordered = np.sort(np.array(chosen, kind))
-    pairs = np.stack([ordered >> np.array(shift, kind), ordered & np.array(mask, kind)], 1).astype(s.dtype)
-    table = np.zeros((len(lefts) + 1, len(rights) + 1), "int32")
-    table[row[pairs[:, 0]], column[pairs[:, 1]]] = np.arange(1, len(pairs) + 1)
-    rule = table.ravel()[row[s[:-1]] * (len(rights) + 1) + column[s[1:]]]
-    at = np.flatnonzero(rule)
-    out = s.copy()
-    out[at] = base + rule[at] - 1
-    keep = np.ones(len(s), bool)
+def _every_other(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs count: of a run of one symbol every other one; and the places of pairs within runs."""
+    alone = np.ones(len(keys), bool)
+    same = np.flatnonzero(keys[1:] == keys[:-1])
+    if len(same):
+        run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
+        turn = np.arange(len(same)) - np.repeat(run, np.diff(np.append(run, len(same))))
+        alone[same[turn % 2 == 0] + 1] = False
+    return alone, same + 1
+
+
+def _frequent(keys: np.ndarray, alone: np.ndarray, least: int | None) -> tuple[int, np.ndarray]:
+    """The bound (if none is given, from the most frequent pair), and the places of pairs that may occur so often. Counts by a hash of
+    the pair are no less than the true ones."""
+    bits = max(10, len(keys).bit_length())
+    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype("int32")
+    count = np.bincount(slot[alone], minlength=1 << bits)
+    least = least or max(2, int(count.max()) // SHARE)
+    return least, np.flatnonzero((count >= least)[slot] & alone)
+
+
+def _replace(s: np.ndarray, base: int, least: int | None, open_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
+    """One round: the symbols after it, its rules (pairs), its bound, and the places of all pairs that may still occur twice, known once
+    the bound is 2. ``open_`` holds those places before the round."""
+    n = len(s)
+    keys = s[:-1].astype("uint64") << np.uint64(32) | s[1:]
+    alone, runs = _every_other(keys)
+    if open_ is None:
+        least, some = _frequent(keys, alone, least)
+    else:
+        some = open_[alone[open_]]
+    pairs, which, many = np.unique(keys[some], return_inverse=True, return_counts=True)
+    rank = np.empty(len(pairs), "int32")
+    rank[np.argsort(many, kind="stable")] = np.arange(1, len(pairs) + 1)
+    rank[many < least] = 0
+    weight = np.zeros(n + 1, "int32")
+    weight[some + 1] = rank[which]
+    mine = weight[some + 1]
+    wins = (mine > 0) & (mine > weight[some]) & (mine > weight[some + 2])
+    at, won = some[wins], which[wins]
+    used = np.bincount(won, minlength=len(pairs))
+    fit = used[won] >= 2
+    at, won = at[fit], won[fit]
+    out, keep = s.copy(), np.ones(n, bool)
+    out[at] = base + (np.cumsum(used >= 2) - 1)[won]
     keep[at + 1] = False
-    return out[keep], pairs
-
-
-def compress(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    made = pairs[used >= 2]
+    rules = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype("uint32")
+    if least > 2:
+        return out[keep], rules, least, None
+    place = np.cumsum(keep) - 1
+    old = np.concatenate([some[mine > 0], runs])
+    new = place[at]
+    left = np.unique(np.concatenate([place[old[keep[old]]], new, new - 1]))
+    out = out[keep]
+    return out, rules, least, left[(left >= 0) & (left < len(out) - 1)]
+
+
+def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """ids -> (base, rules, lengths, symbols): symbol base + i stands for the pair rules[i], which
     expands to lengths[i] ids."""
     s = ids.astype("uint32")
     base = int(s.max()) + 1 if len(s) else 0
-    rules, room = [], max(1 << 12, (1 << 16) - base)
-    made = 0
-    for _ in range(rounds):
-        s, new = _replace(s, base + made, room - made, least)
-        if not len(new):
+    rules, lengths, made, least, open_ = [np.empty((0, 2), "uint32")], np.ones(base, "int64"), 0, None, None
+    while len(s) >= 4:
+        s, new, bound, open_ = _replace(s, base + made, least, open_)
+        if not len(new) and bound == 2:
             break
         rules.append(new)
-        made += len(new)
-    table = np.concatenate(rules) if rules else np.empty((0, 2), "uint32")
-    lengths = np.ones(base + made, "int64")
-    for first, block in zip(np.cumsum([0, *map(len, rules)])[:-1].tolist(), rules, strict=True):
-        lengths[base + first : base + first + len(block)] = lengths[block[:, 0]] + lengths[block[:, 1]]
-    return base, table, lengths[base:], s
+        lengths = np.concatenate([lengths, lengths[new[:, 0]] + lengths[new[:, 1]]])
+        made, least = made + len(new), max(2, bound // 2)
+    return base, np.concatenate(rules), lengths[base:], s
+
+
+def width_of(symbols: int) -> int:
+    """Bytes in which so many symbols are told apart."""
+    return 2 if symbols <= 1 << 16 else 3 if symbols <= 1 << 24 else 4
+
+
+def packed(symbols: np.ndarray, width: int) -> bytes:
+    return symbols.astype("<u4").view("u1").reshape(-1, 4)[:, :width].tobytes()
+
+
+def unpacked(raw: bytes, width: int) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 4), "u1")
+    wide[:, :width] = np.frombuffer(raw, "u1").reshape(-1, width)
+    return wide.view("<u4").ravel()
 
 
 def _flat(base: int, rules: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The expansions of all rules one after the other, and where each begins."""
+    """The expansions of all rules one after the other, and where each begins. Rules are expanded together as far as
+    they need none of each other."""
     begin = np.concatenate([[0], np.cumsum(lengths, dtype="int64")])
     out = np.empty(int(begin[-1]), "uint32")
-    for i, (a, b) in enumerate(rules.tolist()):
-        at = int(begin[i])
-        for symbol in (a, b):
-            if symbol < base:
-                out[at] = symbol
-                at += 1
-            else:
-                lo, hi = int(begin[symbol - base]), int(begin[symbol - base + 1])
-                out[at : at + hi - lo] = out[lo:hi]
-                at += hi - lo
+    need = np.maximum.accumulate(rules.max(1).astype("int64") - base) if len(rules) else np.empty(0, "int64")
+    first = 0
+    while first < len(rules):
+        last = int(np.searchsorted(need, first, "left"))
+        at = begin[first:last].copy()
+        for side in (0, 1):
+            symbol = rules[first:last, side].astype("int64")
+            compound = symbol >= base
+            out[at[~compound]] = symbol[~compound]
+            rule = symbol[compound] - base
+            size = lengths[rule].astype("int64")
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            out[np.repeat(at[compound], size) + step] = out[np.repeat(begin[rule], size) + step]
+            moved = np.ones(len(symbol), "int64")
+            moved[compound] = size
+            at += moved
+        first = last
     return out, begin[:-1]
 
 
@@ -137,7 +177,7 @@ class Shard:
         self.base = base
         self.rules = np.frombuffer(rules, "<u4").reshape(-1, 2)
         self.lengths = np.frombuffer(lengths, "<u4")
-        self.symbols = np.frombuffer(symbols, f"<u{width}").astype("uint32")
+        self.symbols = unpacked(symbols, width)
         compound = self.symbols >= base
         each = np.ones(len(self.symbols), "int64")
         each[compound] = self.lengths[self.symbols[compound] - base]
@@ -180,11 +220,11 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
         def close() -> pd.DataFrame:
             flat = np.frombuffer(b"".join(ids), "<u4")
             base, rules, lengths, symbols = compress(flat)
-            width = 2 if base + len(rules) <= 1 << 16 else 4
+            width = width_of(base + len(rules))
             begins = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])[:-1]])
             return pd.DataFrame([{
                 "part": part, "shard": shard, "start": start, "n_tokens": len(flat), "doc_ids": owners, "doc_starts": begins, "base": base,
-                "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "width": width, "symbols": symbols.astype(f"<u{width}").tobytes(),
+                "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "width": width, "symbols": packed(symbols, width),
             }])
 
         for batch in batches:
@@ -194,10 +234,10 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
                     shard, start, size, ids, owners = shard + 1, start + size, 0, [], []
                 if own != part:
                     part, shard, start = own, 0, 0
-                packed = known.packed(text)
-                ids.append(packed)
+                own_ids = known.packed(text)
+                ids.append(own_ids)
                 owners.append(doc_id)
-                size += len(packed) // 4
+                size += len(own_ids) // 4
         if ids:
             yield close()
 
@@ -235,7 +275,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = False) -> DataFrame:
                 }
                 yield pd.DataFrame(out | ({"ids": pieces} if with_ids else {}))
 
-    arrow_rows(spark, 4)
+    arrow_rows(spark)
     return ids_as_long(shards(spark, path).mapInPandas(run, "doc_id string, start long, n_tokens long, ids_crc32 long, part int, shard int" + ", ids binary" * with_ids))
 
 
