@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise, scratch, workers_import
 
-__all__ = ["DOCUMENT_COLUMNS", "arrow_rows", "chosen", "held_out", "ids_as_long", "ids_as_text", "materialise", "quantile_bounds", "range_part", "read_table", "scratch"]
+__all__ = ["DOCUMENT_COLUMNS", "arrow_rows", "bounded_sample", "held_out", "ids_as_long", "ids_as_text", "materialise", "quantile_bounds", "range_part", "read_table", "scratch", "whole_groups"]
 
 #: Columns of the documents table; pipeline stages but the last return these.
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Rows in one Arrow batch handed to Python. Texts average a few kB, so a batch stays at a few MB
-#: and at most this many of the longest texts are in a worker at once.
-ARROW_ROWS = 256
+#: Rows and bytes in one Arrow batch handed to Python: a batch ends with the row that fills either.
+ARROW_ROWS, ARROW_BYTES = 256, 16 << 20
 #: Parts of an id range at most: their bounds are constants of the plan. Beyond it parts grow, and are sorted on disk.
 MOST_PARTS = 8192
 
@@ -24,10 +24,35 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_rows(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the Arrow batches of this session's Python stages, and let workers import the package."""
+def arrow_rows(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session's Python stages, and let workers import the package. The bounds are the
+    same for every operator, as a plan takes those that hold when it runs, not when it is made."""
     workers_import(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Batches sorted by ``keys`` as frames of whole groups, each of at least ``rows`` rows but for the last."""
+    held: list[pd.DataFrame] = []
+    n, enough = 0, rows
+    for batch in batches:
+        if batch.empty:
+            continue
+        held.append(batch)
+        n += len(batch)
+        if n < enough:
+            continue
+        frame = pd.concat(held, ignore_index=True)
+        open_ = (frame[keys] == frame[keys].iloc[-1]).all(axis=1).to_numpy()
+        if open_.all():
+            held, enough = [frame], 2 * n  # so that a large group is put together a few times only
+            continue
+        yield frame[~open_]
+        held = [frame[open_]]
+        n, enough = int(open_.sum()), rows
+    if held:
+        yield pd.concat(held, ignore_index=True)
 
 
 def ids_as_text(df: DataFrame, *columns: str, key: str = "doc_id") -> DataFrame:
@@ -45,11 +70,15 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def chosen(share: Column | float, *keys: Column, salt: str) -> Column:
-    """A repeatable Bernoulli choice of about ``share`` of the rows, by a hash of ``keys``."""
-    grain = 1 << 30
-    draw = F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(grain))
-    return draw < (share if isinstance(share, Column) else F.lit(float(share))) * grain
+def bounded_sample(rows: DataFrame, most: int, group: str, draw: str) -> DataFrame:
+    """Of each group the rows with the smallest ``draw`` (a hash), ``most`` at most; ties are cut where the bound is
+    reached. One scan of the two columns finds each group's last draw, a second one fetches its rows. ``rows``
+    are read twice; there is a row for each group on the driver's side of the second join."""
+    turn = F.row_number().over(Window.partitionBy(group).orderBy(draw))
+    last = rows.select(group, draw).withColumn("_turn", turn).where(F.col("_turn") <= most).groupBy(group).agg(F.max(draw).alias("_last"))
+    last = last.withColumnRenamed(group, "_group")
+    near = rows.join(last, F.col(group).eqNullSafe(F.col("_group"))).where(F.col(draw) <= F.col("_last")).drop("_group", "_last")
+    return near.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn")
 
 
 def quantile_bounds(df: DataFrame, key: str, parts: int) -> list:

@@ -1,14 +1,15 @@
 """Hierarchical language identification: the family first, then the language within it.
 
 Both steps are linear support vector machines, one against one, over hashed character n-grams of the
-whole text. They are fitted with numpy on a bounded sample: about ``per_language`` labelled documents
-of each language, chosen by a hash of the id, whose n-gram counts (not texts) come to the driver. The
-fitted weights are one matrix of a column per pair, sent to every task.
+whole text. They are fitted with numpy on a bounded sample: at most ``per_language`` labelled documents
+of each language, those with the smallest hashes of id and text. A pair is fitted in a task of its own, on the sparse n-gram
+counts of its documents; the weights, a column for each pair, are put together on the driver and sent to every task. With L
+languages that are families of their own there are L * (L - 1) / 2 pairs of 64 kB each.
 
 Defined results: ``und`` with score 0 where the text is null or has no letter, or where nothing could
 be learned; ties go to the language that is first in the alphabet; repeated rows are scored alike; an
-empty table gives no rows; a null doc_id is kept, counts as not held out, and is scored; a null lang is never learned;
-other columns are ignored. Every non-null lang of the training rows is a possible prediction.
+empty table gives no rows; a null doc_id is kept, counts as not held out, is learned from, and is scored; a null lang is never learned;
+a text of any length is scored whole; other columns are ignored. Every non-null lang of the training rows is a possible prediction.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, chosen, held_out, ids_as_long, ids_as_text
+from .common import arrow_rows, bounded_sample, held_out, ids_as_long, ids_as_text, materialise
 
 UNKNOWN = "und"
-#: Labelled documents of each language that a model is fitted on, about.
+#: Labelled documents of each language that a model is fitted on, at most.
 PER_LANGUAGE = 400
 #: Places of the hashed n-grams, and their lengths in bytes.
 PLACES, LENGTHS = 1 << 14, (2, 3, 4)
@@ -94,22 +95,23 @@ def counts(text: str) -> np.ndarray:
     return total
 
 
-def shape(total: np.ndarray) -> np.ndarray:
-    """Shares of the counts, at a scale that suits the steps of ``svm``."""
-    return total * (SCALE / max(float(total.sum()), 1.0))
-
-
-def svm(x: np.ndarray, y: np.ndarray, epochs: int = 30, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
+def svm(at: list[np.ndarray], n: list[np.ndarray], y: np.ndarray, epochs: int = 30, decay: float = 1e-4, seed: int = 7) -> np.ndarray:
     """Weights (the last is the bias) of a linear support vector machine, y being 1 or -1: averaged
-    stochastic subgradients of the hinge loss, either class counting the same."""
+    stochastic subgradients of the hinge loss, either class counting the same. A document is the places that it has
+    and their counts, taken as shares at the scale ``SCALE``."""
     rng = np.random.default_rng(seed)
+    at = [a.astype("int64") for a in at]
+    n = [x * (SCALE / max(float(x.sum()), 1.0)) for x in n]
     weight = np.where(y > 0, len(y) / (2 * max(1, (y > 0).sum())), len(y) / (2 * max(1, (y < 0).sum()))).astype("float32")
-    w, total, steps, step = np.zeros(x.shape[1] + 1, "float32"), np.zeros(x.shape[1] + 1, "float64"), 0, 0
+    w, total, steps, step = np.zeros(PLACES + 1, "float32"), np.zeros(PLACES + 1, "float64"), 0, 0
     for epoch in range(epochs):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // 32)):
             step += 1
-            wrong = rows[y[rows] * (x[rows] @ w[:-1] + w[-1]) < 1]
-            pull = weight[wrong] * y[wrong]
+            x = np.zeros((len(rows), PLACES), "float32")
+            for k, i in enumerate(rows.tolist()):
+                x[k, at[i]] = n[i]
+            wrong = y[rows] * (x @ w[:-1] + w[-1]) < 1
+            pull = weight[rows[wrong]] * y[rows[wrong]]
             w *= 1 - decay
             w[:-1] += 0.5 / len(rows) * (pull @ x[wrong])
             w[-1] += 0.05 / len(rows) * pull.sum()
@@ -182,41 +184,45 @@ class Model:
         return out
 
 
+def family_of(lang: str) -> str:
+    return FAMILY_OF.get(lang, f"own:{lang}")
+
+
 def fit(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """labelled: doc_id, text, lang. Reads lang once for the counts and the sampled texts once."""
-    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = {r["lang"]: min(1.0, per_language / r["n"]) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not share:
-        return Model({}, [], np.zeros((PLACES + 1, 0), "float32"))
-    keep = F.create_map(*[F.lit(x) for k, v in sorted(share.items()) for x in (k, v)])
-    rows = rows.where(chosen(keep[F.col("lang")], F.col("doc_id"), salt="langid"))
+    """labelled: doc_id, text, lang. Reads the table for the draws and the sampled texts."""
+    spark = labelled.sparkSession
+    rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = rows.withColumn("_draw", F.xxhash64(F.lit("langid"), "doc_id", "text"))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch[batch["text"].map(has_letter)]
             totals = [counts(t) for t in batch["text"]]
             at = [np.flatnonzero(t) for t in totals]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang": batch["lang"], "at": [a.astype("<u2").tobytes() for a in at], "n": [t[a].astype("<f4").tobytes() for t, a in zip(totals, at, strict=True)]})
-
-    arrow_rows(labelled.sparkSession)
-    sample = ids_as_text(rows, "text", "lang").mapInPandas(count, "doc_id string, lang string, at binary, n binary").toPandas()
-    sample = sample.sort_values(["lang", "doc_id", "n"]).reset_index(drop=True)
-    x = np.zeros((len(sample), PLACES), "float32")
-    for i, (at, n) in enumerate(zip(sample["at"], sample["n"], strict=True)):
-        x[i, np.frombuffer(at, "<u2")] = np.frombuffer(n, "<f4")
-        x[i] = shape(x[i])
-    lang = sample["lang"].to_numpy()
+            yield pd.DataFrame({"lang": batch["lang"], "draw": batch["_draw"], "at": [a.astype("<u2").tobytes() for a in at], "n": [t[a].astype("<f4").tobytes() for t, a in zip(totals, at, strict=True)]})
+
+    arrow_rows(spark)
+    sample = bounded_sample(rows, per_language, "lang", "_draw").select("lang", "_draw", "text")
+    sample = materialise(sample.mapInPandas(count, "lang string, draw long, at binary, n binary"), "sample")
     langs: dict[str, list[str]] = {}
-    for name in sorted(set(lang)):
-        langs.setdefault(FAMILY_OF.get(name, f"own:{name}"), []).append(name)
-    family = np.array([FAMILY_OF.get(name, f"own:{name}") for name in lang])
-    pairs, columns = [], []
-    for group, names, of in [("", sorted(langs), family), *((f, n, lang) for f, n in sorted(langs.items()))]:
-        for a, b in itertools.combinations(names, 2):
-            mine = (of == a) | (of == b)
-            pairs.append((group, a, b))
-            columns.append(svm(x[mine], np.where(of[mine] == a, 1, -1).astype("float32")))
-    return Model(langs, pairs, np.stack(columns, 1) if columns else np.zeros((PLACES + 1, 0), "float32"))
+    for (name,) in sample.select("lang").distinct().orderBy("lang").collect():
+        langs.setdefault(family_of(name), []).append(name)
+    pairs = [("", a, b) for a, b in itertools.combinations(sorted(langs), 2)]
+    pairs += [(f, a, b) for f, names in sorted(langs.items()) for a, b in itertools.combinations(names, 2)]
+    if not pairs:
+        return Model(langs, [], np.zeros((PLACES + 1, 0), "float32"))
+    members = lambda group, side: langs[side] if group == "" else [side]
+    sides = [(i, name, y) for i, (group, a, b) in enumerate(pairs) for side, y in ((a, 1), (b, -1)) for name in members(group, side)]
+    dealt = spark.createDataFrame(sides, "pair int, lang string, y int")
+
+    def train(pair: pd.DataFrame) -> pd.DataFrame:
+        pair = pair.sort_values(["lang", "draw", "at", "n"])
+        at, n = [np.frombuffer(a, "<u2") for a in pair["at"]], [np.frombuffer(x, "<f4") for x in pair["n"]]
+        return pd.DataFrame({"pair": pair["pair"].iloc[:1], "w": [svm(at, n, pair["y"].to_numpy("float32")).astype("<f4").tobytes()]})
+
+    fitted = sample.join(F.broadcast(dealt), "lang").repartition(len(pairs), "pair").groupBy("pair").applyInPandas(train, "pair int, w binary").collect()
+    weights = {r["pair"]: np.frombuffer(bytes(r["w"]), "<f4") for r in fitted}
+    return Model(langs, pairs, np.stack([weights[i] for i in range(len(pairs))], 1))
 
 
 def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -12,11 +12,13 @@ sizes (so a source or a size that holds most rows has many leaves) and leaves on
 combined ``LEAF`` at a time within the class, and the classes of a source at the end. Only ids and
 sizes are shuffled, never texts. The draws are hashes of the ids, so reruns agree.
 
-The only global sort is of the table of sources (one row each), for the ranks of the weights.
+The only global sort is of the table of sources (one row each), for the ranks of the weights: one task holds some 100 bytes a
+source.
 
 Defined results: a null or empty text has size 0 and takes 0 words; a source of size 0 has target 0
-and takes no copies; a null source is a source, sorted last; repeated rows are rounded each on its own;
-documents of equal size meet in the order of their ids; an empty table gives no rows; other columns
+and takes no copies; a null source is a source, sorted last; repeated rows, and rows without an id of one size, are
+counted and numbered first, then rounded each on its own, so that many of them have many leaves; a text of any length has its
+words counted; documents of equal size meet in the order of their ids; an empty table gives no rows; other columns
 are ignored unless they are named as keys.
 """
 
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialise
 
 WEIGHTS, MOST, LEAF, SEED = (1.0, 2.0, 3.0), 3.0, 256, 20_26
+#: Equal rows that are told apart at once.
+NUMBERED = 4096
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: One meeting of the fraction that is carried (acc.held, acc.p) with the next one (x).
@@ -85,10 +89,19 @@ def _fold(groups: DataFrame, by: list[str], item_type: str, seed: int) -> DataFr
     return gathered.select(*by, F.expr(_MEET.format(item=item_type, seed=seed)).alias("f")).select(*by, "f.held", "f.p", "f.done")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``_nth``, the number of a row among equal ones. They are counted, then told apart again, in two
+    steps so that no array is long."""
+    counted = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_n"))
+    apart = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / NUMBERED))))
+    each = F.sequence(F.lit(0).cast("long"), F.least(F.col("_n") - F.col("_block") * NUMBERED, F.lit(NUMBERED)) - 1)
+    return apart.withColumn("_nth", F.explode(each)).withColumn("_nth", F.col("_nth") + F.col("_block") * NUMBERED).drop("_n", "_block")
+
+
 def mix(docs: DataFrame, keys: tuple[str, ...] = (), weights: tuple[float, ...] = WEIGHTS, most: float = MOST, leaf: int = LEAF, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: doc_id, the columns ``keys``, source, size, source_size, target (its
     source's), copies and taken (copies * size)."""
-    sized = materialise(docs.select("doc_id", *keys, "source", size_of(F.col("text")).alias("size")), "sizes")
+    sized = materialise(_numbered(docs.select("doc_id", *keys, "source", size_of(F.col("text")).alias("size"))), "sizes")
     sized = sized.withColumn("_class", F.floor(F.log2(F.col("size") + 1.0) * 4).cast("int"))
     classes = materialise(sized.groupBy("source", "_class").agg(F.sum("size").alias("_words"), F.count(F.lit(1)).alias("_rows")), "classes")
     wanted = targets(classes.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, most)
@@ -97,19 +110,19 @@ def mix(docs: DataFrame, keys: tuple[str, ...] = (), weights: tuple[float, ...]
     plan = materialise(plan.select(F.col("_s"), F.col("_class").alias("_c"), F.ceil(F.col("_rows") / leaf).cast("int").alias("_leaves"), "source_size", "target", rate.alias("_rate")), "plan")
     most_leaves = plan.agg(F.max("_leaves")).first()[0]
     if most_leaves is None:
-        schema = sized.drop("_class")
+        schema = sized.drop("_class", "_nth")
         return schema.select("*", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("taken"))
-    item = F.struct("doc_id", *keys, "size", F.floor("_rate").cast("int").alias("whole"))
-    leaf_no = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", *keys), F.col("_leaves")).cast("int")
+    item = F.struct("doc_id", *keys, "size", "_nth", F.floor("_rate").cast("int").alias("whole"))
+    leaf_no = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", *keys, "_nth"), F.col("_leaves")).cast("int")
     rows = sized.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_class") == F.col("_c")))
     rows = rows.select("source", "_class", leaf_no.alias("_at"), item.alias("item"), (F.col("_rate") - F.floor("_rate")).alias("p"))
     item_type = rows.schema["item"].dataType.simpleString()
-    level = rows.select("source", "_class", F.col("_at").alias("_node"), F.struct(F.col("item.size").alias("a"), F.col("item.doc_id").alias("b")).alias("_at"), "item", "p")
+    level = rows.select("source", "_class", F.col("_at").alias("_node"), F.struct(F.col("item.size").alias("a"), F.col("item.doc_id").alias("b"), F.col("item._nth").alias("c")).alias("_at"), "item", "p")
     done, nodes = [], most_leaves
     while True:
         folded = materialise(_fold(level, ["source", "_class", "_node"], item_type, seed), "fold")
         done.append(folded.select("source", F.explode("done").alias("d")))
-        at = F.struct(F.col("_class").cast("long").alias("a"), F.col("_node").cast("long").alias("b"))
+        at = F.struct(F.col("_class").cast("long").alias("a"), F.col("_node").cast("long").alias("b"), F.lit(0).cast("long").alias("c"))
         if nodes == 1:
             break
         nodes = -(-nodes // leaf)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, ids_as_long, ids_as_text, materialise
 
 CAPACITY = 2048
-#: Pieces per salt: the most rows that one window group holds.
+#: Pieces per salt: what one window group holds, about; pieces of equal id, number and ids are in one.
 ROWS_PER_SALT = 500_000
 
 _PIECES = "doc_id string, piece int, start long, length long, ids_crc32 long, ids binary"
@@ -134,7 +134,7 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = sorted(plan(counts, capacity))
     salts = max(16, -(-sum(counts.values()) // ROWS_PER_SALT))
     by = [F.col("length"), F.col("_salt")]
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *["ids_crc32"] * ("ids_crc32" in items.columns)), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "piece")) - 1)

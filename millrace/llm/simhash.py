@@ -4,7 +4,9 @@ A document's fingerprint is the majority bit, at each of 64 places, of the XXH64
 shingles. Equal fingerprints are one class; only classes are compared. Two fingerprints that differ
 in at most ``radius`` bits agree in at least one of ``radius + 1`` blocks of bits, so each (block,
 value) is a shard with its own BK-tree, and every link is found in some shard. Many fingerprints are cut into more
-blocks, of which two or more agree, so that shards stay small at any size. A tree's children are
+blocks, of which two or more agree, so that shards stay small at any size; and the members of shards that are
+large all the same are cut into more blocks once again, by themselves: a pair of a large shard has both its
+members among them. Where the most blocks leave a large shard it is dealt to parts, and each two parts meet in a task. A tree's children are
 keyed by their integer distance to the parent, and a search follows only the edges from d - radius to
 d + radius, where d is its distance to the node. A tree lives in the task that holds its shard (trees
 of all shards of a batch are searched together), so none is sent anywhere.
@@ -14,14 +16,15 @@ leaves out subtrees whose members are all in its own component already, so a den
 copies costs about as much as its size.
 
 Defined results: a null or empty text has no shingle and fingerprint zero, and links like any other;
-fewer words than a shingle make one shingle of all; repeated shingles count each time; repeated rows
-share their class; an empty table gives no rows; other columns are ignored. A null doc_id is kept and
+fewer words than a shingle make one shingle of all; repeated shingles count each time; a text of any length is
+hashed whole; repeated rows share their class; an empty table gives no rows; other columns are ignored. A null doc_id is kept and
 never names a class unless all of the class are null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -29,14 +32,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ids_as_long, ids_as_text, materialise
+from .common import arrow_rows, ids_as_long, ids_as_text, materialise, whole_groups
 from .components import components
 
 WORDS, RADIUS, SEED = 4, 4, 42
 #: Pairs of a search and a node that are handled at once; some 200 MB.
 FRONTIER = 2_000_000
-#: Fingerprints that a shard should have at most, were they evenly spread.
-SHARD = 2048
+#: Fingerprints that a shard should have at most, were they evenly spread, and that a tree holds at most.
+SHARD, TREE = 2048, 1 << 16
+#: Blocks that agree at most: a fingerprint has then 210 shards.
+MOST_AGREE = 6
+#: Fingerprints whose trees are searched together.
+TOGETHER = 20_000
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
@@ -197,42 +204,46 @@ def blocks_to_agree(n: int, radius: int = RADIUS, shard: int = SHARD) -> int:
     """So many blocks that ``n`` evenly spread fingerprints make shards of at most ``shard``; more blocks mean more shards
     for each fingerprint, and as complete a search."""
     agree = 1
-    while agree < 4 and n >> (64 * agree // (radius + agree)) > shard:
+    while agree < MOST_AGREE and n >> (64 * agree // (radius + agree)) > shard:
         agree += 1
     return agree
 
 
-def links(fps: DataFrame, radius: int = RADIUS, agree: int | None = None) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) whose components are those of all pairs within the
-    radius."""
-    agree = agree or blocks_to_agree(fps.count(), radius)
+def _searched(sharded: DataFrame, radius: int) -> DataFrame:
+    """Links (a, b) within the shards (shard, i, j) of fingerprints (fp)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def solve(shard: np.ndarray, fp: np.ndarray) -> pd.DataFrame:
-            label = group_components(shard, fp.view("uint64"), radius)
+        for rows in whole_groups(batches, ["shard", "i", "j"], TOGETHER):
+            fp = rows["fp"].to_numpy()
+            label = group_components(rows.groupby(["shard", "i", "j"], sort=False).ngroup().to_numpy(), fp.view("uint64"), radius)
             other = label != np.arange(len(fp))
-            return pd.DataFrame({"a": fp[label[other]], "b": fp[other]})
+            yield pd.DataFrame({"a": fp[label[other]], "b": fp[other]})
 
-        held: list[pd.DataFrame] = []
-        for batch in batches:  # sorted by shard; the last shard of a batch may go on in the next
-            if batch.empty:
-                continue
-            last, first = batch["shard"].iloc[-1], batch["shard"].iloc[0]
-            held.append(batch)
-            if first == last and len(held) > 1 and held[0]["shard"].iloc[0] == last:
-                continue
-            rows = pd.concat(held)
-            whole = rows["shard"] != last
-            if whole.any():
-                yield solve(rows.loc[whole, "shard"].to_numpy(), rows.loc[whole, "fp"].to_numpy())
-            held = [rows[~whole]]
-        if held:
-            rows = pd.concat(held)
-            yield solve(rows["shard"].to_numpy(), rows["fp"].to_numpy())
-
-    arrow_rows(fps.sparkSession, 20_000)
-    sharded = fps.select("fp", F.explode(_shards(F.col("fp"), radius, agree)).alias("shard"))
-    return sharded.repartition("shard").sortWithinPartitions("shard").mapInPandas(run, "a long, b long")
+    arrow_rows(sharded.sparkSession)
+    return sharded.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j").mapInPandas(run, "a long, b long")
+
+
+def links(fps: DataFrame, radius: int = RADIUS, agree: int | None = None, tree: int = TREE) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (a, b) whose components are those of all pairs within the
+    radius. ``fps`` is read more than once, so best a table."""
+    agree = agree or blocks_to_agree(fps.count(), radius)
+    found: list[DataFrame] = []
+    whole = [F.lit(0).alias("i"), F.lit(0).alias("j")]
+    while True:
+        sharded = fps.select("fp", F.explode(_shards(F.col("fp"), radius, agree)).alias("shard"))
+        large = materialise(sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > tree), "large")
+        if large.isEmpty():
+            found.append(_searched(sharded.select("fp", "shard", *whole), radius))
+            break
+        found.append(_searched(sharded.join(large, "shard", "left_anti").select("fp", "shard", *whole), radius))
+        if agree >= MOST_AGREE:
+            parts = F.ceil(F.col("_n") / tree).cast("int")
+            dealt = sharded.join(large, "shard").withColumn("_q", F.explode(F.sequence(F.lit(0), parts))).withColumn("_p", F.pmod(F.xxhash64("fp"), parts + 1).cast("int"))
+            found.append(_searched(dealt.select("fp", "shard", F.least("_p", "_q").alias("i"), F.greatest("_p", "_q").alias("j")), radius))
+            break
+        fps = materialise(sharded.join(large, "shard", "left_semi").select("fp").distinct(), "crowded")
+        agree += 1
+    return reduce(DataFrame.union, found)
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, radius: int = RADIUS) -> DataFrame:

@@ -14,7 +14,8 @@ task of their own, so no task holds more than two parts. Many unlike documents i
 pairs' comparison, never their output.
 
 Defined results: a text without words has the empty set, and links only with others of that kind;
-fewer words than a shingle make one shingle of all; repeated rows are in one component.
+fewer words than a shingle make one shingle of all; a text of any length is compared whole; repeated rows are in one
+component; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, ids_as_long, ids_as_text, materialise
+from .common import arrow_rows, ids_as_long, ids_as_text, materialise, whole_groups
 from .components import components
 from .simhash import SEED, links, majority, shingle_hashes
 
@@ -154,15 +155,9 @@ def _apart(parted: DataFrame, classes: DataFrame, sets: DataFrame, part_bytes: i
             own = rows["class"].to_numpy()
             return pd.DataFrame({"a": [own[a] for a, _ in found], "b": [own[b] for _, b in found]}, dtype="int64")
 
-        held: list[pd.DataFrame] = []
-        for batch in batches:  # sorted; the last cell of a batch may go on in the next
-            for cell, rows in batch.groupby(["bucket", "i", "j"], sort=False):
-                if held and cell != tuple(held[0][["bucket", "i", "j"]].iloc[0]):
-                    yield solve(pd.concat(held))
-                    held = []
-                held.append(rows)
-        if held:
-            yield solve(pd.concat(held))
+        for frame in whole_groups(batches, ["bucket", "i", "j"], 1):
+            for _, rows in frame.groupby(["bucket", "i", "j"], sort=False):
+                yield solve(rows)
 
     arrow_rows(spark)
     return met.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a long, b long")
@@ -175,7 +170,7 @@ def near_copies(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     rows = materialise(sketches(docs), "sketches")
     classes = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "least")])
     classes = materialise(classes, "classes")
-    found = components(links(classes.select("fp").distinct())).withColumnRenamed("vertex", "fp")
+    found = components(links(materialise(classes.select("fp").distinct(), "fps"))).withColumnRenamed("vertex", "fp")
     rooted = classes.join(found, "fp", "left").withColumn("bands", F.concat("bands", F.array(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")))))
     rooted = materialise(rooted.select("class", "n", "first_id", "bands", "least"), "rooted")
     buckets = rooted.select("class", "n", "first_id", F.explode("bands").alias("bucket"))

@@ -10,13 +10,16 @@ scorer f under a loss is estimated as
 the second term being the risk on clean documents, which an over-fitted scorer would drive below
 zero; where it is below zero its gradient is turned round. The scorer is linear in hashed features: the
 words of the whole text and their first letters, each distinct word counting once. Weights are kept
-sparse: only features that positives have more often are fitted, and soft thresholds clear weak ones. It is fitted with numpy on bounded samples, chosen by hashes of the ids;
-labels of clean documents serve for the prior only.
+sparse: only features that positives have more often are fitted, and soft thresholds clear weak ones. It is fitted with numpy on bounded samples,
+the documents of either kind with the smallest hashes of id and text; how many of them have a feature is counted in tasks, so that only
+features worth fitting reach the driver. Labels of clean documents serve for the prior only: it is the share of toxic ones among
+all labels, half a document added to either side, unless the caller knows better.
 
 Defined results: a null or empty text gets the score of a text without known words; repeated rows are scored
 alike; an empty table gives no rows; a null doc_id is kept, counts as not held out, and has no label; labels
 without a document are ignored; of contradicting labels of a document the toxic one counts; without a
-positive example every score is the prior's; other columns are ignored.
+positive example, or without labels of both kinds, the prior is ``PRIOR_UNKNOWN``, and without a positive example every score is the prior's;
+a text of any length is scored whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,18 +31,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, chosen, held_out, ids_as_long, ids_as_text
+from .common import arrow_rows, bounded_sample, held_out, ids_as_long, ids_as_text, materialise
 
-#: Places of hashed features; most documents of either kind that a scorer is fitted on, about.
+#: Places of hashed features; most documents of either kind that a scorer is fitted on.
 PLACES, POSITIVES, UNLABELLED = 1 << 18, 4_000, 8_000
 #: A feature is fitted if so many positives have it, so many times more often than unlabelled texts.
 SEEN, MORE = 4, 2.0
 #: Letters of the beginnings of words that are features besides the words.
 HEADS = (4, 5, 6)
-PRIOR_LEAST, PRIOR_MOST, PRIOR_UNKNOWN = 0.01, 0.5, 0.1
+#: The class prior where the labels do not tell it.
+PRIOR_UNKNOWN = 0.1
 #: Words whose weights a worker remembers before it starts afresh.
 MEMO_WORDS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
@@ -82,22 +86,19 @@ def _sums(features: list[np.ndarray], w: np.ndarray) -> np.ndarray:
     return sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
 
 
-def _telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
-    """Features in at least ``SEEN`` positives, and that much more often there than in unlabelled texts."""
-    rate = lambda docs: np.bincount(np.concatenate([np.unique(f) for f in docs]), minlength=PLACES)
-    p, u = rate(positive), rate(unlabelled)
-    return (p >= SEEN) & (p / len(positive) >= MORE * u / len(unlabelled) + 1 / len(unlabelled))
+def _telling(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int) -> np.ndarray:
+    """Features in at least ``SEEN`` positives, and that much more often there than in unlabelled texts. ``p`` and ``u``: how
+    many texts of either kind have each feature."""
+    return (p >= SEEN) & (p / max(1, positives) >= MORE * u / max(1, unlabelled) + 1 / max(1, unlabelled))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, sparse: float = 2e-3, seed: int = 11) -> Scorer:
-    """nnPU with the logistic loss, by minibatches and Adam. The arguments are features of documents (with
-    repeats, as several words of a document may share a beginning)."""
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 40, rate: float = 0.05, sparse: float = 0.018, seed: int = 11) -> Scorer:
+    """nnPU with the logistic loss, by minibatches and Adam. The arguments are the telling features of documents (with
+    repeats, as several words of a document may share a beginning; a document may have none)."""
     start = float(np.log(prior / (1 - prior)))
     w, b = np.zeros(PLACES, "float32"), start
     if not positive or not unlabelled:
         return Scorer(w, start)
-    telling = _telling(positive, unlabelled)
-    positive, unlabelled = ([f[telling[f]] for f in docs] for docs in (positive, unlabelled))
     rng = np.random.default_rng(seed)
     m, v, mb, vb, step = np.zeros(PLACES, "float32"), np.zeros(PLACES, "float32"), 0.0, 0.0, 0
     batches = max(4, max(len(positive), len(unlabelled)) // 256)
@@ -122,7 +123,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
             fix, fix2 = 1 - 0.9**step, 1 - 0.999**step
             size = pace / (np.sqrt(v / fix2) + 1e-4)
             w -= size * m / fix
-            w = np.sign(w) * np.maximum(np.abs(w) - size * sparse, 0)
+            w = np.sign(w) * np.maximum(np.abs(w) - size * sparse * prior, 0)
             b -= pace * (mb / fix) / (np.sqrt(vb / fix2) + 1e-4)
     return Scorer(w.astype("float32"), b - _cut(_sums(positive, w) + b, _sums(unlabelled, w) + b, prior))
 
@@ -139,30 +140,58 @@ def _cut(fp: np.ndarray, fu: np.ndarray, prior: float) -> float:
     return float((edges[run[0]] + edges[run[-1]]) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Scorer:
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> Scorer:
     """docs (doc_id, text) and labels (doc_id, toxic), both without what is held out."""
-    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    n = {int(r["toxic"]): r["n"] for r in marks.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    found, others = n.get(1, 0), sum(n.values()) - n.get(1, 0)
-    total = docs.count()
-    prior = min(PRIOR_MOST, max(PRIOR_LEAST, found / (found + others))) if found and others else PRIOR_UNKNOWN
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    # the sampled ids of positives are some POSITIVES at most; clean samples are few before they meet the labels
-    picked = marks.where((F.col("toxic") == 1) & chosen(min(1.0, positives / max(1, found)), F.col("doc_id"), salt="toxic"))
-    toxic = rows.join(F.broadcast(picked.select("doc_id")), "doc_id", "left_semi").select("text", F.lit(1).alias("toxic"))
-    free = max(1, total - sum(n.values()))
-    clean = rows.where(chosen(min(1.0, unlabelled / free), F.col("doc_id"), salt="clean")).join(marks.select("doc_id"), "doc_id", "left_anti").select("text", F.lit(0).alias("toxic"))
-    marked = toxic.union(clean)
+    spark = docs.sparkSession
+    marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).alias("_toxic"))
+    n = {r["_toxic"]: r["n"] for r in marks.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    found, others = n.get(True, 0), n.get(False, 0)
+    if prior is None:
+        prior = (found + 0.5) / (found + others + 1) if found and others else PRIOR_UNKNOWN
+    # ids and draws meet the labels; only the sampled rows' texts are fetched
+    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit("toxic"), "doc_id", "text").alias("_draw"))
+    drawn = drawn.join(marks, F.col("doc_id") == F.col("_id"), "left").where("_toxic IS NULL OR _toxic")
+    drawn = materialise(drawn.select("doc_id", "_draw", F.coalesce("_toxic", F.lit(False)).alias("toxic")), "draws")
+    most = F.when(F.col("toxic"), F.lit(positives)).otherwise(F.lit(unlabelled))
+    picked = bounded_sample(drawn.where("toxic"), positives, "toxic", "_draw").union(bounded_sample(drawn.where("NOT toxic"), unlabelled, "toxic", "_draw"))
+    picked = picked.distinct().withColumnsRenamed({"doc_id": "_id", "_draw": "_d"})
+    draw = F.xxhash64(F.lit("toxic"), "doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_draw", draw)
+    rows = rows.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_draw") == F.col("_d")))
+    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("_draw"))  # repeated rows come back with their copies
+    rows = rows.withColumn("_turn", turn).where(F.col("_turn") <= max(positives, unlabelled)).where(F.col("_turn") <= most).select("text", F.col("toxic").cast("int").alias("toxic"))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [np.array(sorted(x for word in words(t) for x in places(word)), "<i4").tobytes() for t in batch["text"]]
             yield pd.DataFrame({"toxic": batch["toxic"], "features": found})
 
-    arrow_rows(docs.sparkSession)
-    rows = marked.select("text", "toxic").mapInPandas(features, "toxic int, features binary").toPandas()
-    rows = rows.sort_values(["toxic", "features"])
-    known = [(t, np.frombuffer(f, "<i4")) for t, f in zip(rows["toxic"], rows["features"], strict=True) if len(f)]
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        have, texts = np.zeros((2, PLACES), "int64"), np.zeros(2, "int64")
+        for batch in batches:
+            for toxic, f in zip(batch["toxic"].tolist(), batch["features"], strict=True):
+                have[toxic, np.unique(np.frombuffer(f, "<i4"))] += 1
+                texts[toxic] += len(f) > 0
+        for toxic in (0, 1):
+            at = np.flatnonzero(have[toxic])
+            yield pd.DataFrame({"toxic": toxic, "place": np.append(at, -1), "n": np.append(have[toxic, at], texts[toxic])})
+
+    arrow_rows(spark)
+    sample = materialise(rows.mapInPandas(features, "toxic int, features binary"), "features")
+    sums = sample.mapInPandas(tally, "toxic int, place int, n long").groupBy("toxic", "place").agg(F.sum("n").alias("n")).toPandas()
+    have = np.zeros((2, PLACES + 1), "int64")  # the last place holds the number of texts
+    have[sums["toxic"], sums["place"]] = sums["n"]
+    telling = _telling(have[1, :PLACES], have[0, :PLACES], have[1, -1], have[0, -1])
+    sent = spark.sparkContext.broadcast(telling)
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            batch = batch[batch["features"].map(len) > 0]
+            own = [np.frombuffer(f, "<i4") for f in batch["features"]]
+            yield pd.DataFrame({"toxic": batch["toxic"], "features": [f[sent.value[f]].tobytes() for f in own]})
+
+    known = sample.mapInPandas(told, "toxic int, features binary").toPandas().sort_values(["toxic", "features"])
+    known = [(t, np.frombuffer(f, "<i4")) for t, f in zip(known["toxic"], known["features"], strict=True)]
     return fit([f for t, f in known if t == 1], [f for t, f in known if t != 1], prior)
 
 
@@ -179,9 +208,9 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return ids_as_long(ids_as_text(docs, "text").mapInPandas(run, "doc_id string, score double"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0, prior: float | None = None) -> DataFrame:
     """doc_id, held_out, score, predicted. Rows whose crc32(doc_id) modulo ``folds`` is ``fold`` are held
     out: neither their labels nor their texts are learned from."""
     out = held_out(F.col("doc_id"), folds, fold)
-    scorer = learn(docs.where(~out), labels.where(~out))
+    scorer = learn(docs.where(~out), labels.where(~out), prior=prior)
     return score(docs, scorer).select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

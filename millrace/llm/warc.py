@@ -14,7 +14,8 @@ names the files of the attempt that succeeded, so lost executors leave stray fil
 
 Defined results: a null html is an empty payload; a null url has no target; of repeated rows one is
 the response; a null page_id is kept and is the response only if no other record has the payload; an
-empty table gives no rows; other columns are ignored.
+empty table gives no rows; a payload of any length is one record, held by a task one at a time; other columns are ignored.
+A gzip stream or a record that is cut raises ``ValueError``.
 """
 
 from __future__ import annotations
@@ -128,16 +129,17 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
 
 def _inflated(source) -> Iterator[bytes]:  # noqa: ANN001
     """The bytes of a gzip file, of one member or many, part by part."""
-    unpack = zlib.decompressobj(_GZIP)
+    unpack, open_ = zlib.decompressobj(_GZIP), False
     while block := source.read(READ):
         while block:
-            if piece := unpack.decompress(block):
+            piece, open_ = unpack.decompress(block), True
+            if piece:
                 yield piece
             block = unpack.unused_data
             if unpack.eof:
-                unpack = zlib.decompressobj(_GZIP)
-    if piece := unpack.flush():
-        yield piece
+                unpack, open_ = zlib.decompressobj(_GZIP), False
+    if open_:
+        raise ValueError("a gzip stream is cut")
 
 
 def records(stream: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
@@ -189,7 +191,7 @@ def normalise(archives: DataFrame, folder: str) -> DataFrame:
                     side.write("".join(index).encode())
                 yield pd.DataFrame({"archive": [path], "sidecar": [path + ".idx"], "n_records": [len(index)]})
 
-    arrow_rows(archives.sparkSession, 1)
+    arrow_rows(archives.sparkSession)
     files = archives.count()
     dealt = archives.select("path").repartition(max(1, files))
     return materialise(dealt.mapInPandas(run, "archive string, sidecar string, n_records long"), "normalised")
@@ -227,7 +229,7 @@ def read(archives: DataFrame) -> DataFrame:
                         yield pd.DataFrame(rows)
 
     schema = "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, url string"
-    arrow_rows(archives.sparkSession, 1)
+    arrow_rows(archives.sparkSession)
     return ids_as_long(archives.select("archive", "sidecar").repartition(max(1, archives.count())).mapInPandas(run, schema), "page_id", "refers_to")
 
 
