@@ -1,6 +1,8 @@
 """Mixing, fingerprints of edits, media, archives and the pipeline against plain versions."""
 
+import gzip
 import hashlib
+import io
 import re
 import zlib
 from collections import Counter
@@ -66,6 +68,15 @@ def test_pivotal_counts_are_right_but_for_one(spark):
     assert all(abs(r.n - r.target / r.size) < 1.0001 for r in got)
 
 
+def test_many_equal_rows_are_mixed(spark):
+    d = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.when(F.col("id") % 4 > 0, "hot").otherwise("cold").alias("source"))
+    found = mixing.mix(d)
+    got = found.groupBy("source", "target").agg(F.sum("taken").alias("taken"), F.count("*").alias("n")).collect()
+    assert {r.source: r.n for r in got} == {"hot": 15_000, "cold": 5_000} and all(abs(r.taken - r.target) <= 3.001 for r in got)
+    rows = mixing._numbered(d.select("source"))
+    assert rows.count() == 20_000 and rows.distinct().count() == 20_000 and rows.agg(F.max("_nth")).first()[0] == 14_999
+
+
 def plain_winnow(text, gram=5, window=16):
     han = r"一-鿿぀-ヿ฀-๿"
     words = re.findall(rf"[{han}]|[^\x20\x09-\x0D{han}]+", text or "")
@@ -111,6 +122,15 @@ def test_edits(spark, n):
     rows = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")
     got = {r.doc_id: r for r in winnowing.compared(rows).collect()}
     assert len(got) == n
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+
+    def prints(text):  # hashes of whole short texts are the operator's own, others the plain version's
+        want = plain_winnow(text)
+        if want is None:
+            words = re.findall(r"[^\x20\x09-\x0D]+", text)
+            return {("short", *words)} if words else set()
+        return {x for x, _ in want}
+
     order = sorted(ids, reverse=True)
     by = dict(zip(ids, texts, strict=True))
     for i, k in enumerate(order):
@@ -118,7 +138,8 @@ def test_edits(spark, n):
         half = len(text) // 2
         edited = text[: len(text) - half] + after[:half]
         assert (got[k].n_chars, got[k].edited) == (len(text), edited)
-        assert got[k].near_next == 1.0 if text == after else 0 <= got[k].near_next <= 1
+        own, new, follow = (prints(t) for t in (text, edited, after))
+        assert got[k].near_edited == pytest.approx(like(own, new)) and got[k].near_next == pytest.approx(like(own, follow))
     if n == 40:
         plan = winnowing.compared(rows)._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan
@@ -144,9 +165,54 @@ def test_png_filters():
         lines[y, 0], lines[y, 1:] = kind, (row - guess) % 256
         before = row
     assert (media.unfilter(lines) == samples).all()
+    three = np.concatenate([lines, lines[:7], lines])
+    assert (media.unfilter(three, 1, np.isin(np.arange(87), [0, 40, 47])) == np.concatenate([samples, samples[:7], samples])).all()
+    assert (media.unfilter(lines[:1]) == samples[:1]).all() and media.unfilter(lines[:0]).shape == (0, 64)
+    wide = samples.reshape(20, 128).astype(int)  # pixels of two bytes
+    pixels, over = np.concatenate([np.zeros((20, 2), int), wide], 1), np.concatenate([np.zeros((1, 130), int), np.concatenate([np.zeros((20, 2), int), wide], 1)])[:-1]
+    mean = np.concatenate([np.full((20, 1), 3), (wide - (pixels[:, :-2] + over[:, 2:]) // 2) % 256], 1).astype("u1")
+    assert (media.unfilter(mean, 2) == wide).all()
     assert (media.read_png(media.write_png(samples.tobytes())) == samples).all()
 
 
+def test_filters_are_chosen_by_least_differences(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").orderBy("doc_id").limit(60)
+    kinds = set()
+    for r in media.store(d.union(docs(spark, ODD).select(*d.columns[:4], F.lit(0).cast("long")))).collect():
+        lines = media.png_lines(bytes(r.media))
+        kinds |= set(lines[:, 0].tolist())
+        samples, above = media.read_png(bytes(r.media)).astype(int), [0] * 64
+        for line, row in zip(lines[:20].tolist(), samples.tolist(), strict=False):
+            sums = []
+            for kind in range(5):
+                total = 0
+                for x in range(64):
+                    a, b, c = row[x - 1] if x else 0, above[x], above[x - 1] if x else 0
+                    p = a + b - c
+                    guess = (0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2])[kind]
+                    left = (row[x] - guess) % 256
+                    total += min(left, 256 - left)
+                sums.append(total)
+            assert line[0] == sums.index(min(sums))
+            above = row
+    assert kinds == {0, 1, 2, 3, 4}
+
+
+def test_cosine_hash():
+    rng = np.random.default_rng(4)
+    for n in (1, 5, 32, 77):
+        a = rng.integers(0, 256, (n, 64)).astype("u1")
+        small = np.zeros((32, 32))
+        for y in range(32):
+            for x in range(32):
+                ys = [y * n // 32] if n < 32 else range(y * n // 32, (y + 1) * n // 32)
+                small[y, x] = np.mean([[a[j, i] for i in (2 * x, 2 * x + 1)] for j in ys])
+        low = [round(sum(small[y, x] * np.cos(np.pi * (2 * y + 1) * v / 64) * np.cos(np.pi * (2 * x + 1) * u / 64) for y in range(32) for x in range(32)), 6) for v in range(8) for u in range(8)]
+        middle = np.median(low[1:])
+        bits = "".join(str(int(v > middle)) for v in low)
+        assert media.cosine_hash(a) == int(bits, 2).to_bytes(8, "big")
+
+
 def test_damaged_png():
     good = media.write_png(bytes(128))
     for bad in (b"", good[:-5], good[:40] + b"x" + good[41:], b"x" + good[1:]):
@@ -200,6 +266,12 @@ def test_archive_files(spark, tmp_path):
             assert int(offset) == at and warc.parse(data[at : at + int(length)])["record_type"] == kind
             at += int(length)
         assert at == len(data)
+    for (path,) in raw.select("path").collect():
+        data = open(path.removeprefix("file://"), "rb").read()
+        assert b"".join(warc._inflated(io.BytesIO(data + data))) == 2 * gzip.decompress(data)
+        for cut in (1, 8, len(data) // 2):
+            with pytest.raises(ValueError, match="cut"):
+                list(warc._inflated(io.BytesIO(data[:-cut])))
     with pytest.raises(ValueError):
         list(warc.records(iter([b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc"])))
 

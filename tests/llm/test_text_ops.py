@@ -3,6 +3,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -14,6 +15,7 @@ from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
 from millrace.llm import langid, packing, pii, repair, simhash, similar, toxicity
+from millrace.llm.common import bounded_sample
 from millrace.llm.tokens import Encoder
 
 SCHEMA = "doc_id long, text string, lang string, source string, score double, start long, fp long"
@@ -35,18 +37,57 @@ def test_memo_gives_the_tokenizers_ids(name):
         assert np.frombuffer(known.packed(text, None), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def pair_counts(s):
+    """Occurrences of pairs of neighbours that do not overlap."""
+    many, before = Counter(), None
+    for pair in zip(s, s[1:], strict=False):
+        before = None if pair == before and pair[0] == pair[1] else pair
+        many[pair] += before is not None
+    return many
+
+
+def plain_repair(s):
+    """Re-Pair, a pair at a time: symbols left and rules made."""
+    rules, new = 0, max(s) + 1
+    while len(s) > 1 and (best := max((many := pair_counts(s)).items(), key=lambda x: x[1]))[1] > 1:
+        out, i = [], 0
+        while i < len(s):
+            hit = s[i : i + 2] == list(best[0])
+            out.append(new if hit else s[i])
+            i += 1 + hit
+        s, rules, new = out, rules + 1, new + 1
+    return len(s), rules
+
+
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 2, 3, 50, 5000):
+    for n in (0, 1, 2, 3, 4, 5, 50, 5000):
         for top in (1, 2, 5, 300, 70_000):
             ids = rng.integers(0, top, n).astype("uint32")
-            base, rules, lengths, symbols = repair.compress(ids, 20, 2)
-            shard = repair.Shard(base, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), 4, symbols.astype("<u4").tobytes())
+            base, rules, lengths, symbols = repair.compress(ids)
+            assert max(pair_counts(symbols.tolist()).values(), default=0) < 2
+            width = repair.width_of(base + len(rules))
+            shard = repair.Shard(base, rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), width, repair.packed(symbols, width))
             assert (repair.expand(base, rules, symbols) == ids).all() and (shard.all() == ids).all()
             for a, b in rng.integers(0, n + 1, (20, 2)):
                 assert (shard.ids(int(min(a, b)), int(max(a, b))) == ids[min(a, b) : max(a, b)]).all()
-    repeated = np.tile(np.arange(40, dtype="uint32"), 500)
-    assert len(repair.compress(repeated, 20, 2)[3]) < len(repeated) / 20
+    for once in (np.arange(40), np.zeros(1), np.array([3, 3, 3, 9])):
+        ids = np.tile(once.astype("uint32"), 3000)
+        _, rules, _, symbols = repair.compress(ids)
+        assert len(symbols) + 2 * len(rules) < 200 and (repair.expand(int(ids.max()) + 1, rules, symbols) == ids).all()
+    for width in (2, 3, 4):
+        some = rng.integers(0, 1 << (8 * width), 99).astype("uint32")
+        assert (repair.unpacked(repair.packed(some, width), width) == some).all()
+
+
+def test_repair_is_near_plain_repair():
+    rng, words = np.random.default_rng(5), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "the cat sat on the mat and the dog sat on the cat while the mat lay on the floor. " * 3
+    inputs = [rng.zipf(1.6, 1500) % 200, rng.integers(0, 12, 1200), np.array(words.encode(text * 4).ids), np.tile(rng.integers(0, 50, 150), 8), np.zeros(700), np.repeat(rng.integers(0, 4, 200), 5)]
+    for ids in inputs:
+        left, rules = plain_repair([int(x) for x in ids])
+        _, made, _, symbols = repair.compress(np.array(ids, "uint32"))
+        assert len(symbols) + 2 * len(made) <= 1.06 * (left + 2 * rules) + 8
 
 
 def test_repair_files(spark, tmp_path):
@@ -129,8 +170,8 @@ def test_any_number_of_agreeing_blocks_finds_all_links(spark):
     want = simhash.joined(np.arange(len(v)), *np.where(near))
     fps = spark.createDataFrame([(int(x),) for x in v], "fp long")
     at = {int(x): i for i, x in enumerate(v)}
-    for agree in (1, 2, 3, 4):
-        pairs = simhash.links(fps, 4, agree).collect()
+    for agree, tree in ((1, 1 << 16), (2, 1 << 16), (3, 1 << 16), (4, 1 << 16), (1, 4), (1, 20), (6, 3)):  # small trees: shards are split
+        pairs = simhash.links(fps, 4, agree, tree).collect()
         a, b = (np.array([at[p[k]] for p in pairs], "int64") for k in (0, 1))
         assert (simhash.joined(np.arange(len(v)), a, b) == want).all()
     assert [simhash.blocks_to_agree(n) for n in (10, 8 * 10**6, 10**9, 10**11)] == [1, 1, 2, 3]
@@ -314,6 +355,49 @@ def test_language_edges(spark):
     assert np.allclose(short.margins(texts), np.concatenate([short.margins([t]) for t in texts]))
 
 
+def test_learning_without_ids(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("doc_id", F.lit(None).cast("long"))
+    model = langid.fit(d, 100)
+    got = langid.predict(d.withColumn("true", F.col("lang")).limit(300), model, keep=("true",)).where("lang_pred <> 'und'").collect()
+    assert sorted(x for names in model.langs.values() for x in names) == sorted({r.lang for r in d.select("lang").distinct().collect()})
+    assert sum(r.true == r.lang_pred for r in got) >= 0.97 * len(got)
+    same = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    assert langid.fit(same).langs == {"germanic": ["en"]}
+
+
+def test_bounded_sample(spark):
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit("a")).when(F.col("id") % 8 > 0, F.lit("b")).alias("g"), (F.col("id") % 1000 * 7 % 1000).alias("draw"))
+    got = bounded_sample(rows, 37, "g", "draw").collect()
+    for g in ("a", "b", None):
+        every = sorted(r.draw for r in rows.collect() if r.g == g)
+        assert sorted(r.draw for r in got if r.g == g) == every[:37]
+    assert bounded_sample(rows.limit(0), 3, "g", "draw").count() == 0
+
+
+def test_the_risk_is_the_non_negative_estimate():
+    rng = np.random.default_rng(3)
+    p, u = [np.array([1, 2]), np.array([1])] * 40, [np.array([3])] * 70 + [np.array([1])] * 10
+    for prior in (0.002, 0.1, 0.9):
+        found = toxicity.fit(p, u, prior)
+        fp, fu = (np.array([found.weights[f].sum() + found.bias for f in x]) for x in (p, u))
+        assert fp.min() > fu[:70].max()
+    fp, fu = rng.normal(1, 1, 200), rng.normal(-1, 1, 500)
+    cut = toxicity._cut(fp, fu, 0.2)
+    risk = lambda t: 0.2 * (fp <= t).mean() + max(0, (fu > t).mean() - 0.2 * (fp > t).mean())
+    assert risk(cut) <= min(risk(t) for t in np.linspace(-5, 5, 2001)) + 1e-9
+
+
+def test_votes_of_languages():
+    names = ["a", "b", "c"]
+    model = langid.Model({"f": names}, [("f", "a", "b"), ("f", "a", "c"), ("f", "b", "c")], np.zeros((langid.PLACES + 1, 3), "float32"))
+    for margins in np.random.default_rng(2).normal(size=(200, 3)):
+        wins = Counter()
+        for (_, x, y), m in zip(model.pairs, margins, strict=True):
+            wins[x if m >= 0 else y] += 1
+        best, score = model._vote("f", names, margins)
+        assert wins[best] == max(wins.values()) and 0 <= score <= 1 and (max(wins.values()) == 1 or score >= 0.5)
+
+
 def test_toxicity_held_out(spark):
     d, marks = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.toxicity(d, marks).join(marks, "doc_id").where("held_out").collect()
