@@ -73,11 +73,11 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 def bounded_sample(rows: DataFrame, most: int, group: str, draw: str) -> DataFrame:
     """Of each group the rows with the smallest ``draw`` (a hash), ``most`` at most; ties are cut where the bound is
     reached. One scan of the two columns finds each group's last draw, a second one fetches its rows. ``rows``
-    are read twice; there is a row for each group on the driver's side of the second join."""
+    are read twice. What is broadcast has one row for each group: callers' groups are few, or make up their model."""
     turn = F.row_number().over(Window.partitionBy(group).orderBy(draw))
     last = rows.select(group, draw).withColumn("_turn", turn).where(F.col("_turn") <= most).groupBy(group).agg(F.max(draw).alias("_last"))
     last = last.withColumnRenamed(group, "_group")
-    near = rows.join(last, F.col(group).eqNullSafe(F.col("_group"))).where(F.col(draw) <= F.col("_last")).drop("_group", "_last")
+    near = rows.join(F.broadcast(last), F.col(group).eqNullSafe(F.col("_group"))).where(F.col(draw) <= F.col("_last")).drop("_group", "_last")
     return near.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn")
 
 
