@@ -57,7 +57,8 @@ def numeric_cell(c: Column) -> Column:
     figure = F.regexp_extract(body, _MONEY, 1)
     whole = F.split(figure, "[.٫]")[0]
     value = F.translate(F.regexp_replace(figure, r"(?U)[,٬\s]", ""), "٫", ".").try_cast("double")
-    return F.when((figure != "") & grouped_legally(whole), value)
+    plain = F.when(c.rlike(r"^[0-9]{1,15}(?:\.[0-9]{1,9})?$"), c.try_cast("double"))  # most figures; the value below is the same
+    return plain.when(c.rlike(r"(?U)\d"), F.when((figure != "") & grouped_legally(whole), value))
 
 
 def percent_aware(c: Column) -> Column:

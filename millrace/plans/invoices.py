@@ -153,7 +153,7 @@ def ground_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table per order, its order number merged over all rows, closing tags left out."""
-    li = _lines(spark, sf_dir).where("l_orderkey % 5 = 0")
+    li = _lines(spark, sf_dir)
     size = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey"))
     li = li.withColumn("size", size)
     first = F.when(F.col("n") == 1, F.concat(F.lit("<td rowspan="), F.col("size").cast("string"), F.lit(">A&amp;B "), F.col("l_orderkey").cast("string"))).otherwise("")
@@ -171,7 +171,7 @@ def html_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _invoice_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An invoice per order: a section, its items, of which some prices lost their last digit, and totals."""
-    li = _lines(spark, sf_dir).where("l_orderkey % 5 = 1")
+    li = _lines(spark, sf_dir)
     price = F.col("l_partkey") % 9000 + 10007
     read = F.when((F.col("l_partkey") % 4 == 0), F.floor(price / 10)).otherwise(price)
     total = (price * F.col("l_quantity")).cast("double")
@@ -206,7 +206,7 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order's lines in pages of three; every second page states the order."""
-    li = _lines(spark, sf_dir).where("l_orderkey % 2 = 0")
+    li = _lines(spark, sf_dir)
     page = F.floor((F.col("n") - 1) / 3)
     pages = li.groupBy((F.col("l_orderkey") % 400).alias("source"), "l_orderkey", page.alias("p")).agg(F.count(F.lit(1)).cast("int").alias("n_items"))
     pages = pages.select(F.col("source").cast("string").alias("source"), (F.col("l_orderkey") * 1000 + F.col("p")).alias("page"), F.when(F.col("p") % 2 == 0, F.col("l_orderkey").cast("string")).alias("order_id"), F.array(F.lit("part"), F.lit("amount")).alias("columns"), "n_items")
@@ -288,16 +288,16 @@ ORACLES = {
              e AS (SELECT * FROM li WHERE l_linenumber % 2 = 0), q AS (SELECT DISTINCT l_orderkey, value, d FROM li)
         SELECT q.l_orderkey, q.value, CASE WHEN EXISTS (SELECT 1 FROM e WHERE e.l_orderkey = q.l_orderkey) THEN EXISTS (SELECT 1 FROM e WHERE e.l_orderkey = q.l_orderkey AND contains(e.d, q.d)) END AS grounded FROM q""",
     "html_cells": f"""
-        WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_extendedprice FROM lineitem WHERE l_orderkey % 5 = 0), s AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS k FROM l GROUP BY 1)
+        WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_extendedprice FROM lineitem), s AS (SELECT l_orderkey, CAST(count(*) AS INTEGER) AS k FROM l GROUP BY 1)
         SELECT l_orderkey, 0 AS r, i AS c, (['Order', 'Part', 'Amount'])[i + 1] AS text, false AS spanned, true AS header FROM s, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)
         UNION ALL SELECT l_orderkey, n, 0, 'A&B ' || CAST(l_orderkey AS VARCHAR), n > 1, false FROM l UNION ALL SELECT l_orderkey, n, 1, CAST(l_partkey AS VARCHAR), false, false FROM l
         UNION ALL SELECT l_orderkey, n, 2, printf('%.2f', l_extendedprice), false, false FROM l
         UNION ALL SELECT l_orderkey, k + 1, i, (['Total', '', '1.00'])[i + 1], i = 1, false FROM s, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
     "extract_invoices": f"""
         SELECT l_orderkey AS doc_id, CAST({_N} AS INTEGER) AS item_no, 'Goods of the first kind' AS section, 'goods of lot ' || CAST(l_partkey AS VARCHAR) AS description, l_quantity AS qty,
-               CAST(l_partkey % 9000 + 10007 AS DOUBLE) AS unit_price, CAST(l_partkey % 9000 + 10007 AS DOUBLE) * l_quantity AS line_total, true AS items_ok, true AS totals_ok FROM lineitem WHERE l_orderkey % 5 = 1""",
+               CAST(l_partkey % 9000 + 10007 AS DOUBLE) AS unit_price, CAST(l_partkey % 9000 + 10007 AS DOUBLE) * l_quantity AS line_total, true AS items_ok, true AS totals_ok FROM lineitem""",
     "html_headings": """
-        WITH s AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey % 5 = 0)
+        WITH s AS (SELECT DISTINCT l_orderkey FROM lineitem)
         SELECT l_orderkey, i AS c, (['Order', 'Part', 'Amount'])[i + 1] AS heading, 1 AS band FROM s, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
     "html_rows": "SELECT p_partkey, p_name AS name, p_brand AS brand, 'x < y' AS note, 3 AS n_blocks, 'after' AS tail FROM part",
     "page_text": r"""
@@ -306,7 +306,7 @@ ORACLES = {
              c AS (SELECT page_id, regexp_replace(regexp_replace(t, '[ \t\r\f\v\x{85}\p{Z}]+', ' ', 'g'), '[ \n]*\n[ \n]*', chr(10), 'g') AS t FROM b)
         SELECT page_id, CAST(length(trim(t, ' ' || chr(10))) AS INTEGER) AS n_chars, sha256(trim(t, ' ' || chr(10))) AS text_sha256 FROM c""",
     "merge_pages": f"""
-        WITH l AS (SELECT l_orderkey, {_N} AS n FROM lineitem WHERE l_orderkey % 2 = 0), p AS (SELECT DISTINCT l_orderkey, CAST(floor((n - 1) / 3) AS BIGINT) AS p FROM l)
+        WITH l AS (SELECT l_orderkey, {_N} AS n FROM lineitem), p AS (SELECT DISTINCT l_orderkey, CAST(floor((n - 1) / 3) AS BIGINT) AS p FROM l)
         SELECT CAST(l_orderkey % 400 AS VARCHAR) AS source, l_orderkey * 1000 + p AS page, CAST(dense_rank() OVER (PARTITION BY l_orderkey % 400 ORDER BY l_orderkey) - 1 AS INTEGER) AS doc_no FROM p""",
     "section_fill": f"WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n FROM lineitem) SELECT l_orderkey, n, 'S' || CAST(n - (n - 1) % 4 AS VARCHAR) AS section FROM l",
     "sequence_repair": f"""

@@ -209,7 +209,7 @@ QUERIES = {
 }
 
 _L = f"l AS (SELECT *, CAST({_N} AS INTEGER) AS n FROM lineitem)"
-_W = "l AS (SELECT l_orderkey, CAST(" + _N + " AS INTEGER) AS n FROM lineitem WHERE l_orderkey % 6 = 0), w AS (SELECT l_orderkey, n, k, n * 3 + k AS word_idx FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS k))"
+_W = "l AS (SELECT l_orderkey, CAST(" + _N + " AS INTEGER) AS n FROM lineitem), w AS (SELECT l_orderkey, n, k, n * 3 + k AS word_idx FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS k))"
 _FIELDS = "['invoice_number','invoice_date','due_date','supplier','client_name','consignee_phone','shipper_address','consignee','shipper','tax_number','payment_terms','purchase_order',NULL]"
 
 ORACLES = {
@@ -245,7 +245,7 @@ ORACLES = {
     "label_values": "SELECT o_orderkey AS page, 0 AS line, 'Order No' AS label, CAST(o_orderkey AS VARCHAR) || ' of' AS value FROM orders UNION ALL SELECT o_orderkey, 0, 'Order Status', o_orderstatus FROM orders",
     "line_blocks": f"WITH {_W} SELECT DISTINCT l_orderkey, n - 1 AS line, CAST(floor((n - 1) / 4) AS INTEGER) AS block FROM w",
     "layout_tables": f"""
-        WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_suppkey, l_linenumber FROM lineitem WHERE l_orderkey % 6 = 0)
+        WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_suppkey, l_linenumber FROM lineitem)
         SELECT l_orderkey, 0 AS block, n - 1 AS line, i AS column_idx, CASE i WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE CAST(l_linenumber AS VARCHAR) END AS text, CAST(90.0 AS DOUBLE) AS conf
         FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
     "region_titles": """

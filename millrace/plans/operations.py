@@ -79,7 +79,7 @@ def sessionize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages: a line for each item, three words in it, slightly shaken."""
-    li = _lines(spark, sf_dir).where("l_orderkey % 6 = 0")
+    li = _lines(spark, sf_dir)
     words = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(x)).alias("x"), c.cast("string").alias("text")) for i, (x, c) in enumerate(((10, F.col("l_partkey")), (150, F.col("l_suppkey")), (300, F.col("l_linenumber"))))])
     w = li.select("l_orderkey", "n", F.explode(words).alias("w"))
     shake = (F.col("n") * 7 + F.col("w.k") * 3) % 5 - 2.0
@@ -139,7 +139,7 @@ QUERIES = {
 }
 
 _STATUS = "CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'failed' ELSE 'queued' END"
-_W = f"l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n FROM lineitem WHERE l_orderkey % 6 = 0), w AS (SELECT l_orderkey, n, k, n * 3 + k AS word_idx FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS k))"
+_W = f"l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n FROM lineitem), w AS (SELECT l_orderkey, n, k, n * 3 + k AS word_idx FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS k))"
 _PROGRESS_STAGES = ", ".join(f"'{s}'" for s in progress.STAGES)
 
 ORACLES = {
@@ -173,8 +173,22 @@ ORACLES = {
     "split_cells": f"WITH {_W} SELECT l_orderkey, word_idx, k AS cell FROM w",
     "words_to_cells": f"WITH {_W} SELECT l_orderkey, word_idx, CASE WHEN n % 2 = 1 THEN word_idx END AS cell_idx FROM w",
     "nearest_column": f"WITH {_W} SELECT l_orderkey, word_idx, k AS column_idx FROM w",
-    "column_edges": "SELECT DISTINCT l_orderkey, CAST(3 AS BIGINT) AS columns FROM lineitem WHERE l_orderkey % 6 = 0",
+    "column_edges": "SELECT DISTINCT l_orderkey, CAST(3 AS BIGINT) AS columns FROM lineitem",
     "progress_state": f"""
         WITH e AS (SELECT CAST(user_id AS VARCHAR) AS job_id, ([{_PROGRESS_STAGES}])[event_id % {len(progress.STAGES)} + 1] AS stage, event_id % 900 AS ms, event_id % 20 AS page FROM events WHERE event_id % 8 > 0)
         SELECT job_id, stage, max(ms) AS ms, CAST(max(page) AS INTEGER) AS pages_done FROM e GROUP BY 1, 2""",
+    "rate_limit": """
+        WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_ns(ts) // 1000000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ns(ts) // 1000000, event_id) AS i FROM events),
+             f AS (SELECT key, event_id, ms, i, true AS accepted, [ms] AS hits FROM e WHERE i = 1
+                   UNION ALL
+                   SELECT key, event_id, ms, i, len(hits) < 3, CASE WHEN len(hits) < 3 THEN list_append(hits, ms) ELSE hits END
+                   FROM (SELECT e.key, e.event_id, e.ms, e.i, list_filter(f.hits, lambda h: h > e.ms - 86400000) AS hits FROM f JOIN e ON e.key = f.key AND e.i = f.i + 1))
+        SELECT key, event_id, ms, accepted FROM f""",
+    "lockout": """
+        WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_ns(ts) // 1000000 AS ms, event_id % 5 > 0 AS failed, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ns(ts) // 1000000, event_id) AS i FROM events),
+             f AS (SELECT key, event_id, ms, failed, i, false AS locked, CAST(failed AS INTEGER) AS n, CAST(-1 AS BIGINT) AS until FROM e WHERE i = 1
+                   UNION ALL
+                   SELECT key, event_id, ms, failed, i, locked, CASE WHEN locked THEN old WHEN n >= 5 THEN 0 ELSE n END, CASE WHEN NOT locked AND n >= 5 THEN ms + 900000 ELSE until END
+                   FROM (SELECT e.key, e.event_id, e.ms, e.failed, e.i, e.ms < f.until AS locked, f.n AS old, CASE WHEN e.failed THEN f.n + 1 ELSE 0 END AS n, f.until FROM f JOIN e ON e.key = f.key AND e.i = f.i + 1))
+        SELECT key, event_id, ms, failed, locked, n AS count FROM f""",
 }

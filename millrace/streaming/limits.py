@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.folds import fold_rows
 from ..session import workers_import
 
 MOST, WINDOW_MS = 5, 3_600_000
@@ -30,13 +31,8 @@ def take(hits: list[int], ms: int, most: int, window_ms: int) -> bool:
 
 def rate_limited(events: DataFrame, most: int = MOST, window_ms: int = WINDOW_MS) -> DataFrame:
     """events (key, event_id, ms) with ``accepted``."""
-    workers_import(events.sparkSession)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, hits = group.sort_values(["ms", "event_id"]), []
-        return group.assign(accepted=[take(hits, int(ms), most, window_ms) for ms in group["ms"]])
-
-    return events.select("key", "event_id", "ms").groupBy("key").applyInPandas(fold, "key long, event_id long, ms long, accepted boolean")
+    rows = events.select("key", "event_id", "ms")
+    return fold_rows(rows, ["key"], ["ms", "event_id"], ["ms"], list, lambda hits, ms: (take(hits, int(ms), most, window_ms),), "accepted boolean")
 
 
 def rate_limited_stream(events: DataFrame, most: int = MOST, window_ms: int = WINDOW_MS) -> DataFrame:
@@ -53,20 +49,39 @@ def rate_limited_stream(events: DataFrame, most: int = MOST, window_ms: int = WI
     return events.select("key", "event_id", "ms").groupBy("key").applyInPandasWithState(step, "key long, event_id long, ms long, accepted boolean", "hits array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
+def attempt(state: dict[str, int], ms: int, failed: bool, failures: int, lock_ms: int) -> tuple[bool, int]:
+    """Whether an attempt is refused, and the failures in a row after it. ``state``: count, until."""
+    if ms < state["until"]:
+        return True, state["count"]
+    state["count"] = state["count"] + 1 if failed else 0
+    if state["count"] >= failures:
+        state.update(count=0, until=ms + lock_ms)
+    return False, state["count"]
+
+
+def _unlocked() -> dict[str, int]:
+    return {"count": 0, "until": -(1 << 62)}
+
+
 def lockouts(events: DataFrame, failures: int = FAILURES, lock_ms: int = LOCK_MS) -> DataFrame:
     """events (key, event_id, ms, failed: boolean) with ``locked`` (refused) and ``count`` (failures in a row after
-    it). As many failures in a row as ``failures`` lock the key for a while and start anew; a success clears."""
+    it). As many failures in a row as ``failures`` lock the key for a while and start anew; a success clears; an attempt
+    that is refused changes nothing."""
+    rows = events.select("key", "event_id", "ms", "failed")
+    step = lambda state, ms, failed: attempt(state, int(ms), bool(failed), failures, lock_ms)
+    return fold_rows(rows, ["key"], ["ms", "event_id"], ["ms", "failed"], _unlocked, step, "locked boolean, count int")
+
+
+def lockouts_stream(events: DataFrame, failures: int = FAILURES, lock_ms: int = LOCK_MS) -> DataFrame:
+    """The same over a stream: a key's failures in a row and the end of its lock are its state."""
     workers_import(events.sparkSession)
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group, count, until, out = group.sort_values(["ms", "event_id"]), 0, -1, []
-        for ms, failed in zip(group["ms"], group["failed"], strict=True):
-            locked = ms < until
-            if not locked:
-                count = count + 1 if failed else 0
-                if count >= failures:
-                    count, until = 0, ms + lock_ms
-            out.append((locked, count))
-        return group.assign(locked=[a for a, _ in out], count=[b for _, b in out])
-
-    return events.select("key", "event_id", "ms", "failed").groupBy("key").applyInPandas(fold, "key long, event_id long, ms long, failed boolean, locked boolean, count int")
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own = dict(zip(("count", "until"), state.get, strict=True)) if state.exists else _unlocked()
+        rows = pd.concat(list(batches)).sort_values(["ms", "event_id"])
+        found = [attempt(own, int(ms), bool(failed), failures, lock_ms) for ms, failed in zip(rows["ms"], rows["failed"], strict=True)]
+        state.update((own["count"], own["until"]))
+        yield rows.assign(locked=[a for a, _ in found], count=[b for _, b in found])[["key", "event_id", "ms", "failed", "locked", "count"]]
+
+    schema = "key long, event_id long, ms long, failed boolean, locked boolean, count int"
+    return events.select("key", "event_id", "ms", "failed").groupBy("key").applyInPandasWithState(step, schema, "count int, until long", "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 import json
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from millrace.streaming import limits, progress
 
@@ -38,4 +39,27 @@ def test_stream_of_limits(spark, tmp_path):
 def test_lockout(spark):
     events = spark.createDataFrame(pd.DataFrame({"key": 1, "event_id": range(7), "ms": [0, 1, 2, 3, 50, 103, 104], "failed": [True, True, False, True, True, True, False]}))
     got = limits.lockouts(events, failures=2, lock_ms=50).orderBy("event_id").collect()
-    assert [r.locked for r in got] == [False, False, True, True, True, False, False] or [r.locked for r in got] == [False, False, True, True, False, False, False]
+    assert [r.locked for r in got] == [False, False, True, True, True, False, False]  # locked at 1 until 51
+    assert [r["count"] for r in got] == [1, 0, 0, 0, 0, 1, 0]
+    events = spark.createDataFrame(pd.DataFrame({"key": 1, "event_id": range(4), "ms": [0, 50, 51, 99], "failed": [True, True, False, True]}))
+    assert [r.locked for r in limits.lockouts(events, 1, 50).orderBy("event_id").collect()] == [False, False, True, True]
+
+
+def test_stream_of_lockouts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = pd.DataFrame({"key": [1, 1, 1, 1, 2], "event_id": range(5), "ms": [0, 1, 2, 60, 3], "failed": [True, True, False, True, True]})
+    rows.to_json(tmp_path / "in" / "a.json", orient="records", lines=True)
+    events = spark.readStream.schema("key long, event_id long, ms long, failed boolean").json(str(tmp_path / "in"))
+    query = limits.lockouts_stream(events, 2, 50).writeStream.format("memory").queryName("locks").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    assert sorted((r.event_id, r.locked, r["count"]) for r in spark.table("locks").collect()) == [(0, False, 1), (1, False, 0), (2, True, 0), (3, False, 1), (4, False, 1)]
+
+
+def test_folds_carry_a_key_over_batches(spark):
+    n = 30_000
+    events = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.col("id") % 7).cast("long").alias("key"), F.col("id").alias("event_id"), F.col("id").alias("ms"))
+    got = limits.rate_limited(events, most=2, window_ms=1000).toPandas().sort_values("event_id")
+    hits: dict = {}
+    want = [limits.take(hits.setdefault(i % 7 if i % 3 == 0 else None, []), i, 2, 1000) for i in range(n)]
+    assert got["accepted"].tolist() == want
+    assert limits.lockouts(events.limit(0).withColumn("failed", F.lit(True))).count() == 0
