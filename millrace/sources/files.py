@@ -202,7 +202,7 @@ def first_key(json: Column, *names: str) -> Column:
 def templates(spark: SparkSession, path: str) -> DataFrame:
     """Distinct templates of JSON files, malformed ones left out."""
     schema = "source string, type string, fingerprint string, header_text string, columns array<string>"
-    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path)
+    read = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true").option("recursiveFileLookup", "true").json(path)
     return read.where("fingerprint IS NOT NULL").dropDuplicates()
 
 
