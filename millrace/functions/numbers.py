@@ -6,9 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .text import _trim, western_digits
-from .vocab import CURRENCY, SYMBOL_CODES
+from .vocab import CURRENCY, MONEY, SYMBOL_CODES
 
-_MONEY = rf"(?iU)^[\s(\[]*(?:{CURRENCY}\s*)?[-+]?\s*(\d[\d,٬\s]*(?:[.٫]\d+)?)\s*(?:{CURRENCY})?\s*%?\s*[)\]]*$"
 
 
 def normalize_number(c: Column) -> Column:
@@ -54,7 +53,7 @@ def numeric_cell(c: Column) -> Column:
     """The value of a cell that is one figure, with a currency or percent sign perhaps; else null. Signs
     and brackets do not negate."""
     body = western_digits(_trim(F.coalesce(c, F.lit(""))))
-    figure = F.regexp_extract(body, _MONEY, 1)
+    figure = F.regexp_extract(body, MONEY, 1)
     whole = F.split(figure, "[.٫]")[0]
     value = F.translate(F.regexp_replace(figure, r"(?U)[,٬\s]", ""), "٫", ".").try_cast("double")
     plain = F.when(c.rlike(r"^[0-9]{1,15}(?:\.[0-9]{1,9})?$"), c.try_cast("double"))  # most figures; the value below is the same
