@@ -111,11 +111,32 @@ def test_fuzzy_master_finds_all_that_brute_force_finds(spark):
             t[i : i + 1] = random.choice([[], ["x"], [t[i], "b"]])
             t = t or ["a"]
         values.append("".join(t))
-    got = {r.value: r.status for r in master.fuzzy(spark.createDataFrame([("f", v) for v in values], "field string, value string"), spark.createDataFrame([("f", e) for e in entries], "field string, value string")).collect()}
-    for v in values:
-        close = [e for e in entries if SequenceMatcher(None, e, v).ratio() >= 0.88]
-        want = "exact" if v in entries else "some" if close else "none"
-        assert want == ("some" if got[v] in ("matched", "ambiguous") else got[v]), (v, close)
+    found = master.fuzzy(spark.createDataFrame([("f", v) for v in values], "field string, value string"), spark.createDataFrame([("f", e) for e in entries], "field string, value string"))
+    assert {r.value: (r.status, r.match, r.ratio, r.runner_up) for r in found.collect()} == {v: plain_match(v, entries) for v in values}
+
+
+def plain_match(value, entries):
+    """Status, match, ratio and runner-up of a value against all entries."""
+    if value in entries:
+        return "exact", value, 1.0, None
+    close = sorted(((SequenceMatcher(None, e, value).ratio(), e) for e in entries), reverse=True)
+    close = [e for r, e in close if r >= 0.88][:2]
+    if not close:
+        return "none", None, None, None
+    ratios = [SequenceMatcher(None, value.casefold(), e.casefold()).ratio() for e in close]
+    ambiguous = len(close) > 1 and ratios[0] - ratios[1] < master.FUZZY_MARGIN
+    return "ambiguous" if ambiguous else "matched", close[0], ratios[0], close[1] if len(close) > 1 else None
+
+
+def test_fuzzy_master_query_against_brute_force(spark):
+    from millrace.plans import invoices
+
+    sf = "/root/testdata/sf0.001"
+    lists = {"part": [r[0] for r in spark.read.parquet(f"{sf}/part.parquet").select("p_name").distinct().collect()], "supplier": [r[0] for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_name").distinct().collect()]}
+    got = invoices.fuzzy_master(spark, sf).collect()
+    assert got
+    for r in got:
+        assert (r.status, r.match, r.ratio, r.runner_up) == plain_match(r.value, lists[r.field]), r
 
 
 def test_grounding(spark):
@@ -125,6 +146,20 @@ def test_grounding(spark):
     assert got == {(1, 1234.5): True, (1, 7.0): False, (2, 5.0): None, (1, 12.34): True}
 
 
+def test_grounding_against_brute_force(spark):
+    import random
+
+    random.seed(9)
+    figure = lambda: round(random.choice([random.random() * 10, random.random() * 1e4, random.randrange(10**11) / 100, 0.0]), 2)
+    evidence = [(g, figure()) for g in (1, 2) for _ in range(60)]
+    numbers = [(g, v) for g, v in evidence[:20]] + [(g, figure()) for g in (1, 2, 3) for _ in range(60)]
+    numbers += [(g, float(f"{v:.2f}"[1:])) for g, v in evidence if v >= 100]
+    got = {(r.page, r.value): r.grounded for r in master.ground_numbers(spark.createDataFrame(numbers, "page int, value double"), spark.createDataFrame(evidence, "page int, seen double"), "page").collect()}
+    run = lambda v: f"{v:.2f}".replace(".", "").lstrip("0")
+    want = {(g, v): None if g == 3 else any(run(v) in run(e) for h, e in evidence if h == g) for g, v in numbers}
+    assert got == want and {True, False, None} <= set(got.values())
+
+
 def test_html_spans():
     got = html.grid("<table><tr><th>A<th colspan=2>B<tr><td rowspan='2'>x<td>1<td>2<tr><td>3<td>4<tr><td>&nbsp;</table>")
     assert [[c[0] for c in r] for r in got] == [["A", "B", ""], ["x", "1", "2"], ["x", "3", "4"]]
@@ -148,6 +183,72 @@ def test_lines_and_overlaps(spark):
     assert {r.text: r.alternatives for r in geometry.suppress(words, ["page"]).collect()} == {"a": ["d"], "b": [], "c": []}
 
 
+def boxed_words(n, page, seed):
+    import random
+
+    random.seed(seed)
+    rows = []
+    for i in range(n):
+        x, y, h = random.random() * 400, random.random() * n, random.choice([4.0, 8.0, 11.5, 30.0, 400.0 if i % 97 == 0 else 9.0])
+        rows.append((page, i, f"w{i}", round(random.random() * 100, 3), x, x + random.random() * 60, y, y + h))
+    return rows
+
+
+WORD = "page int, word_idx int, text string, conf double, x0 double, x1 double, y0 double, y1 double"
+
+
+def test_long_pages_against_plain_loops(spark):
+    """Two pages that span many Arrow batches, and one word alone."""
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        rows = boxed_words(500, 1, 1) + boxed_words(300, 2, 2) + boxed_words(1, 3, 3)
+        words = spark.createDataFrame(rows, WORD)
+        lines = {(r.page, r.word_idx): r.line for r in geometry.words_to_lines(words, ["page"]).collect()}
+        stay = {(r.page, r.word_idx): list(r.alternatives) for r in geometry.suppress(words, ["page"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    for page in (1, 2, 3):
+        own = [r for r in rows if r[0] == page]
+        lasts = []
+        for r in sorted(own, key=lambda r: ((r[6] + r[7]) / 2, r[1])):
+            mid, height = (r[6] + r[7]) / 2, r[7] - r[6]
+            at = next((i for i in range(len(lasts) - 1, -1, -1) if abs(mid - lasts[i][0]) <= min(height, lasts[i][1]) / 2), len(lasts))
+            lasts[at : at + 1] = [(mid, height)]
+            assert lines[page, r[1]] == at
+        kept = []
+        for r in sorted(own, key=lambda r: (-r[3], r[1])):
+            area = lambda b: max((b[5] - b[4]) * (b[7] - b[6]), 1e-9)
+            for k, texts in kept:
+                shared = max(0, min(r[5], k[5]) - max(r[4], k[4])) * max(0, min(r[7], k[7]) - max(r[6], k[6]))
+                if shared / min(area(r), area(k)) > 0.55:
+                    texts.append(r[2])
+                    break
+            else:
+                kept.append((r, []))
+        assert {w: t for (p, w), t in stay.items() if p == page} == {k[1]: t for k, t in kept}
+
+
+def test_words_meet_cells_columns_and_values_of_their_bands(spark):
+    rows = boxed_words(200, 1, 4) + boxed_words(40, 2, 5)
+    boxes = [(p, i, x0 - 20, x1 + 20, y0 - 10, y1 + 10) for p, i, _, _, x0, x1, y0, y1 in boxed_words(60, 1, 6)]
+    words = spark.createDataFrame(rows, WORD)
+    cells = spark.createDataFrame(boxes, "page int, cell_idx int, x0 double, x1 double, y0 double, y1 double")
+    got = {(r.page, r.word_idx): r.cell_idx for r in geometry.words_to_cells(words, cells, ["page"]).collect()}
+    columns = [(1, 0, 300.0), (1, 1, 100.0), (1, 2, 100.0), (1, 3, 200.0)]
+    near = {(r.page, r.word_idx): r.column_idx for r in geometry.nearest_column(words, spark.createDataFrame(columns, "page int, column_idx int, x double"), ["page"]).collect()}
+    labels = words.where("word_idx % 10 = 0").select("page", F.col("word_idx").alias("label_idx"), "x0", "y1")
+    below = {(r.page, r.label_idx): r.value for r in geometry.value_below(labels, words, ["page"]).collect()}
+    for p, i, _, _, x0, x1, y0, y1 in rows:
+        x, y = (x0 + x1) / 2, (y0 + y1) / 2
+        fit = [(abs(x - (b[2] + b[3]) / 2) + abs(y - (b[4] + b[5]) / 2), b[1]) for b in boxes if b[0] == p and b[2] - 3 <= x <= b[3] + 3 and b[4] - 3 <= y <= b[5] + 3]
+        assert got[p, i] == (min(fit)[1] if fit else None)
+        assert near[p, i] == min(((abs(x - c[2]), c[1]) for c in columns if c[0] == p), default=(0, None))[1]
+        if i % 10 == 0:
+            under = [(abs(r[4] - x0) + 0.35 * (r[6] - y1), r[1], r[2]) for r in rows if r[0] == p and 0 <= r[6] - y1 <= 78]
+            assert below[p, i] == (min(under)[2] if under else None)
+
+
 def test_pages_merge(spark):
     pages = spark.createDataFrame([("s", 1, "A", ["x"], 2), ("s", 2, None, ["x"], 1), ("s", 3, None, [], 0), ("s", 4, "B", ["x"], 1), ("s", 5, "B", ["y"], 1), ("s", 6, None, ["z"], 1)], "source string, page int, order_id string, columns array<string>, n_items int")
     assert [r.doc_no for r in documents.merge_pages(pages).orderBy("page").collect()] == [0, 0, 0, 1, 1, 2]
