@@ -14,7 +14,7 @@ from ..session import workers_import
 from .folds import fold_rows
 
 
-def cluster_1d(rows: DataFrame, by: list[str], value: str, gap: float, out: str = "cluster") -> DataFrame:
+def cluster_1d(rows: DataFrame, by: list[str], value: str, gap: float | Column, out: str = "cluster") -> DataFrame:
     """``rows`` with the number (from 0) of their group along ``value``: a new one begins where the value is more
     than ``gap`` after the one before."""
     w = Window.partitionBy(*by).orderBy(value)

@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 from ..functions.numbers import numeric_cell
 from ..functions.text import is_noise
 from ..session import materialise
-from .geometry import column_edges, fold_pages, nearest_column, split_cells, words_to_lines
+from .folds import fold_rows
+from .geometry import cluster_1d, column_edges, fold_pages, nearest_column, split_cells, words_to_lines
+
+# fixed values of tables without rules: least width and height of a word, share of a height within which words are of one
+# line, gap between columns in median widths and at least, lines in which headings are looked for
+LEAST_WIDTH, LEAST_HEIGHT, LINE_SHARE, GAP_WIDTHS, LEAST_GAP, HEAD_LINES = 8, 10, 0.55, 1.35, 18, 5
 
 
 def centroid_lines(words: DataFrame, by: list[str], share: float = 0.55) -> DataFrame:
@@ -156,6 +161,46 @@ def clear_rules(rules: DataFrame, blocks: DataFrame, words: DataFrame, by: list[
     return inside.select(*rules.columns).distinct().join(w, same, "left_anti")
 
 
+def aligned_table(words: DataFrame, by: list[str]) -> DataFrame:
+    """words (by, word_idx, text, x0, x1, y0, y1) of a table without rules -> by, line, column_idx, text of its filled cells.
+
+    A word with bars, slashes or equals signs is cut there. A word joins the first line whose first word's middle is within
+    ``LINE_SHARE`` of the greater height. Middles along the page make groups: these are the columns, unless the fullest of the
+    first ``HEAD_LINES`` lines (the first of equal ones) has nearly as many words as there are groups, which are then the
+    columns. A page with a single group has a single column.
+    """
+    size = lambda a, b, least: F.greatest(F.floor(F.coalesce(F.col(b) - F.col(a), F.lit(0.0))), F.lit(least))
+    pieces = F.filter(F.split("text", "[|/=]+"), lambda t: F.trim(t) != "")
+    cut = words.select(*by, "word_idx", size("x0", "x1", LEAST_WIDTH).alias("_w"), F.floor("x0").alias("_x"), F.floor("y0").alias("_y"), size("y0", "y1", LEAST_HEIGHT).alias("_h"), pieces.alias("_parts"), F.trim("text").alias("_t")).where("_t <> ''")
+    several = F.size("_parts") > 1
+    cut = cut.select(*by, "word_idx", "_w", "_x", "_y", "_h", several.alias("_many"), F.size("_parts").alias("_n"), F.posexplode(F.when(several, F.col("_parts")).otherwise(F.array("_t"))).alias("_i", "text"))
+    step = F.col("_w") / F.col("_n")
+    left = F.when(F.col("_many"), F.floor(F.col("_x") + F.col("_i") * step)).otherwise(F.col("_x"))
+    width = F.when(F.col("_many"), F.greatest(F.floor(step), F.lit(LEAST_WIDTH))).otherwise(F.col("_w"))
+    tokens = cut.select(*by, "word_idx", "_i", F.trim("text").alias("text"), left.alias("_x"), width.alias("_w"), "_y", "_h").withColumn("_m", F.col("_x") + F.col("_w") / 2)
+
+    def line_of(lines: list, y: float, height: float) -> tuple[int]:
+        middle = y + height / 2
+        at = next((i for i, (m, h) in enumerate(lines) if abs(middle - m) < max(height, h) * LINE_SHARE), len(lines))
+        if at == len(lines):
+            lines.append((middle, height))
+        return (at,)
+
+    tokens = materialise(fold_rows(tokens, by, ["_y", "_x", "word_idx", "_i"], ["_y", "_h"], list, line_of, "line int"), "tokens")
+    gaps = tokens.groupBy(*by).agg(F.greatest(F.floor(F.median("_w") * GAP_WIDTHS), F.lit(LEAST_GAP)).alias("_gap"))
+    middles = tokens.join(gaps, by).select(*by, "_gap", F.floor("_m").alias("_f"))
+    groups = cluster_1d(middles, by, "_f", F.col("_gap"), "_g").groupBy(*by, "_g").agg(F.avg("_f").alias("x"))
+    counts = groups.groupBy(*by).agg(F.count(F.lit(1)).alias("_groups"))
+    fullest = tokens.where(F.col("line") < HEAD_LINES).groupBy(*by, "line").agg(F.count(F.lit(1)).alias("_k")).groupBy(*by).agg(F.max_by(F.struct("line", "_k"), F.struct("_k", -F.col("line"))).alias("_head"))
+    pages = counts.join(fullest, by, "left").withColumn("_by_head", (F.col("_groups") > 1) & (F.col("_head._k") >= F.greatest(F.lit(3), F.col("_groups") - 1)))
+    heads = tokens.join(pages.where("_by_head"), by).where(F.col("line") == F.col("_head.line")).select(*by, F.col("_m").alias("x"))
+    centres = heads.unionByName(groups.join(pages.where("_by_head IS NOT TRUE"), by).select(*by, F.when(F.col("_groups") > 1, F.col("x")).otherwise(F.lit(0.0)).alias("x")))
+    columns = centres.withColumn("column_idx", (F.row_number().over(Window.partitionBy(*by).orderBy("x")) - 1).cast("int"))
+    placed = nearest_column(tokens.withColumn("x0", F.col("_m")).withColumn("x1", F.col("_m")), columns, by)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_x", "word_idx", "_i", "text"))), lambda w: w["text"]), " ")
+    return placed.groupBy(*by, "line", "column_idx").agg(joined.alias("text"))
+
+
 def tables_of_words(words: DataFrame, by: list[str], gap: float = 1.5) -> tuple[DataFrame, DataFrame]:
     """words (by, word_idx, text, conf, x0, x1, y0, y1) -> cells (by, block, line, column_idx, text, conf) and regions (by,
     block, kind, n_lines, n_columns, header_line, y0, y1).

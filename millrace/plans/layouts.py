@@ -133,6 +133,20 @@ def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells.select("l_orderkey", "block", "line", "column_idx", "text", "conf")
 
 
+def aligned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' pages without rules: part, supplier and amount below their headings; part and supplier are read as one word
+    with a bar on every third line."""
+    li = _lines(spark, sf_dir)
+    word = lambda k, x, width, t: F.struct(F.lit(k).alias("k"), F.lit(float(x)).alias("x0"), F.lit(float(x + width)).alias("x1"), t.cast("string").alias("text"))
+    apart = F.array(word(0, 10, 60, F.col("l_partkey")), word(1, 150, 60, F.col("l_suppkey")), word(2, 300, 60, F.format_string("%.2f", "l_extendedprice")))
+    barred = F.array(word(0, 10, 260, F.concat_ws("|", F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"))), word(2, 300, 60, F.format_string("%.2f", "l_extendedprice")))
+    head = F.array(word(0, 10, 60, F.lit("Part")), word(1, 150, 60, F.lit("Supplier")), word(2, 300, 60, F.lit("Amount")))
+    heads = li.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("n"), F.explode(head).alias("w"))
+    body = li.select("l_orderkey", "n", F.explode(F.when(F.col("n") % 3 == 0, barred).otherwise(apart)).alias("w"))
+    words = body.unionByName(heads).select("l_orderkey", (F.col("n") * 3 + F.col("w.k")).alias("word_idx"), "w.text", "w.x0", "w.x1", (F.col("n") * 30.0).alias("y0"), (F.col("n") * 30.0 + 12).alias("y1"))
+    return layout.aligned_table(words, ["l_orderkey"])
+
+
 def region_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     region = lambda i, kind, t, y: F.struct(F.lit(i).alias("region"), F.lit(kind).alias("kind"), t.alias("text"), F.lit(float(y)).alias("y0"), F.lit(float(y + 10)).alias("y1"), F.lit(10.0).alias("line_height"))
@@ -203,7 +217,7 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "currency_vote": currency_vote, "decimal_places": decimal_places, "isolated_glyphs": isolated_glyphs, "semantic_headings": semantic_headings, "number_columns": number_columns,
     "invoice_fields": invoice_fields, "canonical_fields": canonical_fields, "item_values": item_values, "items_reliable": items_reliable, "validation_gates": validation_gates,
-    "grid_kinds": grid_kinds, "form_fields": form_fields, "label_values": label_values, "line_blocks": line_blocks, "layout_tables": layout_tables, "region_titles": region_titles, "ruled_cells": ruled_cells,
+    "grid_kinds": grid_kinds, "form_fields": form_fields, "label_values": label_values, "line_blocks": line_blocks, "layout_tables": layout_tables, "aligned_tables": aligned_tables, "region_titles": region_titles, "ruled_cells": ruled_cells,
     "centroid_lines": centroid_lines, "serial_chains": serial_chains, "reading_alternatives": reading_alternatives, "cell_confidence": cell_confidence, "header_columns": header_columns,
     "account_changes": account_changes, "lead_states": lead_states, "model_scores": model_scores,
 }
@@ -248,6 +262,14 @@ ORACLES = {
         WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_suppkey, l_linenumber FROM lineitem)
         SELECT l_orderkey, 0 AS block, n - 1 AS line, i AS column_idx, CASE i WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE CAST(l_linenumber AS VARCHAR) END AS text, CAST(90.0 AS DOUBLE) AS conf
         FROM l, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
+    "aligned_tables": f"""
+        WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey, l_suppkey, l_extendedprice FROM lineitem), i AS (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)
+        SELECT l_orderkey, n AS line, i AS column_idx, CASE i WHEN 0 THEN CAST(l_partkey AS VARCHAR) WHEN 1 THEN CAST(l_suppkey AS VARCHAR) ELSE printf('%.2f', l_extendedprice) END AS text FROM l, i
+        UNION ALL SELECT l_orderkey, 0, i, (['Part', 'Supplier', 'Amount'])[i + 1] FROM (SELECT DISTINCT l_orderkey FROM lineitem), i""",
+    "serial_chains": f"""
+        WITH {_L}, g AS (SELECT l_orderkey, n - row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS island FROM l WHERE l_partkey % 4 > 0),
+             r AS (SELECT l_orderkey, count(*) AS n FROM g GROUP BY l_orderkey, island UNION ALL SELECT DISTINCT l_orderkey, 1 FROM l)
+        SELECT l_orderkey, max(n) AS n FROM r GROUP BY 1""",
     "region_titles": """
         SELECT o_orderkey AS page, i AS region, CASE WHEN i = 2 THEN 'Items of ' || CAST(o_orderkey AS VARCHAR) END AS title FROM orders, (SELECT CAST(unnest([0, 2, 3, 4]) AS INTEGER) AS i)""",
     "ruled_cells": "SELECT l_orderkey, 3 * (count(*) - 1) AS cells FROM lineitem GROUP BY 1 HAVING count(*) > 1",

@@ -319,6 +319,21 @@ def test_layout_pieces(spark):
     assert [r.h for r in rows.select(layout.layout_header(F.col("cells")).alias("h")).collect()] == [True, False, False]
 
 
+def test_aligned_tables(spark):
+    from millrace.operators import layout
+
+    def row(page, line, *cells):
+        return [(page, line * 10 + i, t, float(x), float(x + w), line * 30.0, line * 30.0 + 12) for i, (t, x, w) in enumerate(cells)]
+
+    rows = row(1, 0, ("Item", 10, 40), ("Qty", 150, 40), ("Amount", 300, 40)) + row(1, 1, ("desk", 8, 40), ("2=9.50", 100, 300)) + row(1, 2, ("old", 10, 20), ("lamp", 40, 20), ("4", 295, 30))
+    rows += row(2, 0, ("one", 10, 30)) + row(2, 1, ("two", 12, 30), ("|", 40, 5)) + row(3, 0, (" ", 0, 9))
+    words = spark.createDataFrame(rows, "page int, word_idx int, text string, x0 double, x1 double, y0 double, y1 double")
+    got = {(r.page, r.line, r.column_idx): r.text for r in layout.aligned_table(words, ["page"]).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, 0, 0): "Item", (1, 0, 1): "Qty", (1, 0, 2): "Amount", (1, 1, 0): "desk", (1, 1, 1): "2", (1, 1, 2): "9.50", (1, 2, 0): "old lamp", (1, 2, 2): "4"}
+    assert {k: v for k, v in got.items() if k[0] != 1} == {(2, 0, 0): "one", (2, 1, 0): "two |"}
+    assert layout.aligned_table(words.limit(0), ["page"]).isEmpty()
+
+
 def test_accounts(spark):
     from millrace.operators import accounts
 
