@@ -71,14 +71,30 @@ def held_out(doc_id: Column, folds: int, fold: int) -> Column:
 
 
 def bounded_sample(rows: DataFrame, most: int, group: str, draw: str) -> DataFrame:
-    """Of each group the rows with the smallest ``draw`` (a hash), ``most`` at most; ties are cut where the bound is
-    reached. One scan of the two columns finds each group's last draw, a second one fetches its rows. ``rows``
-    are read twice. What is broadcast has one row for each group: callers' groups are few, or make up their model."""
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(draw))
-    last = rows.select(group, draw).withColumn("_turn", turn).where(F.col("_turn") <= most).groupBy(group).agg(F.max(draw).alias("_last"))
-    last = last.withColumnRenamed(group, "_group")
-    near = rows.join(F.broadcast(last), F.col(group).eqNullSafe(F.col("_group"))).where(F.col(draw) <= F.col("_last")).drop("_group", "_last")
-    return near.withColumn("_turn", turn).where(F.col("_turn") <= most).drop("_turn")
+    """Of each group the rows with the smallest ``draw`` (a hash of what tells rows apart), ``most`` at most. Rows of
+    equal draws count as copies of one row; ties are cut where the bound is reached.
+
+    Draws spread evenly, so those below about ``3 * most`` in the group's number of draws hold its smallest ones: only these
+    are counted and ranked, whatever the number of partitions, and copies are counted before they move. Where a group
+    comes short its bound is raised. ``rows`` are read three times. What is broadcast has at most ``most`` narrow rows for each
+    group: callers' groups are few, or make up their model."""
+    spread = materialise(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_n"), F.approx_count_distinct(draw).alias("_draws")).withColumnRenamed(group, "_group"), "spread")
+    share = 3.0
+    while True:
+        reach = (share * most + 200) / F.col("_draws")
+        bound = F.when(reach >= 1, F.lit((1 << 63) - 1)).otherwise((F.lit(-(2.0**63)) + reach * 2.0**64).cast("long"))
+        near = rows.select(group, draw).join(F.broadcast(spread.select("_group", bound.alias("_bound"))), F.col(group).eqNullSafe(F.col("_group"))).where(F.col(draw) <= F.col("_bound"))
+        found = materialise(near.groupBy("_group", draw).agg(F.count(F.lit(1)).alias("_many")), "draws")
+        got = found.groupBy(F.col("_group").alias("_g")).agg(F.sum("_many").alias("_got"))
+        short = spread.join(F.broadcast(got), F.col("_group").eqNullSafe(F.col("_g")), "left").where(F.coalesce("_got", F.lit(0)) < F.least("_n", F.lit(most)))
+        if short.isEmpty():
+            break
+        share *= 8
+    before = F.coalesce(F.sum("_many").over(Window.partitionBy("_group").orderBy(draw).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = found.withColumn("_before", before).where(F.col("_before") < most).select("_group", F.col(draw).alias("_draw_"), F.least("_many", F.lit(most) - F.col("_before")).alias("_copies"))
+    met = rows.join(F.broadcast(taken), F.col(group).eqNullSafe(F.col("_group")) & (F.col(draw) == F.col("_draw_")))
+    one = met.groupBy("_group", "_draw_").agg(F.first(F.struct(*rows.columns)).alias("_row"), F.first("_copies").alias("_copies"))
+    return one.select("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
 
 
 def quantile_bounds(df: DataFrame, key: str, parts: int) -> list:

@@ -134,7 +134,8 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     runs = sorted(plan(counts, capacity))
     salts = max(16, -(-sum(counts.values()) // ROWS_PER_SALT))
     by = [F.col("length"), F.col("_salt")]
-    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *["ids_crc32"] * ("ids_crc32" in items.columns)), F.lit(salts)).cast("int"))
+    told = [c for c in ("ids_crc32", "_row") if c in items.columns]  # rows of one id are dealt apart
+    salted = items.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", *told), F.lit(salts)).cast("int"))
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sums = salted.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).select("length", "_salt", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("doc_id", "piece")) - 1)
@@ -151,7 +152,7 @@ def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": first[run] + turn // each[run], "offset": offset[run] + turn % each[run] * lengths})
 
     placed = ranked.withColumn("_at", where("length", "_rank"))
-    return placed.select(*[c for c in items.columns], F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
+    return placed.select(*[c for c in items.columns if c != "_row"], F.col("_at.sequence_id").alias("sequence_id"), F.col("_at.offset").alias("offset"))
 
 
 def _last_not_after(size: np.ndarray, start: np.ndarray, lengths: np.ndarray, ranks: np.ndarray, big: int) -> np.ndarray:
@@ -173,5 +174,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, with_ids: bo
     The pieces are written to the shared folder once: the histogram and the placement read them.
     """
     made = pieces(docs, tokenizer, capacity, with_ids)
-    table = materialise(made if with_ids else made.drop("ids"), "pieces")
+    table = materialise((made if with_ids else made.drop("ids")).withColumn("_row", F.monotonically_increasing_id()), "pieces")
     return place(table, capacity)

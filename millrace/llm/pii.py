@@ -8,6 +8,10 @@ values of a format stay different, and the holder of the key can invert it. A da
 layouts, an e-mail address in all spellings of its case. Digits that fail their validation are left as
 they are, but for +1 telephone numbers outside the numbering plan: these are permuted among themselves.
 
+A named secret keeps the classes of its characters: digits stay digits, hexadecimal ones stay that. A card, IBAN, date, number or
+address inside it gets the pseudonym it has everywhere, and the rest is permuted among values that hold none (seen by segments, so a
+secret of dates, signs and digits in a row may, once in some hundred such values, not be inverted).
+
 A value of more than ``SEGMENT`` characters is permuted in segments, each under the segments before it and,
 in a second sweep, those after it, so time grows with its length and it is still a permutation.
 
@@ -62,6 +66,8 @@ _VALUES = {ord(c): str(int(c, 36)) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _NOT_DIGIT = {c: None for c in range(128) if not 48 <= c <= 57}
 _RUN = re.compile(r"\+?\(?[A-Z]*[0-9]+")
 _DIGIT = re.compile(r"[0-9]")
+#: Digits and letters of hexadecimal numbers, both of them.
+_HEXADECIMAL = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]+", re.DOTALL)
 _LOWER, _UPPER, _DIGITS, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
 
@@ -88,7 +94,16 @@ def permute(value: int, size: int, tweak: str, key: bytes, fits: Callable[[int],
             return value
 
 
-def _respell_segment(text: str, tweak: str, key: bytes, hexadecimal: bool, inverse: bool) -> str:
+def _respell_segment(text: str, tweak: str, key: bytes, hexadecimal: bool, inverse: bool, class_of: Callable[[str], object] | None = None) -> str:
+    """One segment; with ``class_of`` permuted among the texts of its class."""
+    own, new = class_of and class_of(text), text
+    while True:
+        new = _respell_once(new, tweak, key, hexadecimal, inverse)
+        if not class_of or class_of(new) == own:
+            return new
+
+
+def _respell_once(text: str, tweak: str, key: bytes, hexadecimal: bool, inverse: bool) -> str:
     sets = [_HEX if hexadecimal else next((a for a in (_LOWER, _UPPER, _DIGITS) if c in a), "") for c in text]
     size, value = 1, 0
     for c, a in zip(text, sets, strict=True):
@@ -106,22 +121,23 @@ def _respell_segment(text: str, tweak: str, key: bytes, hexadecimal: bool, inver
     return "".join(reversed(out))
 
 
-def _sweep(segments: list[str], back: bool, tweak: str, key: bytes, hexadecimal: bool, inverse: bool) -> list[str]:
+def _sweep(segments: list[str], back: bool, tweak: str, key: bytes, hexadecimal: bool, inverse: bool, class_of: Callable[[str], object] | None = None) -> list[str]:
     """Each segment permuted under the given texts of those that come before it in this sweep."""
     out, given = list(segments), hashlib.blake2b(b"back" if back else b"forth", digest_size=16)
     for i in reversed(range(len(segments))) if back else range(len(segments)):
-        out[i] = _respell_segment(segments[i], f"{tweak}|{given.hexdigest()}", key, hexadecimal, inverse)
+        out[i] = _respell_segment(segments[i], f"{tweak}|{given.hexdigest()}", key, hexadecimal, inverse, class_of)
         given.update((out[i] if inverse else segments[i]).encode() + b"|")
     return out
 
 
-def respell(text: str, tweak: str, key: bytes, hexadecimal: bool = False, inverse: bool = False) -> str:
-    """Letters and digits permuted together, each within its own alphabet; the rest stays."""
+def respell(text: str, tweak: str, key: bytes, hexadecimal: bool = False, inverse: bool = False, class_of: Callable[[str], object] | None = None) -> str:
+    """Letters and digits permuted together, each within its own alphabet; the rest stays. ``class_of`` tells texts of a
+    segment apart that must not become each other."""
     if len(text) <= SEGMENT:
-        return _respell_segment(text, tweak, key, hexadecimal, inverse)
+        return _respell_segment(text, tweak, key, hexadecimal, inverse, class_of)
     parts = [text[i : i + SEGMENT] for i in range(0, len(text), SEGMENT)]
     for back in (True, False) if inverse else (False, True):
-        parts = _sweep(parts, back, tweak, key, hexadecimal, inverse)
+        parts = _sweep(parts, back, tweak, key, hexadecimal, inverse, class_of)
     return "".join(parts)
 
 
@@ -141,10 +157,10 @@ def iban_rest(iban: str) -> int:
     return int((iban[4:] + iban[:4]).translate(_VALUES)) % 97
 
 
-def _email(s: str, key: bytes) -> str:
+def _email(s: str, key: bytes, inverse: bool = False) -> str:
     """The address without its case is permuted; upper-case letters stay upper-case in their places."""
     host, _, top = s.rpartition(".")
-    new = respell(host.lower(), "email", key)
+    new = respell(host.lower(), "email", key, inverse=inverse)
     return f"{''.join(n.upper() if c.isupper() else n for c, n in zip(host, new, strict=True))}.{top}"
 
 
@@ -164,87 +180,89 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", end)
 
 
-def _ip(s: str, key: bytes) -> str | None:
+def _ip(s: str, key: bytes, inverse: bool = False) -> str | None:
     parts = s.split(".")
     if any(len(p) > 1 and p[0] == "0" or int(p) > 255 for p in parts):
         return None
     value = 0
     for p in parts:
         value = value * 256 + int(p)
-    value = permute(value, 1 << 32, "ip", key)
+    value = permute(value, 1 << 32, "ip", key, None, inverse)
     return ".".join(str(value >> shift & 255) for shift in (24, 16, 8, 0))
 
 
-def _card(s: str, key: bytes) -> str | None:
+def _card(s: str, key: bytes, inverse: bool = False) -> str | None:
     d = s.translate(_NOT_DIGIT)
     if len(d) < 13 or luhn(d) % 10 or d.count(d[0]) == len(d):
         return None
     n = len(d) - 2
-    body = d[0] + str(permute(int(d[1:-1]), 10**n, f"card{d[0]}", key)).zfill(n)
+    body = d[0] + str(permute(int(d[1:-1]), 10**n, f"card{d[0]}", key, None, inverse)).zfill(n)
     return _relay(s, body + str(-luhn(body + "0") % 10))
 
 
-def _iban(s: str, key: bytes) -> str | None:
+def _iban(s: str, key: bytes, inverse: bool = False) -> str | None:
     plain = s.replace(" ", "")
     if not 15 <= len(plain) <= 34 or iban_rest(plain) != 1:
         return None
-    body = respell(plain[4:], "iban" + plain[:2], key)
+    body = respell(plain[4:], "iban" + plain[:2], key, inverse=inverse)
     new = iter(f"{plain[:2]}{98 - iban_rest(plain[:2] + '00' + body):02d}{body}")
     return "".join(c if c == " " else next(new) for c in s)
 
 
-def _phone(s: str, key: bytes) -> str | None:
+def _phone(s: str, key: bytes, inverse: bool = False) -> str | None:
     d = s.translate(_NOT_DIGIT)
     lead, own = (d[:-10], d[-10:]) if len(d) == 10 or len(d) == 11 and d[0] == "1" else ("", "")
     if own and own[0] in "23456789" and own[3] in "23456789":
         area, exchange, line = int(own[:3]) - 200, int(own[3:6]) - 200, int(own[6:])
-        value = permute((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, "nanp", key)
+        value = permute((area * 800 + exchange) * 10_000 + line, 800 * 800 * 10_000, "nanp", key, None, inverse)
         rest, line = divmod(value, 10_000)
         return _relay(s, f"{lead}{rest // 800 + 200}{rest % 800 + 200}{line:04d}")
     if lead and s.startswith("+"):  # outside the numbering plan: permuted among those that are
         outside = lambda v: not (v // 10**9 > 1 and v // 10**6 % 10 > 1)
-        return _relay(s, f"{lead}{permute(int(own), 10**10, 'outside nanp', key, outside):010d}")
+        return _relay(s, f"{lead}{permute(int(own), 10**10, 'outside nanp', key, outside, inverse):010d}")
     if not s.startswith("+") or not 9 <= len(d) <= 15 or d[0] in "01":
         return None
     n = len(d) - 2
-    return _relay(s, d[:2] + str(permute(int(d[2:]), 10**n, f"phone{d[:2]}", key)).zfill(n))
+    # ten digits that the numbering plan has no place for stay such, so that no two numbers meet
+    unlike = (lambda v: not (d[0] in "23456789" and v // 10**6 % 10 > 1)) if n == 8 else None
+    return _relay(s, d[:2] + str(permute(int(d[2:]), 10**n, f"phone{d[:2]}", key, unlike, inverse)).zfill(n))
 
 
-def _ssn(s: str, key: bytes) -> str | None:
+def _ssn(s: str, key: bytes, inverse: bool = False) -> str | None:
     def fits(value: int) -> bool:
         area, group, serial = value // 1_000_000, value // 10_000 % 100, value % 10_000
         return 0 < area < 900 and area != 666 and group > 0 and serial > 0
 
     value = int(s.replace("-", ""))
-    return _relay(s, f"{permute(value, 900_000_000, 'ssn', key, fits):09d}") if value < 900_000_000 and fits(value) else None
+    return _relay(s, f"{permute(value, 900_000_000, 'ssn', key, fits, inverse):09d}") if value < 900_000_000 and fits(value) else None
 
 
-def _date(year: int, month: int, day: int, key: bytes) -> date | None:
+def _date(year: int, month: int, day: int, key: bytes, inverse: bool = False) -> date | None:
     """Permuted among the days of 1900 to 2099, or among those of the other years from 1000 on."""
     if not (1000 <= year and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]):
         return None
     lo, hi = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal()
     own = date(year, month, day).toordinal()
     if lo <= own < hi:
-        return date.fromordinal(lo + permute(own - lo, hi - lo, "date", key))
+        return date.fromordinal(lo + permute(own - lo, hi - lo, "date", key, None, inverse))
     start, end = date(1000, 1, 1).toordinal(), date.max.toordinal() + 1
-    return date.fromordinal(start + permute(own - start, end - start, "far date", key, lambda v: not lo <= start + v < hi))
+    return date.fromordinal(start + permute(own - start, end - start, "far date", key, lambda v: not lo <= start + v < hi, inverse))
 
 
-def _iso(s: str, key: bytes) -> str | None:
-    d = _date(int(s[:4]), int(s[5:7]), int(s[8:]), key)
+def _iso(s: str, key: bytes, inverse: bool = False) -> str | None:
+    d = _date(int(s[:4]), int(s[5:7]), int(s[8:]), key, inverse)
     return d and d.isoformat()
 
 
-def _day(s: str, key: bytes) -> str | None:
+def _day(s: str, key: bytes, inverse: bool = False) -> str | None:
     """Day first where that is a date, else month first. A pseudonym that would be read otherwise when written
     month first is written day first."""
     first, sep, second, year = re.match(r"(\d+)(\D)(\d+)\D(\d+)", s).groups()
     width = 1 if any(len(x) == 1 for x in (first, second)) else 2
     write = lambda d, a, b: f"{a:0{width}d}{sep}{b:0{width}d}{sep}{d.year}"
-    if d := _date(int(year), int(second), int(first), key):
+    if d := _date(int(year), int(second), int(first), key, inverse):
         return write(d, d.day, d.month)
-    if d := _date(int(year), int(first), int(second), key):
+    if d := _date(int(year), int(first), int(second), key, inverse):
         return write(d, d.month, d.day) if d.day > 12 else write(d, d.day, d.month)
     return None
 
@@ -252,29 +270,60 @@ def _day(s: str, key: bytes) -> str | None:
 _BY_KIND = {"ip": _ip, "iso": _iso, "day": _day, "ssn": _ssn, "phone": _phone, "card": _card, "iban": _iban}
 
 
-def pseudonymise(text: str | None, key: bytes = KEY) -> tuple[str | None, list[tuple[int, int, str]]]:
-    """The text with every valid find replaced, and the finds (start, end, kind) in the given text."""
+def numbers(text: str, key: bytes = KEY, inverse: bool = False) -> list[tuple[int, int, str, str]]:
+    """Valid finds that hold digits: (start, end, kind, pseudonym), first ones first."""
+    finds, at = [], 0
+    while m := _NUMERIC.search(text, at):
+        kind, found, new = m.lastgroup if m.lastgroup != "sep" else "day", m[0], None
+        while new is None and found:
+            new = _BY_KIND[kind](found, key, inverse)
+            cut = max(found.rfind(" "), found.rfind("-")) if kind == "card" else found.rfind(" ") if kind == "iban" else -1
+            if new is None:  # a card may be followed by other numbers, an IBAN by capital words
+                found = found[:cut] if cut >= 13 else ""
+        if new:
+            finds.append((m.start(), m.start() + len(found), kind, new))
+        # what fails its validation may hold a valid find that starts after its first run of digits
+        at = m.start() + len(found) if new else _RUN.match(text, m.start()).end()
+    return finds
+
+
+def _hexadecimal(text: str) -> bool:
+    return bool(_HEXADECIMAL.fullmatch(text))
+
+
+def _class_of(text: str) -> tuple[bool, bool]:
+    """Texts of a secret that must not become each other: hexadecimal or not, with a valid find or without."""
+    return _hexadecimal(text), bool(_DIGIT.search(text) and numbers(text))
+
+
+def secret(value: str, key: bytes = KEY, inverse: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+    """The pseudonym of a named secret, and the finds of other kinds in it."""
+    finds = numbers(value, key, inverse) if _DIGIT.search(value) else []
+    rest = list(value)
+    for start, end, _, _ in finds:
+        rest[start:end] = "\0" * (end - start)
+    rest = "".join(rest)
+    out = list(respell(rest, "secret", key, _hexadecimal(rest), inverse, _class_of) if rest.strip("\0") else rest)
+    for start, end, _, new in finds:
+        out[start:end] = new
+    return "".join(out), [f[:3] for f in finds]
+
+
+def pseudonymise(text: str | None, key: bytes = KEY, inverse: bool = False) -> tuple[str | None, list[tuple[int, int, str]]]:
+    """The text with every valid find replaced, and the finds (start, end, kind) in the given text. ``inverse`` gives back the
+    text of which a text of pseudonyms was made, but for the layout of dates written month first."""
     if not text:
         return text, []
     finds: list[tuple[int, int, str, str]] = []
     if "@" in text:
-        finds += [(a, b, "email", _email(text[a:b], key)) for a, b in emails(text)]
+        finds += [(a, b, "email", _email(text[a:b], key, inverse)) for a, b in emails(text)]
+    if _DIGIT.search(text):
+        finds += numbers(text, key, inverse)
     if "=" in text or ":" in text:
         for m in _SECRET.finditer(text):
-            finds.append((*m.span(1), "secret", respell(m[1], "secret", key, bool(re.fullmatch("[0-9a-f]+", m[1])))))
-    if _DIGIT.search(text):
-        at = 0
-        while m := _NUMERIC.search(text, at):
-            kind, found, new = m.lastgroup if m.lastgroup != "sep" else "day", m[0], None
-            while new is None and found:
-                new = _BY_KIND[kind](found, key)
-                cut = max(found.rfind(" "), found.rfind("-")) if kind == "card" else found.rfind(" ") if kind == "iban" else -1
-                if new is None:  # a card may be followed by other numbers, an IBAN by capital words
-                    found = found[:cut] if cut >= 13 else ""
-            if new:
-                finds.append((m.start(), m.start() + len(found), kind, new))
-            # what fails its validation may hold a valid find that starts after its first run of digits
-            at = m.start() + len(found) if new else _RUN.match(text, m.start()).end()
+            new, inside = secret(m[1], key, inverse)
+            whole = [k for a, b, k in inside if (a, b) == (0, len(m[1]))]
+            finds.append((*m.span(1), whole[0] if whole else "secret", new))
     out, last, kept = [], 0, []
     for start, end, kind, new in sorted(finds, key=lambda f: (f[0], -f[1])):
         if start >= last:

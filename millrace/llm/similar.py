@@ -15,7 +15,8 @@ pairs' comparison, never their output.
 
 Defined results: a text without words has the empty set, and links only with others of that kind;
 fewer words than a shingle make one shingle of all; a text of any length is compared whole; repeated rows are in one
-component; an empty table gives no rows; other columns are ignored.
+component; rows of one doc_id, or without one, are told apart by their texts; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, ids_as_long, ids_as_text, materialise, whole_groups
@@ -72,20 +73,20 @@ def _class_of(hashes: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, class (of equal sets), n (shingles of the set), fp (SimHash), bands, least (a byte of each MinHash value)."""
+    """doc_id, tag, class (of equal sets), n (shingles of the set), fp (SimHash), bands, least (a byte of each MinHash value)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, tag, text in zip(batch["doc_id"], batch["tag"], batch["text"], strict=True):
                 every = shingle_hashes(text, WORDS)
                 own = np.unique(every)
                 least = least_values(own)
-                out.append((doc_id, _class_of(own), len(own), majority(every), bands(least), short_values(least)))
-            yield pd.DataFrame(out, columns=["doc_id", "class", "n", "fp", "bands", "least"])
+                out.append((doc_id, tag, _class_of(own), len(own), majority(every), bands(least), short_values(least)))
+            yield pd.DataFrame(out, columns=["doc_id", "tag", "class", "n", "fp", "bands", "least"])
 
     arrow_rows(docs.sparkSession)
-    return ids_as_long(ids_as_text(docs, "text").mapInPandas(run, "doc_id string, class long, n long, fp long, bands array<long>, least binary"))
+    return ids_as_long(ids_as_text(docs, "tag", "text").mapInPandas(run, "doc_id string, tag string, class long, n long, fp long, bands array<long>, least binary"))
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -163,12 +164,19 @@ def _apart(parted: DataFrame, classes: DataFrame, sets: DataFrame, part_bytes: i
     return met.repartition(tasks, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInPandas(run, "a long, b long")
 
 
+def tag_of(text: Column) -> Column:
+    """Tells texts of one doc_id apart, and a null one from an empty one."""
+    return F.coalesce(F.md5(text), F.lit(""))
+
+
 def near_copies(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
-    """Per row of ``docs`` (doc_id, not null, and text): doc_id, component_id (the smallest doc_id that
-    links reach, the row's own included)."""
-    docs = docs.select("doc_id", "text")
+    """Per row of ``docs`` (doc_id, text): doc_id, tag (of its text), component_id (the smallest doc_id that links reach, the
+    row's own included; null if all are) and first: whether the row's id and text are those that come first in the
+    component, by doc_id (null last), then tag."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tag_of(F.col("text")).alias("tag"), "text")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), "tag")
     rows = materialise(sketches(docs), "sketches")
-    classes = rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "least")])
+    classes = rows.groupBy("class").agg(F.min(key).alias("first_id"), *[F.first(c).alias(c) for c in ("n", "fp", "bands", "least")])
     classes = materialise(classes, "classes")
     found = components(links(materialise(classes.select("fp").distinct(), "fps"))).withColumnRenamed("vertex", "fp")
     rooted = classes.join(found, "fp", "left").withColumn("bands", F.concat("bands", F.array(F.xxhash64(F.lit("fp"), F.coalesce("root", "fp")))))
@@ -178,7 +186,9 @@ def near_copies(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     shared = materialise(buckets.join(heads, "bucket"), "shared")
 
     wanted = shared.select("class", "first_id").distinct()
-    sets = _sets(docs.join(wanted.select(F.col("first_id").alias("doc_id")).distinct(), "doc_id", "left_semi"))
+    named = wanted.select("first_id.*").distinct()
+    held = F.col("doc_id").isNull().eqNullSafe(F.col("none")) & (F.coalesce("doc_id", F.lit(0).cast("long")) == F.col("id")) & (docs["tag"] == named["tag"])
+    sets = _sets(docs.join(named, held, "left_semi"))
     sets = materialise(sets.groupBy("class").agg(F.first("hashes").alias("hashes")).join(wanted, "class", "left_semi"), "sets")
 
     tried = shared.where("class <> head").select(F.col("head").alias("a"), F.col("class").alias("b")).distinct()
@@ -189,5 +199,7 @@ def near_copies(docs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     found = components(edges.union(_apart(labelled, rooted, sets, part_bytes)))
 
     named = classes.join(found.withColumnRenamed("vertex", "class"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "first_id")
-    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("class", "component_id")
-    return rows.select("doc_id", "class").join(named, "class").select("doc_id", "component_id")
+    named = named.join(named.groupBy("root").agg(F.min("first_id").alias("least_id")), "root").select("class", "least_id")
+    found = rows.select("doc_id", "tag", "class").join(named, "class")
+    own = F.when(~F.col("least_id.none"), F.col("least_id.id"))
+    return found.select("doc_id", "tag", own.alias("component_id"), (key == F.col("least_id")).alias("first"))

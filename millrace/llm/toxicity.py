@@ -31,7 +31,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, bounded_sample, held_out, ids_as_long, ids_as_text, materialise
@@ -152,14 +152,13 @@ def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit("toxic"), "doc_id", "text").alias("_draw"))
     drawn = drawn.join(marks, F.col("doc_id") == F.col("_id"), "left").where("_toxic IS NULL OR _toxic")
     drawn = materialise(drawn.select("doc_id", "_draw", F.coalesce("_toxic", F.lit(False)).alias("toxic")), "draws")
-    most = F.when(F.col("toxic"), F.lit(positives)).otherwise(F.lit(unlabelled))
     picked = bounded_sample(drawn.where("toxic"), positives, "toxic", "_draw").union(bounded_sample(drawn.where("NOT toxic"), unlabelled, "toxic", "_draw"))
-    picked = picked.distinct().withColumnsRenamed({"doc_id": "_id", "_draw": "_d"})
+    picked = picked.groupBy(F.col("doc_id").alias("_id"), F.col("_draw").alias("_d"), "toxic").agg(F.count(F.lit(1)).alias("_copies"))
     draw = F.xxhash64(F.lit("toxic"), "doc_id", "text")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("_draw", draw)
     rows = rows.join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_draw") == F.col("_d")))
-    turn = F.row_number().over(Window.partitionBy("toxic").orderBy("_draw"))  # repeated rows come back with their copies
-    rows = rows.withColumn("_turn", turn).where(F.col("_turn") <= max(positives, unlabelled)).where(F.col("_turn") <= most).select("text", F.col("toxic").cast("int").alias("toxic"))
+    rows = rows.groupBy("_draw", "_id", "toxic").agg(F.first("text").alias("text"), F.first("_copies").alias("_copies"))  # copies are counted before they move
+    rows = rows.select("text", F.col("toxic").cast("int").alias("toxic"), F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("text", "toxic")
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

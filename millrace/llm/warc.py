@@ -6,8 +6,8 @@ of its own, and puts a sidecar index of offsets beside the archive. ``read`` ope
 offsets. Memory holds one record at a time.
 
 Of records with equal payloads of at least ``LEAST`` bytes the one with the largest page_id is a
-response and the others are revisits of it. Only digests and ids are shuffled to find that out; then
-pages are dealt by their ids, so that copies of one page are spread over the archives.
+response and the others are revisits of it. Only ids, urls and digests are shuffled to find that out, equal rows counted first;
+the html of responses is dealt once, that of revisits never.
 
 Files go to the shared folder under names that no other task or attempt uses; what a step returns
 names the files of the attempt that succeeded, so lost executors leave stray files at most.
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +31,7 @@ from urllib.parse import quote
 import pandas as pd
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_rows, ids_as_long, materialise, scratch
@@ -39,41 +40,60 @@ LEAST, DATE = 1000, "2000-01-01T00:00:00Z"
 #: Bytes of records after which an archive is closed, and bytes read at a time.
 ARCHIVE_BYTES, READ = 128 << 20, 1 << 20
 RAW_LEVEL, LEVEL = 1, 6
+#: Revisits of one row that are told apart at once.
+BLOCK = 4096
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _GZIP = 31  # zlib's window bits for gzip framing
 
 
 def roles(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """pages (page_id, url, html) with digest (hexadecimal SHA-1), record_type and refers_to."""
+    """pages (page_id, url, html) with turn, n_bytes, digest (hexadecimal SHA-1), record_type, refers_to and refers_url (page and
+    url of the response, which has turn 1). Equal rows are counted, so roles are told from ids, urls and digests
+    alone; only the html of responses is dealt."""
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
-    rows = rows.withColumn("_page", F.coalesce("page_id", F.lit(-(1 << 63))))  # so that one deal of the pages serves the join and the window
-    keys = materialise(rows.where(F.octet_length("html") >= least).select("_page", "page_id", "digest"), "digests")
-    first = keys.groupBy("digest").agg(F.max("page_id").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("digest", "_first")
-    copies = keys.select("_page", "digest").distinct().join(first, "digest").withColumn("_copy", F.lit(True))
-    turn = F.row_number().over(Window.partitionBy("_page", "digest").orderBy("url"))
-    both = rows.join(copies.hint("merge"), ["_page", "digest"], "left").withColumn("_turn", turn)
-    again = F.coalesce("_copy", F.lit(False)) & ~(F.col("page_id").eqNullSafe(F.col("_first")) & (F.col("_turn") == 1))
-    return both.select(
-        "page_id", "url", F.col("_turn").alias("turn"), F.octet_length("html").cast("long").alias("n_bytes"), F.when(~again, F.col("html")).alias("html"), "digest",
-        F.when(again, F.lit("revisit")).otherwise(F.lit("response")).alias("record_type"), F.when(again, F.col("_first")).alias("refers_to"),
-    )
-
-
-def _record_id(page_id: int | None, turn: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, f'page {page_id} {turn}')}>"
-
-
-def record(page_id: int | None, url: str | None, html: str | None, digest: str, n_bytes: int, turn: int, revisit: bool, refers_to: int | None) -> bytes:
+    rows = rows.withColumn("digest", F.sha1(F.encode("html", "UTF-8"))).withColumn("n_bytes", F.octet_length("html").cast("long"))
+    keys = materialise(rows.groupBy("page_id", "url", "digest", "n_bytes").agg(F.count(F.lit(1)).alias("_n")), "digests")
+    first = keys.where(F.col("n_bytes") >= least).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("_first"), F.sum("_n").alias("_all")).where("_all > 1")
+    told = keys.join(first.drop("_all"), "digest", "left")
+    leads = F.col("page_id").eqNullSafe(F.col("_first.page_id")) & F.col("url").eqNullSafe(F.col("_first.url"))
+    responses = F.when(F.col("_first").isNull(), F.col("_n")).when(leads, F.lit(1)).otherwise(F.lit(0)).cast("long")
+    told = materialise(told.select("page_id", "url", "digest", "n_bytes", "_n", responses.alias("_responses"), F.col("_first.page_id").alias("refers_to"), F.col("_first.url").alias("refers_url")), "roles")
+
+    def with_html(some: DataFrame) -> DataFrame:
+        side = some.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("digest").alias("_d"), "_n")
+        same = F.col("page_id").eqNullSafe(F.col("_p")) & F.col("url").eqNullSafe(F.col("_u")) & (F.col("digest") == F.col("_d"))
+        return rows.join(side.hint("merge"), same).drop("_p", "_u", "_d")
+
+    named = lambda df, kind: df.select("page_id", "url", "turn", "n_bytes", "html", "digest", F.lit(kind).alias("record_type"), "refers_to", "refers_url")
+    no_one = {"refers_to": F.lit(None).cast("long"), "refers_url": F.lit(None).cast("string")}
+    # copies of one small page are records of their own, which nothing refers to: any number of their own will do
+    own = F.when(F.col("_n") == 1, F.lit(1).cast("long")).otherwise(F.monotonically_increasing_id() + 1)
+    out = named(with_html(told.where("_responses = _n")).withColumn("turn", own).withColumns(no_one), "response")
+    led = told.where("_responses = 1 AND _n > 1")
+    if not led.isEmpty():
+        one = with_html(led).groupBy("page_id", "url", "digest", "n_bytes").agg(F.first("html").alias("html"))
+        out = out.union(named(one.withColumn("turn", F.lit(1).cast("long")).withColumns(no_one), "response"))
+    again = told.where("_n > _responses").withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - F.col("_responses") - 1) / BLOCK))))
+    begin = F.col("_responses") + 1 + F.col("_block") * BLOCK
+    again = again.repartition("digest", "page_id", "url", "_block").withColumn("turn", F.explode(F.sequence(begin, F.least(begin + BLOCK - 1, F.col("_n")))))
+    return out.union(named(again.withColumn("html", F.lit(None).cast("string")), "revisit"))
+
+
+def _record_id(page_id: int | None, url: str | None, digest: str, turn: int) -> str:
+    """Of page, url, payload and turn, so that different records never share an id."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_OID, json.dumps([page_id, url, digest, turn]))}>"
+
+
+def record(page_id: int | None, url: str | None, html: str | None, digest: str, n_bytes: int, turn: int, revisit: bool, refers_to: int | None, refers_url: str | None = None) -> bytes:
     """One record, uncompressed."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n_bytes}\r\n\r\n".encode()
     block = http if revisit else http + (html or "").encode("utf-8", "surrogatepass")
-    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, turn)}", f"WARC-Date: {DATE}"]
+    head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {_record_id(page_id, url, digest, turn)}", f"WARC-Date: {DATE}"]
     if url is not None:
         head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~' + chr(39))}")
     head.append(f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}")
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, 1)}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(refers_to, refers_url, digest, 1)}"]
         head += [f"X-Refers-To-Page: {refers_to}"] if refers_to is not None else []
     head += [f"X-Page: {page_id}"] if page_id is not None else []
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -116,7 +136,7 @@ def write(records: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -
                 if out is None:
                     path = _name(folder, "raw")
                     out, pack, n, size = _open(path, True), zlib.compressobj(RAW_LEVEL, zlib.DEFLATED, _GZIP), 0, 0
-                made = record(page_id, row.url, row.html, row.digest, row.n_bytes, row.turn, row.record_type == "revisit", refers_to)
+                made = record(page_id, row.url, row.html, row.digest, row.n_bytes, row.turn, row.record_type == "revisit", refers_to, row.refers_url)
                 out.write(pack.compress(made))
                 n, size = n + 1, size + len(made)
         if out is not None:
