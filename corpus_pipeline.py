@@ -1,23 +1,32 @@
 """Corpus pipeline: language ID, near-duplicates, pseudonyms, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; all but the last
-return the columns of documents. Repeated rows are rows of their own until the near-duplicate stage,
-which keeps one document of each group; the mixing stage repeats rows on purpose.
+return the columns of documents, whatever other columns docs has. A document is a doc_id with a text: rows of one doc_id with
+different texts are different documents, in every stage.
+
+Defined results: language ID drops null and empty texts, and all without a letter, and keeps every other row, a null doc_id and repeated
+rows included; of a group of near copies the document with the smallest doc_id stays, null last, then the smallest hash of
+its text, as one row (of its repeated rows the smallest by text, source, lang, n_chars); pseudonyms keep all rows, null texts as they
+are; mixing takes each row as often as its source's target asks, 0 to 3 times, equal rows sharing their copies, a null source being a
+source; packing cuts documents of more than 2,048 tokens and packs null and empty texts as one token. Texts of any length are
+handled whole. An empty table gives no rows at every stage.
+
+The key of the pseudonyms is the setting ``spark.millrace.pseudonyms.key``; where it is unset a key that everybody knows serves,
+which is for tests only, and a warning says so.
 """
 
 from __future__ import annotations
 
+import warnings
+
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import langid, mixing, packing, pii, similar
 from millrace.llm.common import DOCUMENT_COLUMNS, held_out, materialise, read_table
 
-
-def _key() -> Column:
-    """The doc_id; for a null one a hash of the text, so that rows without an id stay apart."""
-    return F.coalesce("doc_id", F.xxhash64("text"))
+KEY_SETTING = "spark.millrace.pseudonyms.key"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,32 +36,41 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links of similarity 0.8 or more join, the one with the smallest
-    doc_id stays (of its repeated rows, one)."""
-    docs = docs.select(*DOCUMENT_COLUMNS, _key().alias("_key"))
-    found = similar.near_copies(docs.select(F.col("_key").alias("doc_id"), "text"))
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("text", "source", "lang", "n_chars"))
-    return docs.join(stay.hint("merge"), "_key", "left_semi").withColumn("_turn", turn).where("_turn = 1").select(*DOCUMENT_COLUMNS)
+    """Of each group of documents that links of similarity 0.8 or more join, one stays, as one row."""
+    docs = docs.select(*DOCUMENT_COLUMNS)
+    found = similar.near_copies(docs)
+    stay = found.where("first").groupBy("doc_id", "tag").agg(F.count(F.lit(1)).alias("_n"))
+    stay = materialise(stay.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "_n"), "stay")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (similar.tag_of(F.col("text")) == F.col("_tag"))
+    once = docs.join(stay.where("_n = 1").hint("merge"), same, "left_semi")
+    repeated = stay.where("_n > 1")
+    if repeated.isEmpty():
+        return once
+    # repeated rows meet as an aggregate, so they are reduced before they move
+    rows = docs.join(repeated, same, "left_semi").groupBy("doc_id", similar.tag_of(F.col("text")).alias("_tag"))
+    return once.union(rows.agg(F.min(F.struct("text", "source", "lang", "n_chars")).alias("r")).select("doc_id", "r.text", "r.lang", "r.source", "r.n_chars"))
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows where a text's length changes."""
-    done = pii.pseudonyms(docs, keep=DOCUMENT_COLUMNS)
+    """Personal data become pseudonyms under the caller's key; n_chars follows where a text's length changes."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if given is None:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms under the known key can be undone by anyone", stacklevel=2)
+    done = pii.pseudonyms(docs, given.encode() if given is not None else pii.KEY, keep=DOCUMENT_COLUMNS)
     return done.withColumn("n_chars", F.when(F.col("n_found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*DOCUMENT_COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy("source", mixing.size_of(F.col("text"))))
-    docs = docs.select(*DOCUMENT_COLUMNS, _key().alias("_key"))
-    if docs.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
-        docs = docs.withColumn("_turn", F.lit(1))
-    else:
-        docs = docs.withColumn("_turn", turn)
-    chosen = mixing.mix(docs, keys=("_key", "_turn")).where("copies > 0").select(F.col("_key").alias("_k"), F.col("_turn").alias("_t"), "copies")
-    both = docs.join(materialise(chosen, "copies").hint("merge"), (F.col("_key") == F.col("_k")) & (F.col("_turn") >= F.col("_t")) & (F.col("_turn") <= F.col("_t")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*DOCUMENT_COLUMNS)
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_tag", similar.tag_of(F.col("text")))
+    keys = ("_tag", "lang", "n_chars")
+    chosen = mixing.mix(docs, keys=keys).groupBy("doc_id", "source", *keys).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n"))
+    chosen = materialise(chosen.where("_copies > 0").withColumnsRenamed({c: f"{c}_" for c in ("doc_id", "source", *keys)}), "copies")
+    if not chosen.where("_n > 1").isEmpty():  # equal rows share their copies
+        docs = docs.dropDuplicates()
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_")) for c in ("doc_id", "source", *keys)]
+    both = docs.join(chosen.hint("merge"), same)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*DOCUMENT_COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
