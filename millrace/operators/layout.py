@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from statistics import median
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import numeric_cell
 from ..functions.text import is_noise
 from ..session import materialise
+from .bands import meet
 from .folds import fold_rows
 from .geometry import cluster_1d, column_edges, fold_pages, nearest_column, split_cells, words_to_lines
 
@@ -84,25 +86,28 @@ def masthead(sections: DataFrame, by: list[str]) -> DataFrame:
 
 
 def serial_chain(words: DataFrame, by: list[str], least_gap: float = 8.0) -> DataFrame:
-    """words (by, word_idx, value: long, y0, conf): those of the longest chain down the page that counts up by one, the surest
-    of equally long ones."""
+    """words (by, word_idx, value: long, y0, conf): those of the longest chain down the page in which each number is followed by
+    the next number's first place at least ``least_gap`` below; of equally long ones the surest, then the first."""
 
     def fold(value: list[int], y0: list[float], conf: list[float]) -> tuple[list[int], list[int]]:
-        best: list[tuple[int, float, int]] = []  # length, confidence, the row before
-        ends: dict[int, list[int]] = {}
-        for i, (v, y, c) in enumerate(zip(value, y0, conf, strict=True)):
-            chain = (1, c, -1)
-            for j in ends.get(v - 1, ()):
-                if y - y0[j] >= least_gap:
-                    chain = max(chain, (best[j][0] + 1, best[j][1] + c, j))
-            best.append(chain)
-            ends.setdefault(v, []).append(i)
-        at = max(range(len(best)), key=lambda i: best[i][:2])
+        n = len(value)
+        after, length, sure = [-1] * n, [1] * n, list(conf)
+        below: dict[int, tuple[list[float], list[int]]] = {}  # of each number: places below, from the bottom up
+        for i in range(n - 1, -1, -1):
+            heights, rows = below.get(value[i] + 1, ((), ()))
+            at = bisect_left(heights, -(y0[i] + least_gap) + 1e-9) if heights else 0
+            j = rows[at - 1] if at else -1
+            if j >= 0:
+                after[i], length[i], sure[i] = j, length[j] + 1, conf[i] + sure[j]
+            own = below.setdefault(value[i], ([], []))
+            own[0].append(-y0[i])
+            own[1].append(i)
+        at = max(range(n), key=lambda i: (length[i], sure[i], -i))
         kept = []
         while at >= 0:
             kept.append(at)
-            at = best[at][2]
-        return kept[::-1], list(range(len(kept)))
+            at = after[at]
+        return kept, list(range(len(kept)))
 
     return fold_pages(words, by, ["y0", "word_idx"], ["value", "y0", "conf"], fold, "place int")
 
@@ -137,28 +142,28 @@ def page_direction(pages: DataFrame, by: list[str]) -> DataFrame:
     return pages.groupBy(*by).agg(F.when(F.avg(F.col("rtl").cast("double")) > 0.5, "rtl").otherwise("ltr").alias("direction"))
 
 
-def grid_cells(lines: DataFrame, by: list[str], least: float = 8.0) -> DataFrame:
-    """lines (by, axis: 'x' or 'y', at) of a ruled grid -> its cells between neighbouring lines at least ``least`` apart: by,
-    r, c, x0, x1, y0, y1. Rows with fewer than three cells go."""
-    def spans(axis: str, name: str, index: str) -> DataFrame:
+def grid_cells(lines: DataFrame, by: list[str], least: float = 8.0, least_width: float | None = None) -> DataFrame:
+    """lines (by, axis: 'x' or 'y', at) of a ruled grid -> its cells between neighbouring lines at least ``least`` apart
+    (``least_width`` sideways): by, r, c, x0, x1, y0, y1. Rows with fewer than three cells go."""
+    def spans(axis: str, name: str, index: str, least: float) -> DataFrame:
         w = Window.partitionBy(*by).orderBy("at")
         s = lines.where(F.col("axis") == axis).select(*by, F.col("at").alias(f"{name}0"), F.lead("at").over(w).alias(f"{name}1")).where(F.col(f"{name}1") - F.col(f"{name}0") >= least)
         return s.withColumn(index, F.row_number().over(Window.partitionBy(*by).orderBy(f"{name}0")) - 1)
 
-    cells = spans("y", "y", "r").join(spans("x", "x", "c"), by)
+    cells = spans("y", "y", "r", least).join(spans("x", "x", "c", least if least_width is None else least_width), by)
     enough = cells.groupBy(*by, "r").agg(F.count(F.lit(1)).alias("n")).where("n >= 3").drop("n")
     return cells.join(enough, [*by, "r"], "left_semi").select(*by, "r", "c", "x0", "x1", "y0", "y1")
 
 
-def clear_rules(rules: DataFrame, blocks: DataFrame, words: DataFrame, by: list[str], share: float = 0.6, slack: float = 2.0) -> DataFrame:
-    """Vertical rules (by, rule_idx, x, y0, y1) inside a block, over at least ``share`` of its height, that cross no word."""
-    inside = rules.join(blocks.select(*by, *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y0", "y1")]), by).where((F.col("x") > F.col("_x0")) & (F.col("x") < F.col("_x1")) & (F.least("y1", "_y1") - F.greatest("y0", "_y0") >= share * (F.col("_y1") - F.col("_y0"))))
-    w = words.select(*[F.col(b).alias(f"w_{b}") for b in by], F.col("x0").alias("w0"), F.col("x1").alias("w1"), F.col("y0").alias("v0"), F.col("y1").alias("v1"))
-    crossed = (F.col("w0") + slack < F.col("x")) & (F.col("w1") - slack > F.col("x")) & (F.col("v0") < F.col("y1")) & (F.col("v1") > F.col("y0"))
-    same = crossed
-    for b in by:
-        same = same & (F.col(b) == F.col(f"w_{b}"))
-    return inside.select(*rules.columns).distinct().join(w, same, "left_anti")
+def clear_rules(rules: DataFrame, blocks: DataFrame, words: DataFrame, by: list[str], share: float = 0.6, slack: float = 2.0, width: float = 64.0) -> DataFrame:
+    """Vertical rules (by, rule_idx, x, y0, y1) inside a block, over at least ``share`` of its height, that cross no word. A rule
+    meets the blocks and words of its own band of the page only."""
+    own = blocks.select(*by, *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y0", "y1")])
+    tall = F.least("y1", "_y1") - F.greatest("y0", "_y0") >= share * (F.col("_y1") - F.col("_y0"))
+    inside = meet(rules, own, by, F.col("x"), F.col("_x0"), F.col("_x1"), width, tall & (F.col("x") > F.col("_x0")) & (F.col("x") < F.col("_x1")), "left_semi")
+    w = words.select(*by, (F.col("x0") + slack).alias("_x0"), (F.col("x1") - slack).alias("_x1"), F.col("y0").alias("_y0"), F.col("y1").alias("_y1"))
+    crossed = (F.col("_x0") < F.col("x")) & (F.col("_x1") > F.col("x")) & (F.col("_y0") < F.col("y1")) & (F.col("_y1") > F.col("y0"))
+    return meet(inside.distinct(), w, by, F.col("x"), F.col("_x0"), F.col("_x1"), width, crossed, "left_anti")
 
 
 def aligned_table(words: DataFrame, by: list[str]) -> DataFrame:
