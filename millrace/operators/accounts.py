@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vocab import FAILURE_CODES
+from ..functions.vocab import BOTH_FAILED, FAILURE_CODES, NO_PAGE, PASSING_STATUS
 
 
 def with_plan(users: DataFrame, plans: DataFrame) -> DataFrame:
@@ -54,11 +54,20 @@ def model_scores(reads: DataFrame) -> DataFrame:
     return reads.groupBy("model").agg(F.sum("items").alias("items"), F.avg(F.col("priced").cast("double")).alias("priced"), F.avg(F.col("adds_up").cast("double")).alias("adds_up"), F.sum(cost).alias("cost"))
 
 
-def failure_code(message: Column) -> Column:
-    found = None
-    for code, pattern in FAILURE_CODES:
-        found = F.when(message.rlike(pattern), code) if found is None else found.when(message.rlike(pattern), code)
-    return found.otherwise("failed")
+def reader_gone(status: Column, message: Column) -> Column:
+    """Was no reader there? Out of credit, busy or broken upstream (402, 408, 429, 500 and more), or the second reader failed too."""
+    passing = status.isin(*PASSING_STATUS) | (status >= 500)
+    return F.coalesce(passing, F.lit(False)) | F.coalesce(message.contains(BOTH_FAILED), F.lit(False))
+
+
+def failure_code(message: Column, error: Column, unavailable: Column) -> Column:
+    """The stable code of a failed job: message, type of the error, and whether no reader was available."""
+    return (
+        F.when(F.coalesce(message.contains(NO_PAGE), F.lit(False)), FAILURE_CODES[0])
+        .when(F.coalesce(error == "FileNotFoundError", F.lit(False)), FAILURE_CODES[1])
+        .when(F.coalesce(unavailable, F.lit(False)), FAILURE_CODES[2])
+        .otherwise(FAILURE_CODES[3])
+    )
 
 
 def cancelled(status: Column) -> Column:

@@ -40,10 +40,18 @@ def quota_share(used: Column, quota: Column) -> Column:
     return F.when(quota > 0, F.least(F.lit(100.0), F.round(used / quota * 100))).otherwise(0.0)
 
 
-def admission(kind: Column, role: Column, plan_active: Column, remaining: Column, pages: Column, most_pages: int = 20) -> Column:
-    """Why a job is refused, or null: role, pages, plan, quota; the last two do not bind cleaning."""
+def admission(kind: Column, role: Column, plan: Column, plan_active: Column, quota: Column, remaining: Column, pages: Column, most_pages: int = 20) -> Column:
+    """The code with which a job is refused, or null. Only customers upload. A plan binds an account that has one, a quota one
+    that has one, and neither binds cleaning; the pages are looked at last, and what is cleaned counts as one page."""
     paid = kind != "clean"
-    return F.when(role != "customer", "role").when(pages > most_pages, "pages").when(paid & ~plan_active, "plan").when(paid & (remaining <= 0), "quota")
+    count = F.when(paid, pages).otherwise(1)
+    return (
+        F.when(role != "customer", "customer_only")
+        .when(paid & F.coalesce(plan != "", F.lit(False)) & ~F.coalesce(plan_active, F.lit(False)), "plan_inactive")
+        .when(paid & (F.coalesce(quota, F.lit(0)) > 0) & (remaining <= 0), "quota_exhausted")
+        .when(count == 0, "pdf_unreadable")
+        .when(count > most_pages, "too_many_pages")
+    )
 
 
 def status_label(status: Column, low: Column, warnings: Column) -> Column:

@@ -112,13 +112,20 @@ def serial_chain(words: DataFrame, by: list[str], least_gap: float = 8.0) -> Dat
     return fold_pages(words, by, ["y0", "word_idx"], ["value", "y0", "conf"], fold, "place int")
 
 
-def uniform_rows(lines: DataFrame, by: list[str]) -> DataFrame:
-    """lines (by, line, height): the longest run of lines whose heights are between 0.5 and 1.8 of the page's median."""
-    middle = lines.groupBy(*by).agg(F.median("height").alias("_m"))
-    fits = F.col("height").between(0.5 * F.col("_m"), 1.8 * F.col("_m"))
+def uniform_rows(lines: DataFrame, by: list[str], spread: float = 0.28) -> DataFrame:
+    """lines (by, line, height) of a page's grid that are its even rows. All stay where there are fewer than four, where heights
+    (12 at least) deviate by less than ``spread`` of their median, or where no run of heights from 0.5 to 1.8 of the median is
+    as long as three lines and a third of the page; else the longest such run, the first of equal ones, and the page's first line."""
+    tall = lines.withColumn("_h", F.greatest(F.lit(12.0), F.col("height")))
+    page = tall.groupBy(*by).agg(F.median("_h").alias("_m"), F.stddev_pop("_h").alias("_d"), F.count(F.lit(1)).alias("_n"), F.min("line").alias("_first"))
     w = Window.partitionBy(*by).orderBy("line")
-    runs = lines.join(middle, by).withColumn("_i", F.sum(F.when(fits, 0).otherwise(1)).over(w)).where(fits)
-    return runs.groupBy(*by, "_i").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("n_lines")).groupBy(*by).agg(F.max_by(F.struct("first_line", "n_lines"), F.struct(F.col("n_lines"), -F.col("first_line"))).alias("r")).select(*by, "r.*")
+    fits = F.col("_h").between(0.5 * F.col("_m"), 1.8 * F.col("_m"))
+    runs = tall.join(page, by).withColumn("_fits", fits).withColumn("_i", F.sum(F.when(fits, 0).otherwise(1)).over(w))
+    found = runs.where("_fits").groupBy(*by, "_i").agg(F.count(F.lit(1)).alias("_k"))
+    best = found.groupBy(*by).agg(F.max_by(F.struct("_i", "_k"), F.struct(F.col("_k"), -F.col("_i"))).alias("_b"))
+    runs = runs.join(best, by, "left")
+    even = (F.col("_n") < 4) | (F.col("_d") / F.col("_m") < spread) | (F.coalesce(F.col("_b._k"), F.lit(0)) < F.greatest(F.lit(3), F.floor(F.col("_n") / 3)))
+    return runs.where(even | (F.col("_fits") & (F.col("_i") == F.col("_b._i"))) | (F.col("line") == F.col("_first"))).select(*lines.columns)
 
 
 def label_values(words: DataFrame, by: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import DIRTY, PAGE_TOKENS
-from ..operators import choices, pages, ruled, word_tables
+from ..operators import choices, free_items, layout, pages, ruled, word_tables
 from .invoices import _N, _lines
 from .tables import table
 
@@ -143,7 +143,56 @@ def layout_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.layout_document(*_page_words(spark, sf_dir), ["l_orderkey"])[1]
 
 
-QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells}
+def _free_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' invoices as running text: a third has each figure on a line of its own, a third an item on a line (of every fifth item
+    the price has lost its point; where the order is divisible by seven all have, and no total is printed), a third stands between bars."""
+    li = _orders_lines(spark, sf_dir)
+    way, n = F.col("l_orderkey") % 3, F.col("n")
+    cents = F.col("l_partkey") % 9000 + 1000
+    qty = F.col("l_quantity").cast("long")
+    money = lambda c: F.format_string("%d.%02d", F.floor(c / 100).cast("long"), c % 100)
+    head = F.concat(F.lit("Item "), n.cast("string"))
+    below = F.array(head, qty.cast("string"), F.concat(F.lit("$"), money(cents)), F.lit("ab"), F.concat(F.lit("$ "), money(qty * cents)))
+    bare = F.array(F.concat(head, F.lit(" x"), qty.cast("string"), F.lit(" @ $"), cents.cast("string")))
+    lost = F.array(F.concat(head, F.lit(" "), qty.cast("string"), F.lit(" $"), cents.cast("string"), F.lit(" $"), money(qty * cents)))
+    one = F.array(F.concat(head, F.lit(" x"), qty.cast("string"), F.lit(" @ $"), money(cents), F.lit(" = $"), money(qty * cents)))
+    bars = F.array(F.concat_ws(" | ", F.concat(F.lit("goods no "), F.col("l_partkey").cast("string")), qty.cast("string"), F.concat(F.lit("$"), money(cents)), F.concat(F.lit("$"), money(qty * cents))))
+    text = F.when(way == 0, below).when(way == 2, bars).when(F.col("l_orderkey") % 7 == 0, bare).when(n % 5 == 0, lost).otherwise(one)
+    body = li.select("l_orderkey", (n * 10).alias("_n"), F.posexplode(text).alias("_i", "text")).select("l_orderkey", (F.col("_n") + F.col("_i")).alias("line_no"), "text")
+    sums = li.groupBy("l_orderkey").agg(F.sum(qty * cents).alias("s"))
+    printed = (F.lit("scan-17.jpg item 9 9 $9.00 $81.00"), F.concat(F.lit("Sub Total $"), money(F.col("s"))), F.concat(F.lit("Total $"), money(F.col("s") + 500)))
+    ends = F.array(*[F.struct(F.lit(i).alias("line_no"), t.alias("text")) for i, t in zip((0, 900_000, 900_001), printed, strict=True)])
+    return body.unionByName(sums.select("l_orderkey", F.inline(ends)))
+
+
+def free_text_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return free_items.free_items(_free_pages(spark, sf_dir), ["l_orderkey"])[0].drop("item_no")
+
+
+def free_text_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = free_items.free_totals(free_items.clean_lines(_free_pages(spark, sf_dir), ["l_orderkey"]), ["l_orderkey"])
+    return found.select("l_orderkey", "subtotal", "tax_amount", "grand_total", "currency")
+
+
+def even_grid_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of orders: a tall heading, the items, a taller footer."""
+    li = _orders_lines(spark, sf_dir)
+    ends = li.select("l_orderkey", "k").distinct()
+    rows = li.select("l_orderkey", F.col("n").alias("line"), F.lit(20.0).alias("height")).unionByName(ends.select("l_orderkey", F.lit(0).alias("line"), F.lit(60.0).alias("height")))
+    rows = rows.unionByName(ends.select("l_orderkey", (F.col("k") + 1).cast("int").alias("line"), F.lit(90.0).alias("height")))
+    return layout.uniform_rows(rows, ["l_orderkey"])
+
+
+def modal_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids of orders with four cells in a row, a little apart from row to row; every fourth row has lost its last one."""
+    li = _orders_lines(spark, sf_dir)
+    cells = li.select("l_orderkey", F.col("n").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("i")).where("r % 4 > 0 OR i < 3")
+    left, top = 10 + 100 * F.col("i") + F.col("r") % 3, 50 * F.col("r") + F.col("i") % 2
+    cells = cells.select("l_orderkey", "r", *[c.cast("double").alias(n) for n, c in (("x0", left), ("x1", left + 80), ("y0", top), ("y1", top + 30))])
+    return ruled.modal_grid(cells, ["l_orderkey"], F.lit(500.0))
+
+
+QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids}
 
 _K = f"k AS (SELECT *, CAST({_N} AS INTEGER) AS n, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem)"
 
@@ -204,4 +253,22 @@ ORACLES = {
         w AS (SELECT l_orderkey, ar, r, CASE WHEN cut THEN t WHEN ar THEN [t[1], t[2], t[4] || ' ' || t[3]] ELSE [t[1], t[2], t[3] || ' ' || t[4]] END AS t FROM h)
         SELECT l_orderkey, region, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, text, CAST(conf AS DOUBLE) AS conf FROM o
         UNION ALL SELECT l_orderkey, 2, CAST(r AS INTEGER), CAST(CASE WHEN ar THEN len(t) - i ELSE i - 1 END AS INTEGER), t[i], 90.0 FROM w, (SELECT unnest(range(1, 5)) AS i) WHERE i <= len(t)""",
+    # labels below each other 88, in running text 86, on a plain line 90, between bars 84; without a total 70, and 65 once the subtotal has mended the price
+    "free_text_items": """
+        WITH l AS (SELECT l_orderkey, l_partkey, CAST(l_quantity AS BIGINT) AS q, l_partkey % 9000 + 1000 AS c, CAST(NUM AS INTEGER) AS n, l_orderkey % 3 AS way, sum(CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 1000)) OVER (PARTITION BY l_orderkey) AS s FROM lineitem)
+        SELECT l_orderkey, CASE WHEN way = 2 THEN 'goods no ' || CAST(l_partkey AS VARCHAR) ELSE 'Item ' || CAST(n AS VARCHAR) END AS description, CAST(q AS DOUBLE) AS qty, c / 100.0 AS unit_price, q * c / 100.0 AS total,
+               CAST(CASE WHEN way = 0 THEN 88 WHEN way = 2 THEN 84 WHEN l_orderkey % 7 = 0 THEN 65 WHEN n % 5 = 0 THEN 90 ELSE 86 END AS DOUBLE) AS conf,
+               -- the items are 5.00 below the printed total, which is too far where that is more than a fifth of it
+               way = 1 AND l_orderkey % 7 = 0 OR 500 > greatest(100, 0.2 * (s + 500)) AS review FROM l""".replace("NUM", _N),
+    "free_text_totals": """
+        SELECT l_orderkey, sum(CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 1000)) / 100.0 AS subtotal, CAST(5.0 AS DOUBLE) AS tax_amount, (sum(CAST(l_quantity AS BIGINT) * (l_partkey % 9000 + 1000)) + 500) / 100.0 AS grand_total, 'USD' AS currency
+        FROM lineitem GROUP BY 1""",
+    # three rows all stay; of more the even run stays, and the first row
+    "even_grid_rows": f"""
+        WITH {_K}, p AS (SELECT DISTINCT l_orderkey, k FROM k)
+        SELECT l_orderkey, CAST(i AS INTEGER) AS line, CAST(CASE WHEN i = 0 THEN 60 WHEN i > k THEN 90 ELSE 20 END AS DOUBLE) AS height FROM p, (SELECT unnest(range(100)) AS i) WHERE i <= k OR k = 1 AND i = 2""",
+    "modal_grids": f"""
+        WITH {_K}, m AS (SELECT l_orderkey, median(n % 3) AS m FROM k WHERE n % 4 > 0 GROUP BY 1), c AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS c),
+        e AS (SELECT l_orderkey, c, round_even(CASE WHEN c = 0 THEN 8 + m ELSE 100 * c + m END, 0) AS x0, round_even(CASE WHEN c = 3 THEN 392 + m ELSE 100 * (c + 1) + m END, 0) AS x1 FROM m, c)
+        SELECT l_orderkey, n AS r, c, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(50 * n AS DOUBLE) AS y0, CAST(50 * n + 30 AS DOUBLE) AS y1 FROM k JOIN e USING (l_orderkey)""",
 }

@@ -47,7 +47,9 @@ def quota_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     j = _jobs(spark, sf_dir)
-    why = jobs.admission(F.col("kind"), F.when(F.col("customer_id") % 7 == 0, "admin").otherwise("customer"), F.col("customer_id") % 5 > 0, F.col("customer_id") % 3, F.col("items") * 3)
+    of, job = F.col("customer_id"), F.col("job_id")
+    plan, role = F.when(of % 4 > 0, "basic"), F.when(of % 7 == 0, "admin").otherwise("customer")
+    why = jobs.admission(F.col("kind"), role, plan, of % 5 > 0, of % 3, of % 6 - 2, job % 29)
     return j.select("job_id", why.alias("reason"))
 
 
@@ -155,8 +157,10 @@ ORACLES = {
         SELECT o_custkey AS customer_id, CASE WHEN o_custkey % 4 > 0 THEN least(100.0, round(count(*) / (o_custkey % 4) * 100)) ELSE 0.0 END AS percent
         FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 3 > 0 GROUP BY o_custkey""",
     "admission": """
-        SELECT o_orderkey AS job_id, CASE WHEN o_custkey % 7 = 0 THEN 'role' WHEN (o_orderkey % 10) * 3 > 20 THEN 'pages' WHEN o_orderkey % 3 > 0 AND o_custkey % 5 = 0 THEN 'plan'
-               WHEN o_orderkey % 3 > 0 AND o_custkey % 3 = 0 THEN 'quota' END AS reason FROM orders""",
+        -- in this order: customers only; a plan that is not active; a quota that is used up; then the pages. The two in the middle bind no cleaning, whose pages are one
+        WITH j AS (SELECT o_orderkey AS job_id, o_custkey % 7 = 0 AS admin, o_orderkey % 3 = 0 AS cleaning, o_custkey % 4 > 0 AS planned, o_custkey % 5 > 0 AS active, o_custkey % 3 AS quota, o_custkey % 6 - 2 AS left_, o_orderkey % 29 AS pages FROM orders)
+        SELECT job_id, CASE WHEN admin THEN 'customer_only' WHEN cleaning THEN NULL WHEN planned AND NOT active THEN 'plan_inactive' WHEN quota > 0 AND left_ <= 0 THEN 'quota_exhausted'
+               WHEN pages = 0 THEN 'pdf_unreadable' WHEN pages > 20 THEN 'too_many_pages' END AS reason FROM j""",
     "review_patch": f"""
         SELECT CAST(l_orderkey AS VARCHAR) AS output, CAST({_N} AS INTEGER) AS "row", CASE WHEN l_orderkey % 11 = 0 THEN 'edit 2' ELSE printf('%.2f', l_extendedprice) END AS value, l_orderkey % 11 = 0 AS edited FROM lineitem""",
     "review_topk": f"""

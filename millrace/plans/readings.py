@@ -127,7 +127,7 @@ def suppressed_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_mastheads(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    first = d.select("doc_id", F.lit(0).alias("section"), F.when(F.col("doc_id") % 4 == 0, "table").otherwise("text").alias("kind"), F.substring("text", 1, 70).alias("text"))
+    first = d.select("doc_id", F.lit(0).alias("section"), F.when(F.col("doc_id") % 4 == 0, "table").otherwise("text").alias("kind"), "text")
     return layout.masthead(first.union(d.select("doc_id", F.lit(1), F.lit("text"), F.lit("later"))), ["doc_id"])
 
 
@@ -169,10 +169,12 @@ def plan_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     state = _turn("o_orderkey", "queued", "processing", "completed", "failed")
-    message = _turn("o_orderkey", "request timed out", "file exceeds 25 MB", "zip is corrupt", "Rate limit", "disk on fire")
+    message = _turn("o_orderkey", "1: no page could be read", "gone", "upstream busy", "the fallback could not either", "odd answer", "no page could be read")
+    error = F.when(F.col("o_orderkey") % 4 == 1, "FileNotFoundError").otherwise("AIFailed")
+    gone = accounts.reader_gone(_turn("o_orderkey", "200", "402", "429", "400", "503").cast("int"), message)
     warnings = accounts.capped_warnings(F.array(F.lit("a"), F.lit("b")), F.lit(None).cast("array<string>"), F.transform(F.sequence(F.lit(1), (F.col("o_orderkey") % 5 + 1).cast("int")), lambda i: i.cast("string")), most=4)
     chosen = accounts.first_that_passes((F.lit("small"), F.col("o_orderkey") % 2 == 0), (F.lit("large"), F.col("o_orderkey") % 3 == 0))
-    return o.select("o_orderkey", jobs.status_label(state, F.col("o_orderkey") % 3, F.col("o_orderkey") % 2).alias("label"), accounts.cancelled(state).alias("after_cancel"), accounts.failure_code(message).alias("code"), F.array_join(warnings, ",").alias("warnings"), chosen.alias("model"))
+    return o.select("o_orderkey", jobs.status_label(state, F.col("o_orderkey") % 3, F.col("o_orderkey") % 2).alias("label"), accounts.cancelled(state).alias("after_cancel"), accounts.failure_code(message, error, gone).alias("code"), F.array_join(warnings, ",").alias("warnings"), chosen.alias("model"))
 
 
 def stage_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -233,7 +235,7 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return files.has_text_layer(d.select("doc_id", F.substring("text", 1, 120).alias("text")), "doc_id")
+    return files.has_text_layer(d.select("doc_id", "text"), "doc_id")
 
 
 def template_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -312,8 +314,8 @@ def review_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def padded_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    cells = F.slice(F.split(F.coalesce("text", F.lit("")), " "), 1, (F.col("doc_id") % 5 + 1).cast("int"))
-    made = d.select("doc_id", F.size(cells).alias("given"), rows.pad(cells, F.lit(6)).alias("p"))
+    cells = F.split(F.coalesce("text", F.lit("")), " ")
+    made = d.select("doc_id", rows.pad(cells, (F.size(cells) + F.col("doc_id") % 5).cast("int")).alias("p"))
     return made.select("doc_id", F.size("p").alias("width"), F.size(F.filter("p", lambda x: x == "")).alias("blank"))
 
 
@@ -358,7 +360,7 @@ ORACLES = {
     "suppressed_boxes": f"""
         WITH {_L} SELECT l_orderkey, n * 3 + k AS word_idx, v AS text, v || '?' AS others FROM
         (SELECT l_orderkey, n, CAST(unnest(range(3)) AS INTEGER) AS k, unnest([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR)]) AS v FROM l)""",
-    "page_mastheads": "SELECT doc_id, substr(text, 1, 70) AS masthead FROM documents WHERE doc_id % 4 > 0 AND length(substr(text, 1, 70)) <= 60 AND NOT contains(substr(text, 1, 70), chr(10))",
+    "page_mastheads": "SELECT doc_id, text AS masthead FROM documents WHERE doc_id % 4 > 0 AND length(text) <= 60 AND NOT contains(text, chr(10))",
     "item_headers": "SELECT c_custkey, CAST(c_custkey % 7 + 1 AS INTEGER) AS header_row FROM customer",
     "amount_headings": """
         SELECT c_custkey, 'qty' AS role, 1 AS c FROM customer UNION ALL SELECT c_custkey, 'taxable', 2 FROM customer UNION ALL SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN 'vat' ELSE 'tax_rate' END, 3 FROM customer
@@ -371,7 +373,7 @@ ORACLES = {
         SELECT 'p' || CAST(c_custkey % 30 AS VARCHAR) AS plan_slug, c_custkey, CASE WHEN n_nationkey % 3 > 0 THEN CAST(n_regionkey AS DOUBLE) END AS price FROM customer JOIN nation ON c_custkey % 30 = n_nationkey""",
     "job_states": """
         SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 3 THEN 'failed' WHEN o_orderkey % 3 > 0 THEN 'needs_review' WHEN o_orderkey % 2 > 0 THEN 'auto_corrected' ELSE 'success' END AS label,
-               (['cancelled', 'cancelled', 'completed', 'failed'])[o_orderkey % 4 + 1] AS after_cancel, (['timeout', 'too_large', 'unreadable', 'quota', 'failed'])[o_orderkey % 5 + 1] AS code,
+               (['cancelled', 'cancelled', 'completed', 'failed'])[o_orderkey % 4 + 1] AS after_cancel, CASE WHEN o_orderkey % 6 IN (0, 5) THEN 'no_page_read' WHEN o_orderkey % 4 = 1 THEN 'source_missing' WHEN o_orderkey % 5 IN (1, 2, 4) OR o_orderkey % 6 = 3 THEN 'reader_unavailable' ELSE 'reader_failed' END AS code,
                CASE WHEN o_orderkey % 5 = 0 THEN 'a,b,1' ELSE 'a,b,1,2' END AS warnings, CASE WHEN o_orderkey % 2 = 0 THEN 'small' WHEN o_orderkey % 3 = 0 THEN 'large' END AS model FROM orders""",
     "stage_upserts": "SELECT user_id AS job_id, event_type AS stage, arg_max(event_id % 1000, event_id) AS ms FROM events GROUP BY 1, 2",
     "best_items": f"""
@@ -382,7 +384,7 @@ ORACLES = {
     "csv_files": "SELECT s_suppkey, 'Big \"' || s_name || '\", Inc' AS supplier, s_nationkey AS nation FROM supplier",
     "csv_master": "SELECT 'supplier' AS field, s_name || ' Ltd' AS value FROM supplier UNION ALL SELECT 'line', s_name || '  Ltd' FROM supplier",
     "text_files": "SELECT o_orderkey, o_orderstatus AS status FROM orders",
-    "text_layers": r"SELECT doc_id, length(regexp_replace(coalesce(substr(text, 1, 120), ''), '[\s\x{85}\p{Z}]', '', 'g')) >= 80 AS present FROM documents",
+    "text_layers": r"SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[\s\x{85}\p{Z}]', '', 'g')) >= 80 AS present FROM documents",
     "template_matches": "SELECT DISTINCT p_type, p_size, p_size <= 30 OR p_size > 40 AS known FROM part",
     "invoice_workbook": f"""
         WITH {_L}, o AS (SELECT * FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem))
@@ -411,6 +413,6 @@ ORACLES = {
     "review_counts": """
         SELECT CAST(sum(o_orderkey % 4) AS BIGINT) AS pages, CAST(sum(o_orderkey % 10) AS BIGINT) AS items, CAST(sum(o_orderkey % 2) AS BIGINT) AS corrections, true AS evidence_on_all FROM orders""",
     "padded_rows": """
-        WITH d AS (SELECT doc_id, list_slice(string_split(coalesce(text, ''), ' '), 1, doc_id % 5 + 1) AS c FROM documents)
-        SELECT doc_id, 6 AS width, CAST(6 - len(c) + len(list_filter(c, lambda x: x = '')) AS INTEGER) AS blank FROM d""",
+        WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), ' ') AS c FROM documents)
+        SELECT doc_id, CAST(len(c) + doc_id % 5 AS INTEGER) AS width, CAST(doc_id % 5 + len(list_filter(c, lambda x: x = '')) AS INTEGER) AS blank FROM d""",
 }

@@ -309,8 +309,9 @@ def test_layout_pieces(spark):
     sections = spark.createDataFrame([(1, 0, "text", "ACME"), (1, 1, "table", ""), (2, 0, "text", "two\nlines")], "p int, section int, kind string, text string")
     assert [(r.p, r.masthead) for r in layout.masthead(sections, ["p"]).collect()] == [(1, "ACME")]
     lines = spark.createDataFrame([(1, i, h) for i, h in enumerate((10.0, 10.0, 50.0, 10.0, 11.0, 9.0))], "p int, line int, height double")
-    run = layout.uniform_rows(lines, ["p"]).first()
-    assert (run.first_line, run.n_lines) == (3, 3)
+    assert sorted(r.line for r in layout.uniform_rows(lines, ["p"]).collect()) == [0, 3, 4, 5]  # the longest even run, and the first row
+    even = lines.withColumn("height", F.when(F.col("height") > 20, 13.0).otherwise(F.col("height")))
+    assert layout.uniform_rows(even, ["p"]).count() == 6 and layout.uniform_rows(lines.where("line < 3"), ["p"]).count() == 3
     rules = spark.createDataFrame([(1, 0, 50.0, 0.0, 100.0), (1, 1, 22.0, 0.0, 100.0), (1, 2, 60.0, 0.0, 10.0)], "p int, rule_idx int, x double, y0 double, y1 double")
     block = spark.createDataFrame([(1, 0.0, 100.0, 0.0, 100.0)], "p int, x0 double, x1 double, y0 double, y1 double")
     words = spark.createDataFrame([(1, 10.0, 40.0, 10.0, 20.0)], "p int, x0 double, x1 double, y0 double, y1 double")
@@ -342,8 +343,9 @@ def test_accounts(spark):
     assert {r.user_id: r.price for r in accounts.with_plan(users, plans).collect()} == {1: 5.0, 2: None, 3: None}
     assert accounts.known_plan(users, plans).count() == 2 and [p.slug for p in accounts.active_plans(plans).collect()] == ["a"]
     assert accounts.seed_plans(plans.limit(0), plans).count() == 2 and accounts.seed_plans(plans, plans).count() == 2
-    codes = spark.createDataFrame([("Request timed out",), ("503 Unavailable",), ("boom",)], "m string").select(accounts.failure_code(F.col("m")).alias("c")).collect()
-    assert [r.c for r in codes] == ["timeout", "unavailable", "failed"]
+    given = spark.createDataFrame([("3: no page could be read", "FileNotFoundError", 503), ("x", "FileNotFoundError", 200), ("busy", "E", 429), ("both: fallback could not either", "E", None), (None, None, 400)], "m string, e string, s int")
+    codes = given.select(accounts.failure_code(F.col("m"), F.col("e"), accounts.reader_gone(F.col("s"), F.col("m"))).alias("c")).collect()
+    assert [r.c for r in codes] == ["no_page_read", "source_missing", "reader_unavailable", "reader_unavailable", "reader_failed"]
 
 
 def test_layout_tables_of_many_lines(spark, tmp_path):
