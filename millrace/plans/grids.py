@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vocab import DIRTY, PAGE_TOKENS
-from ..operators import choices, free_items, layout, pages, ruled, word_tables
+from ..operators import assembly, choices, free_items, layout, pages, ruled, word_tables
 from .invoices import _N, _lines
 from .tables import table
 
@@ -192,7 +192,47 @@ def modal_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ruled.modal_grid(cells, ["l_orderkey"], F.lit(500.0))
 
 
-QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids}
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' invoices over two pages: a title, text, a table of details, the items in two tables (the second one without headings,
+    where there are four or more; a group heading stands above the second item), and a box of totals. Where the order is
+    divisible by three the totals are a line of the items' table; where by seven the text states another invoice number."""
+    li = _orders_lines(spark, sf_dir)
+    price = F.col("l_partkey") % 900 + 101
+    qty = F.col("l_quantity").cast("long")
+    first = F.col("n") <= F.floor((F.col("k") + 3) / 2)
+    row = F.format_string("<tr><td>part number %d</td><td>%d</td><td>$%d.00</td><td>$%d.00</td></tr>", "l_partkey", qty, price, price * qty)
+    row = F.concat(F.when(F.col("n") == 2, "<tr><td colspan='4'>Second group</td></tr>").otherwise(""), row)
+    parts = li.groupBy("l_orderkey", first.alias("first")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", row.alias("t")))), lambda x: x["t"]), "").alias("rows"))
+    sums = li.groupBy("l_orderkey").agg(F.sum(price * qty).alias("s"), F.sum(qty).alias("q"))
+    both = parts.join(sums, "l_orderkey")
+    heads = "<tr><th>Description</th><th>Qty</th><th>Unit price</th><th>Amount</th></tr>"
+    last = both.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_p"))
+    both = both.join(last, "l_orderkey")
+    inside = F.when((F.col("l_orderkey") % 3 == 0) & (~F.col("first") | (F.col("_p") == 1)), F.format_string("<tr><td>Total</td><td>%d</td><td></td><td>$%d.00</td></tr>", "q", "s")).otherwise("")
+    tables = both.select("l_orderkey", F.when(F.col("first"), 3).otherwise(4).alias("block_idx"), F.lit("table").alias("kind"), F.concat(F.lit("<table>"), F.when(F.col("first"), heads).otherwise(""), "rows", inside, F.lit("</table>")).alias("content"))
+    of = F.col("l_orderkey")
+    text = F.concat(F.lit("Invoice Date: 03/02/2020\nBank: First National\nSold to\nMs Someone\nHigh Street 1\n"), F.when(of % 7 == 0, "Invoice No: WRONG-1\n").otherwise(""))
+    details = F.concat(F.lit("<table><tr><td>Invoice No</td><td>INV-"), of.cast("string"), F.lit("</td></tr><tr><td>Payment Terms</td><td>thirty days</td></tr></table>"))
+    box = F.format_string("<table><tr><td>Subtotal</td><td>$%d.00</td></tr><tr><td>VAT</td><td>$5.00</td></tr><tr><td>Grand Total</td><td>$%d.00</td></tr></table>", "s", F.col("s") + 5)
+    made = ((0, "title", F.lit("INVOICE")), (1, "text", text), (2, "table", details))
+    fixed = sums.select("l_orderkey", F.explode(F.array(*[F.struct(F.lit(i).alias("block_idx"), F.lit(k).alias("kind"), c.alias("content")) for i, k, c in made])).alias("b")).select("l_orderkey", "b.*")
+    boxes = sums.where("l_orderkey % 3 > 0").select("l_orderkey", F.lit(5).alias("block_idx"), F.lit("table").alias("kind"), box.alias("content"))
+    return tables.unionByName(fixed).unionByName(boxes).withColumnRenamed("l_orderkey", "doc_id")
+
+
+def payload_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.payload(_documents(spark, sf_dir)).items.select("doc_id", "item_no", "section", "grid", "description", "qty", "unit_price", "line_total")
+
+
+def payload_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.payload(_documents(spark, sf_dir)).header
+
+
+def payload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assembly.payload(_documents(spark, sf_dir)).totals
+
+
+QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids, "payload_items": payload_items, "payload_header": payload_header, "payload_totals": payload_totals}
 
 _K = f"k AS (SELECT *, CAST({_N} AS INTEGER) AS n, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem)"
 
@@ -271,4 +311,16 @@ ORACLES = {
         WITH {_K}, m AS (SELECT l_orderkey, median(n % 3) AS m FROM k WHERE n % 4 > 0 GROUP BY 1), c AS (SELECT CAST(unnest(range(4)) AS INTEGER) AS c),
         e AS (SELECT l_orderkey, c, round_even(CASE WHEN c = 0 THEN 8 + m ELSE 100 * c + m END, 0) AS x0, round_even(CASE WHEN c = 3 THEN 392 + m ELSE 100 * (c + 1) + m END, 0) AS x1 FROM m, c)
         SELECT l_orderkey, n AS r, c, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST(50 * n AS DOUBLE) AS y0, CAST(50 * n + 30 AS DOUBLE) AS y1 FROM k JOIN e USING (l_orderkey)""",
+    "payload_items": f"""
+        WITH {_K} SELECT l_orderkey AS doc_id, n AS item_no, CASE WHEN n >= 2 THEN 'Second group' END AS section, CASE WHEN n <= (k + 3) // 2 THEN 3 ELSE 4 END AS grid, 'part number ' || CAST(l_partkey AS VARCHAR) AS description,
+               l_quantity AS qty, CAST(l_partkey % 900 + 101 AS DOUBLE) AS unit_price, CAST((l_partkey % 900 + 101) * CAST(l_quantity AS BIGINT) AS DOUBLE) AS line_total FROM k""",
+    # a table that pairs label and value outranks patterns in text, these labels beside values, these headings above text
+    "payload_header": """
+        WITH o AS (SELECT DISTINCT l_orderkey AS doc_id FROM lineitem)
+        SELECT doc_id, unnest(['invoice_number', 'payment_terms', 'invoice_date', 'bank', 'client_name', 'currency']) AS key,
+               unnest(['INV-' || CAST(doc_id AS VARCHAR), 'thirty days', '2020-02-03', 'First National', 'Ms Someone / High Street 1', 'USD']) AS value, unnest(['table', 'table', 'pattern', 'label', 'party', 'cells']) AS source FROM o""",
+    "payload_totals": """
+        WITH s AS (SELECT l_orderkey AS doc_id, CAST(sum((l_partkey % 900 + 101) * CAST(l_quantity AS BIGINT)) AS DOUBLE) AS s FROM lineitem GROUP BY 1)
+        SELECT doc_id, 'grand_total' AS key, s AS value, 'column' AS source FROM s WHERE doc_id % 3 = 0
+        UNION ALL SELECT doc_id, unnest(['subtotal', 'tax_amount', 'grand_total']), unnest([s, 5.0, s + 5]), 'totals' FROM s WHERE doc_id % 3 > 0""",
 }
