@@ -39,25 +39,36 @@ def number_after_label(c: Column) -> Column:
     return _double(F.regexp_replace(F.regexp_extract(text, r"(?U)(-?\d[\d,٬\s]*(?:\.\d+)?)", 1), r"(?U)[\s,٬]", ""))
 
 
+def _bound(value: Column, of) -> Column:  # noqa: ANN001
+    """``of(value)`` with the value computed once, however often ``of`` names it: generated code stays short."""
+    return F.transform(F.array(value), of)[0]
+
+
 def grouped_legally(digits: Column) -> Column:
     """Groups of three, or, South-Asian, of two before the last three; the first of one to three."""
-    groups = F.split(digits, r"(?U)[,٬\s]")
-    rest = F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0)))
-    middle = F.slice(groups, 2, F.greatest(F.size(groups) - 2, F.lit(0)))
-    threes = F.forall(rest, lambda g: F.length(g) == 3)
-    pairs = (F.length(F.try_element_at(groups, F.lit(-1))) == 3) & F.forall(middle, lambda g: F.length(g) == 2)
-    return (F.size(groups) == 1) | (F.length(groups[0]).between(1, 3) & (threes | pairs))
+
+    def legal(groups: Column) -> Column:
+        rest = F.slice(groups, 2, F.greatest(F.size(groups) - 1, F.lit(0)))
+        middle = F.slice(groups, 2, F.greatest(F.size(groups) - 2, F.lit(0)))
+        threes = F.forall(rest, lambda g: F.length(g) == 3)
+        pairs = (F.length(F.try_element_at(groups, F.lit(-1))) == 3) & F.forall(middle, lambda g: F.length(g) == 2)
+        return (F.size(groups) == 1) | (F.length(groups[0]).between(1, 3) & (threes | pairs))
+
+    return _bound(F.split(digits, r"(?U)[,٬\s]"), legal)
 
 
 def numeric_cell(c: Column) -> Column:
     """The value of a cell that is one figure, with a currency or percent sign perhaps; else null. Signs
     and brackets do not negate."""
+
+    def value(figure: Column) -> Column:
+        number = F.translate(F.regexp_replace(figure, r"(?U)[,٬\s]", ""), "٫", ".").try_cast("double")
+        simple = figure.rlike(r"^\d*(?:\.\d+)?$")  # most figures have no groups to look at
+        return F.when(figure != "", F.when(simple | grouped_legally(F.split(figure, "[.٫]")[0]), number))
+
     body = western_digits(_trim(F.coalesce(c, F.lit(""))))
-    figure = F.regexp_extract(body, MONEY, 1)
-    whole = F.split(figure, "[.٫]")[0]
-    value = F.translate(F.regexp_replace(figure, r"(?U)[,٬\s]", ""), "٫", ".").try_cast("double")
-    plain = F.when(c.rlike(r"^[0-9]{1,15}(?:\.[0-9]{1,9})?$"), c.try_cast("double"))  # most figures; the value below is the same
-    return plain.when(c.rlike(r"(?U)\d"), F.when((figure != "") & grouped_legally(whole), value))
+    plain = F.when(c.rlike(r"^[0-9]{1,15}(?:\.[0-9]{1,9})?$"), c.try_cast("double"))  # most cells; the value below is the same
+    return plain.when(c.rlike(r"(?U)\d"), _bound(F.regexp_extract(body, MONEY, 1), value))
 
 
 def percent_aware(c: Column) -> Column:
