@@ -58,9 +58,9 @@ def semantic_headings(cells: DataFrame, headings: DataFrame, by: list[str]) -> D
     whole = F.when(F.trim("text").rlike(r"^\d{1,9}$"), F.trim("text").try_cast("long"))
     rows = cells.where(F.trim("text") != "").withColumn("_v", whole).withColumn("_up", F.col("_v") == F.lag("_v").over(w) + 1)
     email, phone = F.trim("text").rlike(f"(?i)^{EMAIL[4:]}$"), F.col("text").rlike(r"^\s*\+?\d[\d ()-]{6,}\d\s*$") & ~F.col("text").rlike(r"^\s*\d{1,6}\s*$")
-    stats = rows.groupBy(*by, "c").agg(F.avg(email.cast("double")).alias("e"), F.avg(phone.cast("double")).alias("p"), F.count_if("_up").alias("u"), F.count(F.lit(1)).alias("n"))
-    named = F.when(F.col("e") >= 0.65, "email").when(F.col("p") >= 0.65, "phone").when((F.col("n") >= 3) & (F.col("u") >= 0.8 * (F.col("n") - 1)), "row_number")
-    return headings.join(stats, [*by, "c"], "left").withColumn("heading", F.coalesce(named, "heading")).drop("e", "p", "u", "n")
+    stats = rows.groupBy(*by, "c").agg(F.avg(email.cast("double")).alias("_e"), F.avg(phone.cast("double")).alias("_p"), F.count_if("_up").alias("_u"), F.count(F.lit(1)).alias("_n"))
+    named = F.when(F.col("_e") >= 0.65, "email").when(F.col("_p") >= 0.65, "phone").when((F.col("_n") >= 3) & (F.col("_u") >= 0.8 * (F.col("_n") - 1)), "row_number")
+    return headings.join(stats, [*by, "c"], "left").withColumn("heading", F.coalesce(named, "heading")).drop("_e", "_p", "_u", "_n")
 
 
 def number_columns(cells: DataFrame, columns: DataFrame, by: list[str], share: float = 0.8) -> DataFrame:

@@ -198,6 +198,8 @@ def free_items(lines: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
     known = items.groupBy(*by).agg(F.count(F.lit(1)).alias("_known"))
     short = clean.join(known, by, "left").withColumn("_known", F.coalesce("_known", F.lit(0))).where("_known < 4")
     barred = fold_many(short, by, ["line_no"], ["text", "_known"], start, _barred, lambda state: [], f"at long, {_ITEM}")
+    same = items.select(*by, F.lower("description").alias("_d")).distinct()
+    barred = barred.withColumn("_d", F.lower("description")).join(same, [*by, "_d"], "left_anti").drop("_d")  # what has been read already
     more = barred.join(known, by, "left").select(*by, (F.coalesce("_known", F.lit(0)) + F.col("at")).cast("int").alias("item_no"), *fields)
     items = items.select(*by, "item_no", *fields).unionByName(more)
     made = F.col("qty") * F.col("unit_price")
