@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vocab import DIRTY, PAGE_TOKENS
 from ..operators import assembly, choices, free_items, layout, pages, ruled, word_tables
+from ..sources import formulas
 from .invoices import _N, _lines
 from .tables import table
 
@@ -232,10 +233,32 @@ def payload_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.payload(_documents(spark, sf_dir)).totals
 
 
-QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids, "payload_items": payload_items, "payload_header": payload_header, "payload_totals": payload_totals}
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as sheets: a group heading above the second item, totals as the order number says: none, a grand total, all with a
+    tax rate, or with a discount; every fifth price is missing, and the totals of every seventh part are doubtful."""
+    li = _orders_lines(spark, sf_dir)
+    price = (F.col("l_partkey") % 900 + 101).cast("double")
+    items = li.select("l_orderkey", F.col("n").alias("item_no"), F.when(F.col("n") == 2, "Second group").alias("section"), F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("what"), F.col("l_quantity").alias("amount"), F.when(F.col("l_partkey") % 5 > 0, price).alias("price"), (price * F.col("l_quantity") + 1).alias("sum"), F.when(F.col("l_partkey") % 7 == 0, F.array(F.lit("sum"))).alias("review"))
+    way, some = F.col("l_orderkey") % 4, lambda test, v: F.when(test, F.lit(v))
+    totals = li.select("l_orderkey").distinct().select("l_orderkey", some(way >= 2, 50.0).alias("subtotal"), some(way == 3, -4.0).alias("discount"), some(way == 2, 6.0).alias("tax_amount"), some(way >= 1, 99.0).alias("grand_total"), F.lit(None).cast("double").alias("amount_paid"), some(way == 2, 0.25).alias("tax_rate"))
+    return formulas.document_sheet(items, totals, ["l_orderkey"], (("what", "description"), ("amount", "qty"), ("price", "unit_price"), ("sum", "line_total")))
+
+
+def sheet_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sheet(spark, sf_dir)
+
+
+def sheet_review_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formulas.cells_to_review(_sheet(spark, sf_dir), ["l_orderkey"])
+
+
+QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids, "payload_items": payload_items, "payload_header": payload_header, "payload_totals": payload_totals, "sheet_formulas": sheet_formulas, "sheet_review_cells": sheet_review_cells}
 
 _K = f"k AS (SELECT *, CAST({_N} AS INTEGER) AS n, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem)"
 
+_SHEET = f"""{_K}, i AS (SELECT l_orderkey, n, k, n + 1 + CASE WHEN n >= 2 THEN 1 ELSE 0 END AS r, l_partkey, l_quantity AS q, CASE WHEN l_partkey % 5 > 0 THEN CAST(l_partkey % 900 + 101 AS DOUBLE) END AS p,
+        (l_partkey % 900 + 101) * l_quantity + 1 AS s, l_partkey % 7 = 0 AS odd FROM k)"""
+
 ORACLES = {
     # where every row is ruled, rules are many from four items on; else rows end half-way between lines of text
     "ruled_grid_rows": f"""
@@ -323,4 +346,25 @@ ORACLES = {
         WITH s AS (SELECT l_orderkey AS doc_id, CAST(sum((l_partkey % 900 + 101) * CAST(l_quantity AS BIGINT)) AS DOUBLE) AS s FROM lineitem GROUP BY 1)
         SELECT doc_id, 'grand_total' AS key, s AS value, 'column' AS source FROM s WHERE doc_id % 3 = 0
         UNION ALL SELECT doc_id, unnest(['subtotal', 'tax_amount', 'grand_total']), unnest([s, 5.0, s + 5]), 'totals' FROM s WHERE doc_id % 3 > 0""",
+    "sheet_formulas": f"""
+        WITH {_SHEET}, x AS (SELECT *, CAST(r AS VARCHAR) AS a FROM i),
+        c AS (SELECT l_orderkey, 'item' AS kind, r AS "row", 1 AS "column", 'A' || a AS address, 'part ' || CAST(l_partkey AS VARCHAR) AS text, NULL AS formula, CAST(NULL AS DOUBLE) AS result, NULL AS note, false AS review FROM x
+              UNION ALL SELECT l_orderkey, 'item', r, 2, 'B' || a, NULL, NULL, q, NULL, odd AND p IS NOT NULL FROM x
+              UNION ALL SELECT l_orderkey, 'item', r, 3, 'C' || a, NULL, NULL, p, NULL, false FROM x
+              UNION ALL SELECT l_orderkey, 'item', r, 4, 'D' || a, NULL, CASE WHEN p IS NOT NULL THEN '=B' || a || '*C' || a END, CASE WHEN p IS NOT NULL THEN q * p ELSE s END, CASE WHEN p IS NOT NULL THEN 'read: ' || format('{{:,.2f}}', s) END, odd AND p IS NULL FROM x
+              UNION ALL SELECT l_orderkey, 'group', 3, 1, 'A3', 'Second group', NULL, NULL, NULL, false FROM x WHERE n = 2),
+        o AS (SELECT l_orderkey, l_orderkey % 4 AS way, max(r) AS last_, sum(CASE WHEN p IS NOT NULL THEN q * p ELSE s END) AS total FROM i GROUP BY 1),
+        -- what is written below the items, in order: key, place, formula, result, what was read
+        t AS (SELECT l_orderkey, last_ + 1 AS r, CASE WHEN way = 0 THEN 'computed_total' ELSE 'subtotal' END AS k, '=SUM(D2:D' || CAST(last_ AS VARCHAR) || ')' AS f, total AS v, CASE WHEN way > 0 THEN 'read: 50.00' END AS note FROM o WHERE way <> 1
+              UNION ALL SELECT l_orderkey, last_ + 2, 'tax_amount', '=D' || CAST(last_ + 1 AS VARCHAR) || '*0.25', total * 0.25, 'read: 6.00' FROM o WHERE way = 2
+              UNION ALL SELECT l_orderkey, last_ + 2, 'discount', NULL, -4.0, NULL FROM o WHERE way = 3
+              UNION ALL SELECT l_orderkey, last_ + 1, 'grand_total', NULL, 99.0, NULL FROM o WHERE way = 1
+              UNION ALL SELECT l_orderkey, last_ + 3, 'grand_total', '=D' || CAST(last_ + 1 AS VARCHAR) || CASE way WHEN 2 THEN '+D' || CAST(last_ + 2 AS VARCHAR) ELSE '-ABS(D' || CAST(last_ + 2 AS VARCHAR) || ')' END, CASE way WHEN 2 THEN total * 1.25 ELSE total - 4 END, 'read: 99.00' FROM o WHERE way >= 2)
+        SELECT l_orderkey, kind, CAST("row" AS INTEGER) AS "row", "column", address, text, formula, result, note, review FROM c
+        UNION ALL SELECT l_orderkey, 'label', CAST(r AS INTEGER), 3, 'C' || CAST(r AS VARCHAR), k, NULL, NULL, NULL, false FROM t
+        UNION ALL SELECT l_orderkey, 'total', CAST(r AS INTEGER), 4, 'D' || CAST(r AS VARCHAR), NULL, f, CAST(v AS DOUBLE), note, false FROM t""",
+    # a doubtful line total that is a formula is mended at its quantity
+    "sheet_review_cells": f"""
+        WITH {_SHEET} SELECT l_orderkey, CAST(r AS INTEGER) AS "row", CASE WHEN p IS NULL THEN 4 ELSE 2 END AS "column", CASE WHEN p IS NULL THEN 'D' ELSE 'B' END || CAST(r AS VARCHAR) AS address,
+               format('{{:,.2f}}', CASE WHEN p IS NULL THEN s ELSE q END) AS value FROM i WHERE odd""",
 }
