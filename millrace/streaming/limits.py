@@ -2,15 +2,22 @@
 
 Over a table they are folds of each key's events in order; over a stream the same step runs with a
 key's state. A key's state is small: the times of the accepted hits within the window, or a count and a time.
+
+A stream with a ``delay`` is taken in the order of its events, whatever batches they come in: events wait in their key's state until
+the watermark has passed them, so the result is that of the table, without events later than the delay. A state goes
+when the watermark has passed what it may still decide: the window behind the last hit, or the end of a lock with no failure open.
+Without a delay batches are trusted to come in order, events are answered at once, and states stay.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.folds import fold_rows
@@ -20,6 +27,36 @@ MOST, WINDOW_MS = 5, 3_600_000
 FAILURES, LOCK_MS = 5, 900_000
 
 
+def in_order(events: DataFrame, columns: list[str], out: str, start: Callable[[], Any], step: Callable[..., tuple], over: Callable[[Any], int | None], delay: str) -> DataFrame:
+    """A fold of each key's events of a stream in the order of ms, event_id: ``columns`` (event_id and ms first, then what ``step``
+    needs after the state and ms) and ``out`` (names and types). ``over(state)`` tells when a state is of no more use,
+    None: never. States are JSON."""
+    workers_import(events.sparkSession)
+    names = ["key", *columns, *(x.split()[0] for x in out.split(", "))]
+    schema = ", ".join([*(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in ("key", *columns)), out])
+
+    def run(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        own, held = json.loads(state.get[0]) if state.exists else (start(), [])
+        for batch in batches:
+            held += batch[columns].astype(object).to_numpy().tolist()
+        held.sort(key=lambda r: (r[1], r[0]))
+        water = state.getCurrentWatermarkMs()
+        ready = [r for r in held if r[1] <= water]
+        held = held[len(ready) :]
+        made = [(*key, *r, *step(own, *r[1:])) for r in ready]
+        until = held[0][1] if held else over(own)
+        if not held and until is not None and until <= water:
+            state.remove()
+        else:
+            state.update((json.dumps([own, held]),))
+            if until is not None:
+                state.setTimeoutTimestamp(max(int(until), water + 1))
+        yield pd.DataFrame(made, columns=names)
+
+    timed = events.select("key", *columns, F.timestamp_millis("ms").alias("_at")).withWatermark("_at", delay)
+    return timed.groupBy("key").applyInPandasWithState(run, schema, "state string", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def take(hits: list[int], ms: int, most: int, window_ms: int) -> bool:
     """Accept a hit if fewer than ``most`` were accepted within the window; a refused hit is not recorded."""
     hits[:] = [t for t in hits if t > ms - window_ms]
@@ -35,8 +72,12 @@ def rate_limited(events: DataFrame, most: int = MOST, window_ms: int = WINDOW_MS
     return fold_rows(rows, ["key"], ["ms", "event_id"], ["ms"], list, lambda hits, ms: (take(hits, int(ms), most, window_ms),), "accepted boolean")
 
 
-def rate_limited_stream(events: DataFrame, most: int = MOST, window_ms: int = WINDOW_MS) -> DataFrame:
-    """The same over a stream: a key's accepted hits are its state. Hits of a key within a batch are taken in order."""
+def rate_limited_stream(events: DataFrame, most: int = MOST, window_ms: int = WINDOW_MS, delay: str | None = None) -> DataFrame:
+    """The same over a stream: a key's accepted hits are its state. Hits of a key within a batch are taken in order, with a
+    ``delay`` (as of a watermark) those of all batches."""
+    if delay is not None:
+        over = lambda hits: max(hits, default=-(1 << 62)) + window_ms
+        return in_order(events, ["event_id", "ms"], "accepted boolean", list, lambda hits, ms: (take(hits, int(ms), most, window_ms),), over, delay)
     workers_import(events.sparkSession)
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -72,8 +113,13 @@ def lockouts(events: DataFrame, failures: int = FAILURES, lock_ms: int = LOCK_MS
     return fold_rows(rows, ["key"], ["ms", "event_id"], ["ms", "failed"], _unlocked, step, "locked boolean, count int")
 
 
-def lockouts_stream(events: DataFrame, failures: int = FAILURES, lock_ms: int = LOCK_MS) -> DataFrame:
-    """The same over a stream: a key's failures in a row and the end of its lock are its state."""
+def lockouts_stream(events: DataFrame, failures: int = FAILURES, lock_ms: int = LOCK_MS, delay: str | None = None) -> DataFrame:
+    """The same over a stream: a key's failures in a row and the end of its lock are its state; ``delay`` as in
+    ``rate_limited_stream``."""
+    if delay is not None:
+        over = lambda own: own["until"] if own["count"] == 0 else None
+        step = lambda own, ms, failed: attempt(own, int(ms), bool(failed), failures, lock_ms)
+        return in_order(events, ["event_id", "ms", "failed"], "locked boolean, count int", _unlocked, step, over, delay)
     workers_import(events.sparkSession)
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

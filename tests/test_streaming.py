@@ -1,4 +1,6 @@
 import json
+import os
+import random
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -63,3 +65,44 @@ def test_folds_carry_a_key_over_batches(spark):
     want = [limits.take(hits.setdefault(i % 7 if i % 3 == 0 else None, []), i, 2, 1000) for i in range(n)]
     assert got["accepted"].tolist() == want
     assert limits.lockouts(events.limit(0).withColumn("failed", F.lit(True))).count() == 0
+
+
+def ordered(spark, tmp_path, name, batches, stream, schema):
+    """What a stream gives whose batches come one by one, and the states that are left."""
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(batches):
+        path = tmp_path / "in" / f"{i:03d}.json"
+        rows.to_json(path, orient="records", lines=True)
+        os.utime(path, (1_000_000 + i, 1_000_000 + i))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    query = stream(events).writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    query.awaitTermination()
+    return spark.table(name).collect(), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def mixed(n, keys, late):
+    """Events whose order in the batches differs from their time by less than ``late`` ms, and a last one of another key."""
+    rng = random.Random(n)
+    rows = [{"key": rng.randint(1, keys), "event_id": i, "ms": 100_000 + 20 * i, "failed": rng.random() < 0.7} for i in range(n)]
+    shuffled = sorted(rows, key=lambda r: r["ms"] + rng.uniform(0, late))
+    end = [{"key": 99, "event_id": n + k, "ms": 10_000_000 + 1_000_000 * k, "failed": False} for k in range(2)]
+    cut = len(rows) // 4
+    parts = [shuffled[i : i + cut] for i in range(0, n, cut)] + [[e] for e in end]
+    return pd.DataFrame(rows), [pd.DataFrame(p) for p in parts]
+
+
+def test_limits_of_late_and_mixed_batches_equal_the_table(spark, tmp_path):
+    table, batches = mixed(80, 3, 300)
+    got, left = ordered(spark, tmp_path, "ordered_limits", batches, lambda e: limits.rate_limited_stream(e, 2, 200, delay="1 second"), "key long, event_id long, ms long")
+    want = limits.rate_limited(spark.createDataFrame(table), 2, 200).collect()
+    assert sorted((r.event_id, r.accepted) for r in got if r.key < 99) == sorted((r.event_id, r.accepted) for r in want)
+    assert 0 < sum(not r.accepted for r in want) < 80 and left <= 1  # the keys' states are gone, but for the last event's
+
+
+def test_lockouts_of_late_and_mixed_batches_equal_the_table(spark, tmp_path):
+    table, batches = mixed(80, 3, 300)
+    got, left = ordered(spark, tmp_path, "ordered_locks", batches, lambda e: limits.lockouts_stream(e, 3, 150, delay="1 second"), "key long, event_id long, ms long, failed boolean")
+    want = limits.lockouts(spark.createDataFrame(table), 3, 150).collect()
+    as_rows = lambda rows: sorted((r.event_id, r.locked, r["count"]) for r in rows if r.key < 99)
+    open_ = {r.key: r["count"] for r in sorted(want, key=lambda r: r.event_id)}
+    assert as_rows(got) == as_rows(want) and any(r.locked for r in want) and left <= 1 + sum(c > 0 for c in open_.values())
