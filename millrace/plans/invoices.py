@@ -205,10 +205,11 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An order's lines in pages of three; every second page states the order."""
-    li = _lines(spark, sf_dir)
+    """A customer's orders as one file, three lines a page; every second page states the order."""
+    of = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("source"))
+    li = _lines(spark, sf_dir).join(of, "l_orderkey")
     page = F.floor((F.col("n") - 1) / 3)
-    pages = li.groupBy((F.col("l_orderkey") % 400).alias("source"), "l_orderkey", page.alias("p")).agg(F.count(F.lit(1)).cast("int").alias("n_items"))
+    pages = li.groupBy("source", "l_orderkey", page.alias("p")).agg(F.count(F.lit(1)).cast("int").alias("n_items"))
     pages = pages.select(F.col("source").cast("string").alias("source"), (F.col("l_orderkey") * 1000 + F.col("p")).alias("page"), F.when(F.col("p") % 2 == 0, F.col("l_orderkey").cast("string")).alias("order_id"), F.array(F.lit("part"), F.lit("amount")).alias("columns"), "n_items")
     return documents.merge_pages(pages).select("source", "page", "doc_no")
 
@@ -307,7 +308,7 @@ ORACLES = {
         SELECT page_id, CAST(length(trim(t, ' ' || chr(10))) AS INTEGER) AS n_chars, sha256(trim(t, ' ' || chr(10))) AS text_sha256 FROM c""",
     "merge_pages": f"""
         WITH l AS (SELECT l_orderkey, {_N} AS n FROM lineitem), p AS (SELECT DISTINCT l_orderkey, CAST(floor((n - 1) / 3) AS BIGINT) AS p FROM l)
-        SELECT CAST(l_orderkey % 400 AS VARCHAR) AS source, l_orderkey * 1000 + p AS page, CAST(dense_rank() OVER (PARTITION BY l_orderkey % 400 ORDER BY l_orderkey) - 1 AS INTEGER) AS doc_no FROM p""",
+        SELECT CAST(o_custkey AS VARCHAR) AS source, l_orderkey * 1000 + p AS page, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY l_orderkey) - 1 AS INTEGER) AS doc_no FROM p JOIN orders ON o_orderkey = l_orderkey""",
     "section_fill": f"WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n FROM lineitem) SELECT l_orderkey, n, 'S' || CAST(n - (n - 1) % 4 AS VARCHAR) AS section FROM l",
     "sequence_repair": f"""
         WITH l AS (SELECT l_orderkey, CAST({_N} AS INTEGER) AS n, l_partkey FROM lineitem), m AS (SELECT *, (l_partkey + n) % 9 = 0 AS bad FROM l),

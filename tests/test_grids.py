@@ -256,3 +256,15 @@ def test_payload_of_three_tables(spark):
     header = {r.key: (r.value, r.source) for r in got.header.where("doc_id = 1").collect()}
     assert header["invoice_number"] == ("A-7", "table") and "supplier" not in header  # a fragment is no name
     assert {(r.block_idx, r.kind) for r in got.grids.collect()} == {(1, "items"), (2, "more"), (3, "totals"), (4, "other")}
+
+
+def test_medians_from_bins_equal_sorting(spark):
+    from millrace.operators import headers
+
+    rng = random.Random(6)
+    given = [(k, str(rng.choice([rng.randint(-50, 50), round(rng.uniform(0, 1e6), 2), 7]))) for k in ("a", "b", None) for _ in range(201 if k else 40)] + [("c", "word"), ("d", "")]
+    got = {r.k: r.upper_median for r in headers.column_stats(spark.createDataFrame(given, "k string, text string"), ["k"]).collect()}
+    for key in ("a", "b", None):
+        values = sorted(abs(float(t)) for k, t in given if k == key)  # a cell's sign does not count
+        assert got[key] == pytest.approx(values[len(values) // 2])
+    assert got["c"] == 0.0 and "d" not in got
