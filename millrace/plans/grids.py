@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text
 from ..functions.vocab import DIRTY, PAGE_TOKENS
-from ..operators import assembly, choices, free_items, layout, pages, ruled, word_tables
-from ..sources import formulas
+from ..operators import accounts, assembly, choices, free_items, layout, pages, ruled, word_tables
+from ..session import workers_import
+from ..sources import files, formulas
 from .invoices import _N, _lines
 from .tables import table
 
@@ -252,7 +254,117 @@ def sheet_review_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formulas.cells_to_review(_sheet(spark, sf_dir), ["l_orderkey"])
 
 
-QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids, "payload_items": payload_items, "payload_header": payload_header, "payload_totals": payload_totals, "sheet_formulas": sheet_formulas, "sheet_review_cells": sheet_review_cells}
+def mapped_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders' tables with detected grids of three columns. The grid of every third order lies beside its words, and that of every
+    third one has as many rows without words as with them and two more."""
+    li = _orders_lines(spark, sf_dir)
+    way, y = F.col("l_orderkey") % 3, 30 * F.col("n")
+    head = [_word(i, x, 6, t) for i, (x, t) in enumerate(((10, "Part"), (150, "Supplier"), (300, "Amount")))]
+    item = F.array(_word(0, 10, y + 6, F.col("l_partkey")), _word(1, 150, y + 6, F.col("l_suppkey")), _word(2, 300, y + 6, F.format_string("%.2f", "l_extendedprice")))
+    words = li.select("l_orderkey", "n", F.explode(item).alias("w")).unionByName(li.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("n"), F.explode(F.array(*head)).alias("w")))
+    words = words.select("l_orderkey", (F.col("n") * 3 + F.col("w.word_idx")).alias("word_idx"), *[f"w.{c}" for c in ("text", "conf", "x0", "x1", "y0", "y1")])
+    page = li.select("l_orderkey", "k").distinct()
+    many = F.when(way == 2, 2 * F.col("k") + 3).otherwise(F.col("k"))
+    cells = page.select("l_orderkey", F.explode(F.sequence(F.lit(0).cast("long"), many)).alias("r")).select("l_orderkey", "r", F.explode(F.array(*[F.lit(c) for c in range(3)])).alias("c"))
+    left = 145.0 * F.col("c") + F.when(way == 1, 2000.0).otherwise(0.0)
+    cells = cells.select("l_orderkey", F.col("r").cast("int").alias("r"), "c", left.alias("x0"), (left + 140).alias("x1"), (30.0 * F.col("r")).alias("y0"), (30.0 * F.col("r") + 25).alias("y1"))
+    return ruled.mapped_tables(words, cells, ["l_orderkey"])
+
+
+def _zipped(rows: DataFrame, suffix: str, parts) -> DataFrame:  # noqa: ANN001
+    """rows (path, lines: array of arrays of texts) as files: path, suffix, content, zipped in the tasks that have them."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for batch in batches:
+            made = []
+            for lines in batch["lines"]:
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for name, body in parts([list(x) for x in lines]).items():
+                        z.writestr(name, body)
+                made.append(out.getvalue())
+            yield pd.DataFrame({"path": batch["path"], "suffix": suffix, "content": made})
+
+    workers_import(rows.sparkSession)
+    return rows.mapInPandas(run, "path string, suffix string, content binary")
+
+
+def _workbook(lines: list[list[str]]) -> dict[str, str]:
+    """The parts of a workbook of two sheets: odd lines with shared texts, even ones with texts of their own."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    shared = sorted({c for i, line in enumerate(lines) if i % 2 for c in line})
+    cell = lambda i, j, c: f'<c r="{"ABC"[j]}{i + 1}" t="s"><v>{shared.index(c)}</v></c>' if i % 2 else f'<c r="{"ABC"[j]}{i + 1}" t="inlineStr"><is><t>{c}</t></is></c>'
+    rows = "".join(f'<row r="{i + 1}">{"".join(cell(i, j, c) for j, c in enumerate(line))}</row>' for i, line in enumerate(lines))
+    sheet = lambda body: f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>'
+    names = "".join(f'<sheet name="{n}" sheetId="{i}" r:id="r{i}"/>' for i, n in ((1, "Data"), (2, "Notes")))
+    links = "".join(f'<Relationship Id="r{i}" Target="worksheets/sheet{i}.xml"/>' for i in (1, 2))
+    return {
+        "xl/workbook.xml": f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>{names}</sheets></workbook>',
+        "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{links}</Relationships>',
+        "xl/sharedStrings.xml": f'<sst xmlns="{main}">{"".join(f"<si><t>{c}</t></si>" for c in shared)}</sst>',
+        "xl/worksheets/sheet1.xml": sheet(rows), "xl/worksheets/sheet2.xml": sheet('<row r="3"><c r="B3"><v>4.5</v></c></row>'),
+    }
+
+
+def _letter(lines: list[list[str]]) -> dict[str, str]:
+    """A document of a paragraph and a table."""
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    said = lambda t: f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>"
+    rows = "".join(f"<w:tr>{''.join(f'<w:tc>{said(c)}</w:tc>' for c in line)}</w:tr>" for line in lines)
+    return {"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{said("Dear customers")}<w:p/><w:tbl>{rows}</w:tbl></w:body></w:document>'}
+
+
+def _customer_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by hundreds of their numbers, a file each."""
+    c = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 100).alias("f"), "c_custkey", F.array(F.col("c_custkey").cast("string"), "c_name", F.format_string("%.2f", "c_acctbal")).alias("line"))
+    return c.groupBy(F.concat(F.lit("file-"), F.col("f").cast("string")).alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "line"))), lambda x: x["line"]).alias("lines"))
+
+
+def workbook_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.sheets(_zipped(_customer_files(spark, sf_dir), "xlsx", _workbook))
+    return found.select("source", "sheet", "sheet_idx", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
+def office_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = files.office(_zipped(_customer_files(spark, sf_dir), "docx", _letter))
+    return found.select("source", "kind", "row_idx", F.array_join("cells", "|").alias("cells"))
+
+
+def direction_majority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers' documents: a page for each line, Arabic where the part number is divisible by two."""
+    li = table(spark, sf_dir, "lineitem")
+    page = F.when(F.col("l_partkey") % 2 == 0, "فاتورة رقم").otherwise("Invoice No")
+    return layout.page_direction(li.select("l_suppkey", (text.direction(page) == "rtl").alias("rtl")), ["l_suppkey"])
+
+
+def plan_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands of parts as plans, active where the last part of the brand is even, in the order in which they are shown; the seed is
+    for a table without plans."""
+    p = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("slug")).agg(F.max("p_partkey").alias("_k"))
+    plans = p.select("slug", (F.col("_k") % 2 == 0).alias("active"), (F.col("_k") % 5).cast("int").alias("sort_order"), F.col("_k").cast("double").alias("price"))
+    seed = plans.limit(0).unionByName(plans.sparkSession.createDataFrame([("free", True, 0, 0.0)], plans.schema))
+    shown = accounts.active_plans(accounts.seed_plans(plans, seed)).select("slug", "sort_order", "price")
+    return shown.unionByName(accounts.seed_plans(plans.limit(0), seed).select("slug", "sort_order", "price"))
+
+
+def stacked_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order's blocks on one sheet, all as wide as the widest: a title, its items (as many columns as its number says), a note."""
+    li = _orders_lines(spark, sf_dir)
+    cells = F.slice(F.array(F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), F.lit("x"), F.lit("y")), F.lit(1), (F.col("l_orderkey") % 4 + 1).cast("int"))
+    items = li.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", cells.alias("c")))), lambda x: x["c"]).alias("rows"))
+    one = lambda i, t: items.select("l_orderkey", F.lit(i).alias("block_idx"), F.array(F.array(F.lit(t))).alias("rows"))
+    blocks = one(0, "Title").unionByName(items.select("l_orderkey", F.lit(1).alias("block_idx"), "rows")).unionByName(one(2, "Note"))
+    found = assembly.sheet_rows(blocks.withColumnRenamed("l_orderkey", "doc_id"))
+    return found.select("doc_id", "row", F.size("cells").alias("width"), F.array_join("cells", "|").alias("cells"))
+
+
+QUERIES = {"ruled_grid_rows": ruled_grid_rows, "headed_word_tables": headed_word_tables, "chosen_readings": chosen_readings, "chosen_cells": chosen_cells, "best_page_readings": best_page_readings, "best_cell_readings": best_cell_readings, "layout_regions": layout_regions, "layout_cells": layout_cells, "free_text_items": free_text_items, "free_text_totals": free_text_totals, "even_grid_rows": even_grid_rows, "modal_grids": modal_grids, "payload_items": payload_items, "payload_header": payload_header, "payload_totals": payload_totals, "sheet_formulas": sheet_formulas, "sheet_review_cells": sheet_review_cells, "mapped_grids": mapped_grids, "workbook_rows": workbook_rows, "office_rows": office_rows, "direction_majority": direction_majority, "plan_lifecycle": plan_lifecycle, "stacked_sheets": stacked_sheets}
 
 _K = f"k AS (SELECT *, CAST({_N} AS INTEGER) AS n, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem)"
 
@@ -367,4 +479,20 @@ ORACLES = {
     "sheet_review_cells": f"""
         WITH {_SHEET} SELECT l_orderkey, CAST(r AS INTEGER) AS "row", CASE WHEN p IS NULL THEN 4 ELSE 2 END AS "column", CASE WHEN p IS NULL THEN 'D' ELSE 'B' END || CAST(r AS VARCHAR) AS address,
                format('{{:,.2f}}', CASE WHEN p IS NULL THEN s ELSE q END) AS value FROM i WHERE odd""",
+    # a grid beside its words has none inside; one with more than 0.45 of its rows empty does not cover the table
+    "mapped_grids": f"""
+        WITH {_K}, w AS (SELECT l_orderkey, n AS r, [CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), printf('%.2f', l_extendedprice)] AS t FROM k UNION ALL SELECT DISTINCT l_orderkey, 0, ['Part', 'Supplier', 'Amount'] FROM k)
+        SELECT l_orderkey, CASE WHEN l_orderkey % 3 = 0 THEN 'grid' ELSE 'words' END AS way, CAST(r AS INTEGER) AS r, i AS c, t[i + 1] AS text FROM w, (SELECT CAST(unnest(range(3)) AS INTEGER) AS i)""",
+    "workbook_rows": """
+        WITH c AS (SELECT 'file-' || CAST(c_custkey // 100 AS VARCHAR) AS source, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) - 1 AS i, CAST(c_custkey AS VARCHAR) || '|' || c_name || '|' || printf('%.2f', c_acctbal) AS cells FROM customer)
+        SELECT source, 'Data' AS sheet, 0 AS sheet_idx, i AS row_idx, cells FROM c UNION ALL SELECT DISTINCT source, 'Notes', 1, 2, '|4.5' FROM c""",
+    "office_rows": """
+        WITH c AS (SELECT 'file-' || CAST(c_custkey // 100 AS VARCHAR) AS source, row_number() OVER (PARTITION BY c_custkey // 100 ORDER BY c_custkey) AS i, CAST(c_custkey AS VARCHAR) || '|' || c_name || '|' || printf('%.2f', c_acctbal) AS cells FROM customer)
+        SELECT source, 'table' AS kind, i AS row_idx, cells FROM c UNION ALL SELECT DISTINCT source, 'text', 0, 'Dear customers' FROM c""",
+    "direction_majority": "SELECT l_suppkey, CASE WHEN avg(CASE WHEN l_partkey % 2 = 0 THEN 1.0 ELSE 0.0 END) > 0.5 THEN 'rtl' ELSE 'ltr' END AS direction FROM lineitem GROUP BY 1",
+    "plan_lifecycle": "SELECT p_brand AS slug, CAST(max(p_partkey) % 5 AS INTEGER) AS sort_order, CAST(max(p_partkey) AS DOUBLE) AS price FROM part GROUP BY 1 HAVING max(p_partkey) % 2 = 0 UNION ALL SELECT 'free', 0, 0.0",
+    "stacked_sheets": f"""
+        WITH {_K}, b AS (SELECT l_orderkey, max(k) AS k, greatest(2, l_orderkey % 4 + 1) AS w FROM k GROUP BY 1),
+        r AS (SELECT l_orderkey, 0 AS "row", ['Title'] AS t FROM b UNION ALL SELECT l_orderkey, n + 1, list_slice([CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), 'x', 'y'], 1, l_orderkey % 4 + 1) FROM k UNION ALL SELECT l_orderkey, k + 3, ['Note'] FROM b)
+        SELECT l_orderkey AS doc_id, CAST("row" AS BIGINT) AS "row", CAST(w AS INTEGER) AS width, array_to_string(list_resize(t, w, ''), '|') AS cells FROM r JOIN b USING (l_orderkey)""",
 }
