@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import DATE_FIELD, EASTERN_DIGITS, ID_FIELD, NUMBER_FIELD, WESTERN_DIGITS
+from .vocab import DATE_FIELD, EASTERN_DIGITS, ID_FIELD, LABEL_VALUE, NUMBER_FIELD, WESTERN_DIGITS
 
 _SPACE = r"(?U)\s+"
 
@@ -102,13 +102,10 @@ def direction(c: Column, threshold: float = 0.5) -> Column:
     return F.when(arabic_share(c) > threshold, "rtl").otherwise("ltr")
 
 
-_LABEL = r"(?sU)^\s*([^:：\n]{2,40}?)\s*[:：]\s*(.+?)\s*$"
-
-
 def split_pair(c: Column) -> Column:
     """(label, value) of one "label: value"; null if it is none, or a clock time."""
-    label, value = F.regexp_extract(c, _LABEL, 1), F.regexp_extract(c, _LABEL, 2)
-    good = c.rlike(_LABEL) & label.rlike(r"\p{L}") & ~c.rlike(r"\d:\d")
+    label, value = F.regexp_extract(c, LABEL_VALUE, 1), F.regexp_extract(c, LABEL_VALUE, 2)
+    good = c.rlike(LABEL_VALUE) & label.rlike(r"\p{L}") & ~c.rlike(r"\d:\d")
     return F.when(good, F.struct(label.alias("label"), value.alias("value")))
 
 

@@ -191,14 +191,19 @@ def aligned_table(words: DataFrame, by: list[str]) -> DataFrame:
     width = F.when(F.col("_many"), F.greatest(F.floor(step), F.lit(LEAST_WIDTH))).otherwise(F.col("_w"))
     tokens = cut.select(*by, "word_idx", "_i", F.trim("text").alias("text"), left.alias("_x"), width.alias("_w"), "_y", "_h").withColumn("_m", F.col("_x") + F.col("_w") / 2)
 
-    def line_of(lines: list, y: float, height: float) -> tuple[int]:
+    def line_of(state: list, y: float, height: float, tallest: float) -> tuple[int]:
+        made, lines = state  # how many so far; number, middle and height of those within reach of the page's tallest word
         middle = y + height / 2
-        at = next((i for i, (m, h) in enumerate(lines) if abs(middle - m) < max(height, h) * LINE_SHARE), len(lines))
-        if at == len(lines):
-            lines.append((middle, height))
+        lines = [x for x in lines if y + LEAST_HEIGHT / 2 - x[1] < tallest * LINE_SHARE]
+        at = next((n for n, m, h in lines if abs(middle - m) < max(height, h) * LINE_SHARE), made)
+        if at == made:
+            made, lines = made + 1, [*lines, (made, middle, height)]
+        state[:] = made, lines
         return (at,)
 
-    tokens = materialise(fold_rows(tokens, by, ["_y", "_x", "word_idx", "_i"], ["_y", "_h"], list, line_of, "line int"), "tokens")
+    tallest = tokens.withColumn("_tallest", F.max("_h").over(Window.partitionBy(*by)))
+    lined = fold_rows(tallest, by, ["_y", "_x", "word_idx", "_i"], ["_y", "_h", "_tallest"], lambda: [0, []], line_of, "line int")
+    tokens = materialise(lined.drop("_tallest"), "tokens")
     gaps = tokens.groupBy(*by).agg(F.greatest(F.floor(F.median("_w") * GAP_WIDTHS), F.lit(LEAST_GAP)).alias("_gap"))
     middles = tokens.join(gaps, by).select(*by, "_gap", F.floor("_m").alias("_f"))
     groups = cluster_1d(middles, by, "_f", F.col("_gap"), "_g").groupBy(*by, "_g").agg(F.avg("_f").alias("x"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,9 +35,34 @@ def shared_dir(spark: SparkSession) -> str:
     return str(context.getCheckpointDir()).rstrip("/")
 
 
+#: The setting that names the folder of the run that is going on, below the shared one.
+RUN = "spark.millrace.run"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder, in that of the run if one is going on."""
+    run = spark.conf.get(RUN, None)
+    return f"{shared_dir(spark)}/{run + '/' if run else ''}{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def run_folder(spark: SparkSession, name: str = "run") -> Iterator[str]:
+    """All tables written within go to one folder, which is cleared at the end: results that are lazy read them, so write
+    what is to stay before. Yields the folder."""
+    before, own = spark.conf.get(RUN, None), f"{name}-{uuid.uuid4().hex}"
+    spark.conf.set(RUN, own)
+    folder = f"{shared_dir(spark)}/{own}"
+    try:
+        yield folder
+    finally:
+        spark.conf.unset(RUN) if before is None else spark.conf.set(RUN, before)
+        clear(spark, folder)
+
+
+def clear(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store, and all in it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -268,3 +268,27 @@ def test_medians_from_bins_equal_sorting(spark):
         values = sorted(abs(float(t)) for k, t in given if k == key)  # a cell's sign does not count
         assert got[key] == pytest.approx(values[len(values) // 2])
     assert got["c"] == 0.0 and "d" not in got
+
+
+def test_a_run_clears_its_tables(spark):
+    from pathlib import Path
+
+    from millrace import session
+
+    here = lambda: {p.name for p in Path(session.shared_dir(spark).removeprefix("file:").replace("///", "/").replace("//", "/")).iterdir()}
+    before = here()
+    with session.run_folder(spark) as folder:
+        kept = session.materialise(spark.range(5), "five")
+        assert kept.count() == 5 and here() - before == {folder.rsplit("/", 1)[1]}
+    assert here() == before and spark.conf.get(session.RUN, None) is None
+
+
+def test_grids_that_words_do_not_bear_out(spark):
+    cells = spark.createDataFrame([(1, r, c, 100.0 * c, 100.0 * c + 90, 30.0 * r, 30.0 * r + 25) for r in range(4) for c in range(3)], "p int, r int, c int, x0 double, x1 double, y0 double, y1 double")
+    rows = lambda n, extra=0: [word(10 * r + c, 100 * c + 5, 30 * r + 12, f"{r}{c}") for r in range(n) for c in range(3)] + [word(500 + i, 900, 30 * i, "far") for i in range(extra)]
+    judge = lambda words: ruled.accepted_grids(spark.createDataFrame(words, WORD), cells, ["p"])
+    texts, grids = judge(rows(3, 8))
+    assert grids.first().accepted and {(r.r, r.c): r.text for r in texts.collect()} == {(r, c): f"{r}{c}" for r in range(3) for c in range(3)}
+    assert not judge(rows(2))[1].first().accepted  # half of the rows
+    assert not judge(rows(3, 9))[1].first().accepted  # nine words outside
+    assert not judge([word(0, 900, 10, "far")])[1].first().accepted
