@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import sound_unions
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

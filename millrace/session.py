@@ -12,9 +12,17 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+def sound_unions(spark: SparkSession) -> None:
+    """Let unions state no partitioning of their own. Spark 4.1 takes a union of tables that are dealt by one key as dealt by it, and
+    leaves out the exchange of an aggregate above it; where adaptive execution then reads these tables by other partitions, groups come
+    in pieces: a count of 7,581 rows gave 30,510."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+
+
 def workers_import(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver has it. On a cluster
     the package is installed on, or sent to, the executors."""
+    sound_unions(spark)
     root = str(Path(__file__).resolve().parent.parent)
     known = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in known.split(os.pathsep):
@@ -68,6 +76,7 @@ def clear(spark: SparkSession, folder: str) -> None:
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: later jobs neither recompute it nor need
     the executors that made it."""
+    sound_unions(df.sparkSession)
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
