@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialise, scratch, workers_import
+from ..session import materialise, scratch, sound_unions, workers_import
 
 __all__ = ["DOCUMENT_COLUMNS", "arrow_rows", "bounded_sample", "held_out", "ids_as_long", "ids_as_text", "materialise", "quantile_bounds", "range_part", "read_table", "scratch", "whole_groups"]
 
@@ -21,6 +21,7 @@ MOST_PARTS = 8192
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    sound_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
