@@ -70,7 +70,7 @@ def fold_pages(rows: DataFrame, by: list[str], order: list[str], needed: list[st
         if held:
             yield pages(held)
 
-    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
+    return rows.repartition(F.xxhash64(*by)).sortWithinPartitions(*by, *order).mapInPandas(run, schema)
 
 
 def words_to_lines(words: DataFrame, by: list[str]) -> DataFrame:
