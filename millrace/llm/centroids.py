@@ -5,7 +5,7 @@ encodes each shard once without loss: the dimensions are cut into blocks of ``BL
 dictionary, and a vector is a code for each block. A round computes the squared distance of each dictionary entry to each
 centroid once, adds up the entries' distances by code, and takes the nearest centroid; the sums of a cluster come from its
 counts of codes times the dictionary. Shards send sums and counts of each centroid, which are added before and after one small
-shuffle; what reaches the driver is one row for each centroid. Shards are a written table, so each round reads them, and a lost
+shuffle; what reaches the driver is one row for each component of a centroid. Shards are a written table, so each round reads them, and a lost
 executor loses nothing.
 
 All sums are whole numbers: 64-bit ones where no distance can pass 2^63, Python's elsewhere.
@@ -134,7 +134,7 @@ def _nearest(codes: np.ndarray, entries: np.ndarray, before: np.ndarray, centroi
 
 
 def round_sums(shards: DataFrame, centroids: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """For each centroid that has vectors: cluster, n, sums (decimals) of its vectors' components."""
+    """For each centroid that has vectors, and each dimension: cluster, dim, n, total (decimal) of its vectors' components."""
     k, width = centroids.shape
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,14 +144,13 @@ def round_sums(shards: DataFrame, centroids: np.ndarray, block: int = BLOCK) ->
                 entries, cluster, _ = _nearest(codes, entries, before, centroids)
                 sums, n = cluster_sums(codes, entries, before, cluster, k, width), np.bincount(cluster, minlength=k)
                 has = np.flatnonzero(n)
-                texts = [[str(x) for x in row] for row in sums[has].tolist()]
-                yield pa.record_batch([pa.array(has.astype("int32")), pa.array(n[has]), pa.array(texts, pa.list_(pa.string()))], names=["cluster", "n", "sums"])
+                columns = [np.repeat(has, width).astype("int32"), np.tile(np.arange(width, dtype="int32"), len(has)), np.repeat(n[has], width)]
+                totals = pa.array([str(x) for x in sums[has].reshape(-1).tolist()], pa.string())
+                yield pa.record_batch([*map(pa.array, columns), totals], names=["cluster", "dim", "n", "total"])
 
     arrow_rows(shards.sparkSession)
-    parts = shards.mapInArrow(run, "cluster int, n long, sums array<string>")
-    wide = parts.select("cluster", "n", *[F.col("sums")[d].cast("decimal(38,0)").alias(f"s{d}") for d in range(width)])
-    added = wide.groupBy("cluster").agg(F.sum("n").alias("n"), *[F.sum(f"s{d}").alias(f"s{d}") for d in range(width)])
-    return added.select("cluster", "n", F.array(*[f"s{d}" for d in range(width)]).alias("sums"))
+    parts = shards.mapInArrow(run, "cluster int, dim int, n long, total string")
+    return parts.groupBy("cluster", "dim").agg(F.sum("n").alias("n"), F.sum(F.col("total").cast("decimal(38,0)")).alias("total"))
 
 
 def start(kept: DataFrame, k: int, seed: int, scale: int) -> np.ndarray:
@@ -184,8 +183,8 @@ def clusters(vectors: DataFrame, k: int = K, rounds: int = ROUNDS, width: int =
     shards = materialise(encoded(kept, width, block, scale, shard), "shards")
     for _ in range(rounds if len(centroids) else 0):
         centroids = centroids.copy()
-        for r in round_sums(shards, centroids, block).collect():  # a row for each centroid
-            centroids[r.cluster] = [int(x) // r.n for x in r.sums]
+        for r in round_sums(shards, centroids, block).collect():  # a row for each component of a centroid
+            centroids[r.cluster, r.dim] = int(r.total) // r.n
     return materialise(assigned(shards, centroids, block), "assigned"), centroids
 
 
