@@ -35,53 +35,97 @@ SHARD_TOKENS = 1 << 19
 #: In the first round the pairs are replaced that occur at least a SHARE-th as often as the most frequent one, and in each
 #: further one those that occur at least half as often as in the round before.
 SHARE = 3
+#: Pairs are told apart by a hash of so many bits at least.
+FEWEST_BITS = 14
 #: Rows of one part of the id range, about: a task's share.
 PART_ROWS = 8_000
+#: Code points of texts that are tokenised together, about.
+HEAP_CHARS = 8 << 20
 #: Parts whose sums are broadcast; 16 MB.
 SENT_PARTS = 1_000_000
 
 _SHARD = "part int, shard int, start long, n_tokens long, doc_ids array<string>, doc_starts array<long>, base int, rules binary, lengths binary, width int, symbols binary"
 
 
-def _every_other(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs count: of a run of one symbol every other one; and the places of pairs within runs."""
-    alone = np.ones(len(keys), bool)
-    same = np.flatnonzero(keys[1:] == keys[:-1])
-    if len(same):
-        run = np.flatnonzero(np.diff(same, prepend=-2) != 1)
-        turn = np.arange(len(same)) - np.repeat(run, np.diff(np.append(run, len(same))))
-        alone[same[turn % 2 == 0] + 1] = False
-    return alone, same + 1
-
-
-def _frequent(keys: np.ndarray, alone: np.ndarray, least: int | None) -> tuple[int, np.ndarray]:
-    """The bound (if none is given, from the most frequent pair), and the places of pairs that may occur so often. Counts by a hash of
-    the pair are no less than the true ones."""
-    bits = max(10, len(keys).bit_length())
-    slot = ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype("int32")
-    count = np.bincount(slot[alone], minlength=1 << bits)
+def _idle(rest: np.ndarray) -> np.ndarray:
+    """Those that don't count of the pairs ``rest`` (their numbers in order) that come after the same pair: of a run of one symbol
+    every other pair counts."""
+    run = np.flatnonzero(np.diff(rest, prepend=-2) != 1)
+    turn = np.arange(len(rest)) - np.repeat(run, np.diff(np.append(run, len(rest))))
+    return rest[turn % 2 == 0]
+
+
+def _frequent(s: np.ndarray, least: int | None) -> tuple[int, np.ndarray, np.ndarray]:
+    """The bound (if none is given, from the most frequent pair), the places of pairs that may occur so often, and those of pairs
+    within runs. Counts by a hash of the pair are no less than the true ones; the higher the bound, the fewer slots tell pairs apart."""
+    bits = max(10, len(s).bit_length())
+    if least:
+        bits = min(bits, max(FEWEST_BITS, bits + 2 - least.bit_length()))
+    slot = s[:-1] * np.uint32(0x9E3779B1)
+    slot += s[1:]
+    slot *= np.uint32(0x85EBCA6B)
+    slot >>= np.uint32(32 - bits)
+    slot = slot.astype(np.intp)
+    count = np.bincount(slot, minlength=1 << bits)
+    same = s[1:] == s[:-1]
+    runs = np.flatnonzero(same[1:] & same[:-1]) + 1
+    idle = _idle(runs)
+    np.subtract.at(count, slot[idle], 1)
     least = least or max(2, int(count.max()) // SHARE)
-    return least, np.flatnonzero((count >= least)[slot] & alone)
+    often = (count >= least)[slot]
+    often[idle] = False
+    return least, np.flatnonzero(often), runs
+
+
+def _grouped(left: np.ndarray, right: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different pairs in ascending order, which of them each pair is, and how many there are of each. All symbols are below
+    ``symbols``. Pairs are sorted with their places in one number where it has the bits."""
+    n, wide, low = len(left), symbols.bit_length(), len(left).bit_length()
+    keys = left.astype("uint64") << np.uint64(wide)
+    keys |= right
+    if 2 * wide + low <= 64:
+        keys <<= np.uint64(low)
+        keys |= np.arange(n, dtype="uint64")
+        keys.sort()
+        order = (keys & np.uint64((1 << low) - 1)).astype(np.intp)
+        keys >>= np.uint64(low)
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    new = np.ones(n, bool)
+    np.not_equal(keys[1:], keys[:-1], out=new[1:])
+    first = np.flatnonzero(new)
+    which = np.empty(n, np.intp)
+    which[order] = np.cumsum(new) - 1
+    return np.stack([left[order[first]], right[order[first]]], 1), which, np.diff(np.append(first, n))
+
+
+def _once(places: np.ndarray) -> np.ndarray:
+    """The different places in order."""
+    places = np.sort(places)
+    return places[np.diff(places, prepend=-2) != 0]
+
+
+def _ranks(many: np.ndarray, least: int) -> np.ndarray:
+    """More for the more frequent pair, each its own; 0 for those that occur less than ``least`` times."""
+    rank = np.empty(len(many), "int32")
+    rank[np.argsort(many, kind="stable")] = np.arange(1, len(many) + 1)
+    rank[many < least] = 0
+    return rank
 
 
-def _replace(s: np.ndarray, base: int, least: int | None, open_: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
-    """One round: the symbols after it, its rules (pairs), its bound, and the places of all pairs that may still occur twice, known once
-    the bound is 2. ``open_`` holds those places before the round."""
+def _replace(s: np.ndarray, base: int, least: int | None) -> tuple[np.ndarray, np.ndarray, int, np.ndarray | None]:
+    """One round over all symbols: the symbols after it, its rules (pairs), its bound, and, if that is 2, the places of all pairs that
+    may still occur twice."""
     n = len(s)
-    keys = s[:-1].astype("uint64") << np.uint64(32) | s[1:]
-    alone, runs = _every_other(keys)
-    if open_ is None:
-        least, some = _frequent(keys, alone, least)
-    else:
-        some = open_[alone[open_]]
-    pairs, which, many = np.unique(keys[some], return_inverse=True, return_counts=True)
-    rank = np.empty(len(pairs), "int32")
-    rank[np.argsort(many, kind="stable")] = np.arange(1, len(pairs) + 1)
-    rank[many < least] = 0
-    weight = np.zeros(n + 1, "int32")
-    weight[some + 1] = rank[which]
-    mine = weight[some + 1]
-    wins = (mine > 0) & (mine > weight[some]) & (mine > weight[some + 2])
+    least, some, runs = _frequent(s, least)
+    pairs, which, many = _grouped(s[some], s[some + 1], base)
+    mine = _ranks(many, least)[which]
+    apart = some[1:] != some[:-1] + 1
+    wins = mine > 0
+    wins[1:] &= apart | (mine[1:] > mine[:-1])
+    wins[:-1] &= apart | (mine[1:] < mine[:-1])
+    wins = np.flatnonzero(wins)  # numbers are faster than flags
     at, won = some[wins], which[wins]
     used = np.bincount(won, minlength=len(pairs))
     fit = used[won] >= 2
@@ -89,31 +133,79 @@ def _replace(s: np.ndarray, base: int, least: int | None, open_: np.ndarray | No
     out, keep = s.copy(), np.ones(n, bool)
     out[at] = base + (np.cumsum(used >= 2) - 1)[won]
     keep[at + 1] = False
-    made = pairs[used >= 2]
-    rules = np.stack([made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)], 1).astype("uint32")
+    rules = pairs[used >= 2]
     if least > 2:
-        return out[keep], rules, least, None
+        return out[np.flatnonzero(keep)], rules, least, None
     place = np.cumsum(keep) - 1
     old = np.concatenate([some[mine > 0], runs])
     new = place[at]
-    left = np.unique(np.concatenate([place[old[keep[old]]], new, new - 1]))
+    left = _once(np.concatenate([place[old[keep[old]]], new, new - 1]))
     out = out[keep]
     return out, rules, least, left[(left >= 0) & (left < len(out) - 1)]
 
 
+def _rest(s: np.ndarray, base: int, open_: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The rounds of bound 2 after the first one: the symbols after them, and the rules of each. ``open_`` holds the places, in order,
+    of all pairs that may occur twice. A round works on such places alone: symbols keep their places, each knows those after and
+    before it, and place ``n`` is that of none."""
+    n = len(s)
+    s = np.append(s, np.uint32(0xFFFFFFFF))
+    after, before = np.minimum(np.arange(1, n + 2), n), np.arange(-1, n)
+    before[0] = n
+    weight, known, keep, rules = np.zeros(n + 1, "int32"), np.zeros(n + 1, bool), np.ones(n + 1, bool), []
+    keep[n] = False
+    while len(open_):
+        left, right = s[open_], s[after[open_]]
+        follows = (left == right) & (left == s[before[open_]])
+        known[open_] = True
+        started = before[open_[follows]]
+        started = started[~known[started]]
+        known[open_] = False
+        if len(started):  # of a run all places are needed to tell which of them count
+            open_ = _once(np.concatenate([open_, started]))
+            continue
+        rest, alone = np.flatnonzero(follows), np.ones(len(open_), bool)
+        alone[_idle(rest)] = False
+        some = open_[alone]
+        pairs, which, many = _grouped(left[alone], right[alone], base)
+        mine = weight[some] = _ranks(many, 2)[which]
+        wins = (mine > 0) & (mine > weight[before[some]]) & (mine > weight[after[some]])
+        weight[some] = 0
+        at, won = some[wins], which[wins]
+        used = np.bincount(won, minlength=len(pairs))
+        fit = used[won] >= 2
+        at, won = at[fit], won[fit]
+        if not len(at):
+            break
+        s[at] = base + (np.cumsum(used >= 2) - 1)[won]
+        rules.append(pairs[used >= 2])
+        base += len(rules[-1])
+        gone = after[at]
+        keep[gone] = False
+        after[at] = after[gone]
+        before[after[at]] = at
+        open_ = _once(np.concatenate([some[mine > 0], open_[rest], at, before[at]]))
+        open_ = open_[keep[open_] & (after[open_] < n)]
+    return s[keep], rules
+
+
 def compress(ids: np.ndarray) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
     """ids -> (base, rules, lengths, symbols): symbol base + i stands for the pair rules[i], which
     expands to lengths[i] ids."""
     s = ids.astype("uint32")
     base = int(s.max()) + 1 if len(s) else 0
-    rules, lengths, made, least, open_ = [np.empty((0, 2), "uint32")], np.ones(base, "int64"), 0, None, None
-    while len(s) >= 4:
-        s, new, bound, open_ = _replace(s, base + made, least, open_)
-        if not len(new) and bound == 2:
-            break
+    rules, made, least, bound = [np.empty((0, 2), "uint32")], 0, None, 0
+    while len(s) >= 4 and bound != 2:
+        s, new, bound, open_ = _replace(s, base + made, least)
         rules.append(new)
-        lengths = np.concatenate([lengths, lengths[new[:, 0]] + lengths[new[:, 1]]])
         made, least = made + len(new), max(2, bound // 2)
+        if bound == 2 and len(new):
+            s, more = _rest(s, base + made, open_)
+            rules += more
+    lengths, made = np.ones(base + sum(map(len, rules)), "int64"), base
+    for new in rules:
+        lengths[made : made + len(new)] = lengths[new[:, 0]] + lengths[new[:, 1]]
+        made += len(new)
     return base, np.concatenate(rules), lengths[base:], s
 
 
@@ -202,6 +294,20 @@ class Shard:
         return expand(self.base, self.rules, self.symbols[lo:hi])[start - before : stop - before]
 
 
+def _heaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches put together until their texts have ``HEAP_CHARS``: words are looked up once for all of them."""
+    held: list[pd.DataFrame] = []
+    chars = 0
+    for batch in batches:
+        held.append(batch)
+        chars += sum(map(len, filter(None, batch["text"].tolist())))
+        if chars >= HEAP_CHARS:
+            yield pd.concat(held, ignore_index=True)
+            held, chars = [], 0
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
 def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_TOKENS, part_rows: int = PART_ROWS) -> None:
     """Tokenise ``docs`` (doc_id, text) and write the shards to ``path``."""
     spark = docs.sparkSession
@@ -227,14 +333,13 @@ def write(docs: DataFrame, tokenizer: str, path: str, shard_tokens: int = SHARD_
                 "rules": rules.astype("<u4").tobytes(), "lengths": lengths.astype("<u4").tobytes(), "width": width, "symbols": packed(symbols, width),
             }])
 
-        for batch in batches:
-            for own, doc_id, text in zip(batch["part"].tolist(), batch["doc_id"].tolist(), batch["text"].tolist(), strict=True):
+        for frame in _heaps(batches):
+            for own, doc_id, own_ids in zip(frame["part"].tolist(), frame["doc_id"].tolist(), known.packed_each(frame["text"].tolist()), strict=True):
                 if ids and (own != part or size >= shard_tokens):
                     yield close()
                     shard, start, size, ids, owners = shard + 1, start + size, 0, [], []
                 if own != part:
                     part, shard, start = own, 0, 0
-                own_ids = known.packed(text)
                 ids.append(own_ids)
                 owners.append(doc_id)
                 size += len(own_ids) // 4

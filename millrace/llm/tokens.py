@@ -9,14 +9,26 @@ from __future__ import annotations
 
 import os
 import re
+from codecs import charmap_decode
+from collections.abc import Iterator
 from struct import pack
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words of the newer and of the older half of a worker's memo; some 200 MB in all. When the newer half is full it becomes
 #: the older one, from which words that are met again are taken over.
 MEMO_PIECES = 550_000
+#: Words of a worker's memo in Arrow; some 40 MB.
+MEMO_WORDS = 1_000_000
 #: Pieces that both pre-tokenizers make: runs of letters, runs of marks (no apostrophe), a line's end.
 _PARTS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[.,;:!?%&*#$()\"/=+-]+|\n").findall
 _CUT = re.compile(r"(?= \S)")
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
+_MARKS = '.,;:!?%&*#$()"/=+-'
+_ALL_LETTERS = re.compile(_LETTERS).fullmatch
+_FIRST = re.compile(r"[^ \n]*").match
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -53,10 +65,11 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.older: dict[str, bytes] = {}
         self.tokenize = self.tokenizer.model.tokenize
-        self.letters = _byte_letters()
+        self.letters = "".join(_byte_letters()[b] for b in range(256))
         self.lower = self._ids("A") == self._ids("a") and not self._ids(" ")
         self.space = "" if self.lower else self.letters[32]
         self.inner: dict[str, bytes] = {}  # pieces that no space stands before
+        self.words, self.sizes, self.flat = pa.array([], pa.large_string()), np.empty(0, "int64"), np.empty(0, "<u4")
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -67,9 +80,7 @@ class Encoder(dict):
             part = part.strip().lower()
             if not part:
                 return b""
-        mapped = part.replace(" ", self.letters[32]).replace("\n", self.letters[10])
-        if not part.isascii():
-            mapped = part.encode().decode("latin-1").translate(self.letters)
+        mapped, _ = charmap_decode(part.encode(), "strict", self.letters)
         return _pack([t.id for t in self.tokenize(mapped)])
 
     def _inside(self, part: str) -> bytes:
@@ -118,6 +129,76 @@ class Encoder(dict):
             simple = [self[w[1:]] if len(w) > 1 and not any(map(str.isspace, w[1:])) else self._piece(w) for w in words]
             return self._piece(first) + b"".join(simple) + tail
 
+    def packed_each(self, texts: list[str | None], end: int | None = 0) -> Iterator[bytes]:
+        """``packed`` of each text in turn, where a word that these texts have many times is looked up once: texts are cut at spaces and
+        before lines' ends, their different words numbered in Arrow, and ids gathered by those numbers."""
+        tail = b"" if end is None else _pack([end])
+        cut = pc.split_pattern(pc.replace_substring(pa.array([x or "" for x in texts], pa.large_string()), "\n", " \n"), " ")
+        numbered = cut.flatten().dictionary_encode()
+        ids, size = self._looked_up(numbered.dictionary)
+        begin, number, cuts = np.cumsum(size) - size, numbered.indices.to_numpy(), cut.offsets.to_pylist()
+        for text, a, b in zip(texts, cuts, cuts[1:], strict=False):
+            words = number[a + 1 : b]
+            each = size[words]
+            first = _FIRST(text or "")[0]
+            if not text or not each.all() or "\n\n" in text or first[-1:].isspace():  # white space beside white space
+                yield self.packed(text, end)
+                continue
+            yield self._piece(first) + ids[_stretches(begin[words], each)].tobytes() + tail
+
+    def _looked_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different words one after the other, each with the space before it, and how many each has: none where the word
+        can't be told from its neighbours. Marks that follow letters are looked up on their own."""
+        bare = pc.utf8_rtrim(words, characters=_MARKS)
+        units = pc.if_else(pc.match_substring_regex(bare, rf"^\n?{_LETTERS}$"), bare, words)
+        marked = np.flatnonzero(pc.not_equal(pc.binary_length(units), pc.binary_length(words)).to_numpy(zero_copy_only=False))
+        marks = pc.replace_substring_regex(words.take(pa.array(marked)), rf"^\n?{_LETTERS}", "").dictionary_encode()
+        units = units.dictionary_encode()
+        place = pc.index_in(units.dictionary, self.words)
+        new = units.dictionary.filter(place.is_null())
+        place = place.fill_null(-1).to_numpy().copy()
+        place[place < 0] = np.arange(len(self.words), len(self.words) + len(new))
+        made = [self._unit(w) for w in new.to_numpy(zero_copy_only=False).tolist()]
+        self._add(new, made)
+        ends = [self.inner.get(m) or self._inside(m) for m in marks.dictionary.to_pylist()]
+        end_size = _sizes(ends)
+        own = place[units.indices.to_numpy()]
+        begins, sizes = np.zeros((len(words), 2), "int64"), np.zeros((len(words), 2), "int64")
+        begins[:, 0], sizes[:, 0] = (np.cumsum(self.sizes) - self.sizes)[own], self.sizes[own]
+        which = marks.indices.to_numpy()
+        begins[marked, 1], sizes[marked, 1] = (len(self.flat) + np.cumsum(end_size) - end_size)[which], end_size[which]
+        ids = np.concatenate([self.flat, np.frombuffer(b"".join(ends), "<u4")])[_stretches(begins.ravel(), sizes.ravel())]
+        if len(self.words) > MEMO_WORDS:  # those met last stay
+            flat = self.flat[_stretches((np.cumsum(self.sizes) - self.sizes)[place], self.sizes[place])]
+            self.words, self.sizes, self.flat = units.dictionary, self.sizes[place], flat
+        return ids, sizes.sum(1)
+
+    def _add(self, new: pa.Array, made: list[bytes]) -> None:
+        self.words = pa.concat_arrays([self.words, new])
+        self.sizes = np.concatenate([self.sizes, _sizes(made)])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(made), "<u4")])
+
+    def _unit(self, word: str) -> bytes:
+        """The ids of a word after a space, or of a line's end and what follows it; none beside other white space."""
+        if word == "\n":
+            return self.inner.get(word) or self._inside(word)
+        if not word or word[-1].isspace() or (word[0].isspace() and word[0] != "\n"):
+            return b""
+        if word[0] == "\n":
+            return self._unit("\n") + self._bare(word[1:]) if _ALL_LETTERS(word[1:]) else self._piece(word)
+        return self._bare(" " + word) if _ALL_LETTERS(word) else self._mixed(word)
+
+
+def _sizes(packed: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(len, packed), "int64", len(packed)) // 4
+
+
+def _stretches(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of stretches, one after the other."""
+    places = np.repeat(begin - np.cumsum(size) + size, size)
+    places += np.arange(len(places))
+    return places
+
 
 _ENCODERS: dict[str, Encoder] = {}
 

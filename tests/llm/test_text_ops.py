@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pytest
 
 pytest.importorskip("millrace.llm")
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from xxhash import xxh64_intdigest
 
-from millrace.llm import langid, packing, pii, repair, simhash, similar, toxicity
+from millrace.llm import langid, packing, pii, repair, simhash, similar, tokens, toxicity
 from millrace.llm.common import bounded_sample
 from millrace.llm.tokens import Encoder
 
@@ -37,6 +39,26 @@ def test_memo_gives_the_tokenizers_ids(name):
         assert np.frombuffer(known.packed(text, None), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_texts_together_give_the_tokenizers_ids(name, monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 300)
+    random.seed(7)
+    pieces = ["The", "ñandú", "x1", "\n", "\n", "\n\n", "\t", "\r\n", ".", "!?", "don't", " ", "  ", "\u00a0", "中文", "é", "ª", "×", "😀", "\x1c", "\0", "Ġ"]
+    known, plain = Encoder(public_tokenizers.path(name)), Tokenizer.from_file(public_tokenizers.path(name))
+    for texts in [[], [None], ODD, *[["".join(random.choice(pieces) + random.choice(["", " "]) for _ in range(random.randint(1, 30))) for _ in range(60)] for _ in range(30)]]:
+        for text, ids in zip(texts, known.packed_each(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 0], repr(text)
+
+
+def test_words_are_encoded_once_for_all_texts():
+    known, asked = Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    known.tokenize = lambda piece, f=known.tokenize: asked.append(piece) or f(piece)
+    texts = [f"A quaxle{'.,;:!?%&*#'[i % 10]} zorbel{'!' * i}" for i in range(40)]
+    got = [list(known.packed_each(texts)) for _ in range(2)]
+    assert [sum(w in x for x in asked) for w in ("quaxle", "zorbel")] == [1, 1]
+    assert got == [[known.packed(x) for x in texts]] * 2
+
+
 def pair_counts(s):
     """Occurrences of pairs of neighbours that do not overlap."""
     many, before = Counter(), None
@@ -90,6 +112,37 @@ def test_repair_is_near_plain_repair():
         assert len(symbols) + 2 * len(made) <= 1.06 * (left + 2 * rules) + 8
 
 
+def test_late_rounds_take_time_by_open_pairs():
+    """A passage whose 1,499 pairs are replaced one a round, among 400,000 ids that occur once."""
+    passage, others = np.arange(1500, dtype="uint32"), np.arange(1500, 401_500, dtype="uint32")
+    ids = np.concatenate([passage, others[:200_000], passage, others[200_000:]])
+
+    def seconds(x):
+        began = time.process_time()
+        repair.compress(x)
+        return time.process_time() - began
+
+    base, rules, lengths, symbols = repair.compress(ids)
+    assert len(rules) == 1499 and len(symbols) == 400_002 and lengths.max() == 1500
+    assert (repair.expand(base, rules, symbols) == ids).all()
+    assert min(seconds(ids) for _ in range(2)) < 60 * min(seconds(others) for _ in range(3))
+
+
+def test_pairs_are_grouped_in_one_number_or_two():
+    left, right = np.random.default_rng(3).integers(0, 9, (2, 500), dtype="uint32")
+    pairs, which, many = repair._grouped(left, right, 9)
+    assert (pairs == np.unique(np.stack([left, right], 1), axis=0)).all() and many.sum() == 500
+    assert (pairs[which] == np.stack([left, right], 1)).all()
+    for one, two in zip(repair._grouped(left, right, 1 << 31), (pairs, which, many), strict=True):
+        assert (one == two).all()
+
+
+def test_repair_heaps(monkeypatch):
+    batches = [pd.DataFrame({"text": x}) for x in (["abc", None], [None, None], ["de"], ["f"])]
+    monkeypatch.setattr(repair, "HEAP_CHARS", 5)
+    assert [h["text"].tolist() for h in repair._heaps(iter(batches))] == [["abc", None, None, None, "de"], ["f"]]
+
+
 def test_repair_files(spark, tmp_path):
     texts = [*ODD, "again", "again"]
     path = str(tmp_path / "shards")
