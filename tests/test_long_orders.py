@@ -1,13 +1,14 @@
 """Queries over orders with more lines than the small tables have, against their SQL."""
 
 import datetime
+import random
 
 import duckdb
 import pandas as pd
 import pytest
 
 from millrace import plans
-from millrace.operators import columns
+from millrace.operators import columns, geometry
 
 
 @pytest.fixture(scope="module")
@@ -36,3 +37,15 @@ def test_only_a_first_column_of_whole_numbers_is_named_by_its_count(spark):
     heads = [(p, c, h) for p in (1, 2) for c, h in enumerate(("No", "Qty"))]
     got = columns.semantic_headings(spark.createDataFrame(cells, "p int, r int, c int, text string"), spark.createDataFrame(heads, "p int, c int, heading string"), ["p"])
     assert {(r.p, r.c): r.heading for r in got.collect()} == {(1, 0): "row_number", (1, 1): "Qty", (2, 0): "No", (2, 1): "Qty"}
+
+
+def test_islands_are_those_of_the_buckets_that_words_cover(spark):
+    rng = random.Random(4)
+    words = [(p, float(x), float(x + rng.choice([-3, 0, 1, 9, 40]))) for p in range(40) for x in (rng.randint(-50, 400) for _ in range(rng.randint(1, 12)))]
+    got = geometry.column_edges(spark.createDataFrame(words, "p int, x0 double, x1 double"), ["p"], 2, 3).orderBy("p", "column_idx").collect()
+    for p in range(40):
+        covered = sorted({b for q, a, z in words if q == p for b in range(int(min(a, z) // 2), int(max(a, z) // 2) + 1)})
+        runs: list[list[int]] = []
+        for b in covered:
+            runs.append([b, b]) if not runs or b - runs[-1][1] > 3 else runs[-1].__setitem__(1, b)
+        assert [(r.x0, r.x1) for r in got if r.p == p] == [(2.0 * a, 2.0 * (z + 1)) for a, z in runs]
