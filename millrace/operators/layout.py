@@ -227,12 +227,12 @@ def tables_of_words(words: DataFrame, by: list[str], gap: float = 1.5) -> tuple[
     are the only step in Python; boxes are written to the shared folder, as all that follows reads them.
     """
     seen = words.where(~is_noise(F.col("text"), F.col("conf")))
-    heights = seen.groupBy(*by).agg((F.median(F.col("y1") - F.col("y0")) * gap).alias("_gap"))
-    lined = words_to_lines(seen, by).join(heights, by)
-    scaled = lined.select("*", (F.col("x0") / F.col("_gap")).alias("_x0"), (F.col("x1") / F.col("_gap")).alias("_x1"))
-    unit = split_cells(scaled.select(*by, "line", "word_idx", F.col("_x0").alias("x0"), F.col("_x1").alias("x1")), [*by, "line"], 1.0).select(*by, "word_idx", "cell")
+    tall = F.median(F.col("y1") - F.col("y0")).over(Window.partitionBy(*by)) * gap
+    lined = words_to_lines(seen.select(*by, "word_idx", "text", "conf", "x0", "x1", "y0", "y1").withColumn("_gap", tall), by)
+    scaled = lined.withColumnsRenamed({"x0": "_x0", "x1": "_x1"}).withColumn("x0", F.col("_x0") / F.col("_gap")).withColumn("x1", F.col("_x1") / F.col("_gap"))
+    unit = split_cells(scaled, [*by, "line"], 1.0).drop("x0", "x1", "_gap").withColumnsRenamed({"_x0": "x0", "_x1": "x1"})
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "text"))), lambda w: w["text"]), " ")
-    boxes = lined.join(unit, [*by, "word_idx"]).groupBy(*by, "line", "cell").agg(joined.alias("text"), F.min("conf").alias("conf"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
+    boxes = unit.groupBy(*by, "line", "cell").agg(joined.alias("text"), F.min("conf").alias("conf"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
     boxes = materialise(boxes.withColumn("box_idx", F.shiftleft(F.col("line").cast("long"), 32) + F.col("cell")), "boxes")
     lines = boxes.groupBy(*by, "line").agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
     placed = boxes.join(group_blocks(lines, boxes, by).select(*by, "line", "block"), [*by, "line"])

@@ -127,9 +127,11 @@ def line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of orders' pages, a speck of dust on each, as tables."""
-    w = _words(spark, sf_dir).select("l_orderkey", "word_idx", "text", F.lit(90.0).alias("conf"), "x0", "x1", "y0", "y1")
-    dust = w.where("word_idx % 7 = 0").select("l_orderkey", (F.col("word_idx") + 100000).alias("word_idx"), F.lit(".").alias("text"), F.lit(5.0).alias("conf"), F.col("x1").alias("x0"), (F.col("x1") + 40).alias("x1"), "y0", "y1")
-    cells, _ = layout.tables_of_words(w.union(dust), ["l_orderkey"])
+    box = lambda i, t, conf, x0, x1: F.struct(i.cast("long").alias("word_idx"), t.alias("text"), F.lit(conf).alias("conf"), x0.alias("x0"), x1.alias("x1"), "y0", "y1")
+    word = box(F.col("word_idx"), F.col("text"), 90.0, F.col("x0"), F.col("x1"))
+    dust = box(F.col("word_idx") + 100000, F.lit("."), 5.0, F.col("x1"), F.col("x1") + 40)
+    w = _words(spark, sf_dir).select("l_orderkey", F.inline(F.when(F.col("word_idx") % 7 == 0, F.array(word, dust)).otherwise(F.array(word))))
+    cells, _ = layout.tables_of_words(w, ["l_orderkey"])
     return cells.select("l_orderkey", "block", "line", "column_idx", "text", "conf")
 
 

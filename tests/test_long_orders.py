@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 
 from millrace import plans
-from millrace.operators import columns, geometry
+from millrace.operators import columns, geometry, layout
 
 
 @pytest.fixture(scope="module")
@@ -49,3 +49,15 @@ def test_islands_are_those_of_the_buckets_that_words_cover(spark):
         for b in covered:
             runs.append([b, b]) if not runs or b - runs[-1][1] > 3 else runs[-1].__setitem__(1, b)
         assert [(r.x0, r.x1) for r in got if r.p == p] == [(2.0 * a, 2.0 * (z + 1)) for a, z in runs]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_tables_of_words_place_words_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(layout, "materialise", lambda df, name: seen.append(df) or df)
+    words = spark.createDataFrame([(1, 1, "a", 90.0, 0.0, 9.0, 0.0, 9.0)], "p int, word_idx long, text string, conf double, x0 double, x1 double, y0 double, y1 double")
+    layout.tables_of_words(words, ["p"])
+    assert _plan(seen[0]).count("MapInPandas") == 1
