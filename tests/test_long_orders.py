@@ -9,6 +9,7 @@ import pytest
 
 from millrace import plans
 from millrace.operators import columns, geometry, layout
+from millrace.plans import grids
 
 
 @pytest.fixture(scope="module")
@@ -61,3 +62,8 @@ def test_tables_of_words_place_words_once(spark, monkeypatch):
     words = spark.createDataFrame([(1, 1, "a", 90.0, 0.0, 9.0, 0.0, 9.0)], "p int, word_idx long, text string, conf double, x0 double, x1 double, y0 double, y1 double")
     layout.tables_of_words(words, ["p"])
     assert _plan(seen[0]).count("MapInPandas") == 1
+
+
+def test_pages_are_made_in_one_pass_over_the_lines(spark, long_orders):
+    made = {"payload_items": grids._documents(spark, long_orders), "layout_regions": grids._page_words(spark, long_orders)[0]}
+    assert {k: _plan(df).count("Relation [") for k, df in made.items()} == dict.fromkeys(made, 1)
